@@ -539,7 +539,7 @@ FROM raw_texts LEFT JOIN repaired USING (conv_id)""",
   SELECT conv_id, -1 AS turn, 'system' AS role, {lit(views.INSTRUCTION)} AS content FROM valid
   UNION ALL
   SELECT c.conv_id, turn, role, CASE WHEN turn < last_turn THEN text
-    WHEN context IS NOT NULL THEN text || chr(10) || chr(10) || {lit(C.CONTEXT_HEADER)} || chr(10) || context || chr(10)
+    WHEN x.context IS NOT NULL THEN text || chr(10) || chr(10) || {lit(C.CONTEXT_HEADER)} || chr(10) || x.context || chr(10)
       || {lit(C.CONTEXT_FOOTER)} || chr(10) || chr(10) || {lit(C.JSON_REMINDER)}
     ELSE text || chr(10) || chr(10) || {lit(C.JSON_REMINDER)} END
   FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM chats) c JOIN valid v ON v.conv_id = c.conv_id
