@@ -30,8 +30,11 @@ def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame
     bounds = hits.groupBy("query_id").agg(
         F.max("raw").alias("high"), F.min("raw").alias("least"), F.count(F.lit(1)).alias("n_hits")
     )
-    eligible = count_eligible(index.items, table)
-    known = bounds.join(table.send(eligible), "query_id").select(
+    if table.n_filtered:
+        counted = bounds.join(table.send(count_eligible(index.items, table)), "query_id")
+    else:
+        counted = bounds.withColumn("n_eligible", index.corpus.select("n_items").scalar())
+    known = counted.select(
         "query_id",
         "high",
         F.when(F.col("n_hits") < F.col("n_eligible"), F.lit(0.0)).otherwise(F.col("least")).alias("low"),

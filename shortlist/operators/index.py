@@ -1,21 +1,22 @@
 """Text index of a catalog.
 
-The forward index (one row per item with its term counts) is a narrow projection:
-terms are counted inside the row, so building it moves no text between
-executors. It is then hash-partitioned by ``id`` once, together with the columns
-that searches need; scoring groups by ``id`` and so needs no further shuffle.
+The forward index has one row per item: its term counts and the columns that
+searches need. It is a table bucketed by ``id``: terms are counted inside the row,
+and scoring groups and joins by ``id``, so a search moves no postings, no pairs
+and no vectors between executors.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.functions.filters import minutes
 from shortlist.functions.text import run_lengths, run_starts, terms
-from shortlist.session import materialize
+from shortlist.session import shared_folder
 
 META = ("test_types", "job_levels", "remote_testing", "adaptive", "minutes")
 
@@ -25,7 +26,7 @@ class CatalogIndex:
     """The index tables.
 
     ``items``: id, embedding, the filter columns, ``terms`` (term, tf), ``length``;
-    partitioned by id. ``term_stats``: term, df. ``corpus``: one row, n_items and
+    bucketed by id. ``term_stats``: term, df. ``corpus``: one row, n_items and
     avg_length. ``catalog``: the full rows, joined only to final results.
     """
 
@@ -52,48 +53,63 @@ def term_counts(rows: DataFrame, text) -> DataFrame:
     ).drop("_terms", "_starts")
 
 
-def index_rows(catalog: DataFrame) -> DataFrame:
-    """The narrow projection behind the index: search text is name + description."""
-    text = F.concat_ws(" ", "name", "description")
-    counted = term_counts(catalog, text)
-    return counted.withColumn("minutes", minutes(F.col("duration"))).select(
-        "id", "embedding", *META, "terms", "length"
-    )
+def index_rows(catalog: DataFrame, parts: int) -> DataFrame:
+    """Item rows, partitioned by id; search text is name + description.
+
+    Rows are partitioned before their terms are counted, so that a few large
+    input files do not decide how many tasks count.
+    """
+    placed = filter_rows(catalog, F.concat_ws(" ", "name", "description").alias("text"))
+    return term_counts(placed.repartition(parts, "id"), F.col("text")).drop("text")
 
 
-def _stats(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    term_stats = (
-        items.select(F.explode("terms.term").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    corpus = items.agg(
-        F.count(F.lit(1)).alias("n_items"), F.avg("length").alias("avg_length")
+def filter_rows(catalog: DataFrame, *more: Column) -> DataFrame:
+    """The columns that vector search and filters need; no text is read."""
+    return catalog.withColumn("minutes", minutes(F.col("duration"))).select(
+        "id", "embedding", *META, *more
     )
-    return term_stats, corpus
 
 
-def build_index(catalog: DataFrame, store: bool = True) -> CatalogIndex:
-    """Index a catalog; ``store`` computes the item rows once into the shared folder."""
-    items = index_rows(catalog).repartition("id")
-    if store:
-        items = materialize(items)
-    return CatalogIndex(catalog, items, *_stats(items))
+def _term_stats(items: DataFrame) -> DataFrame:
+    terms_of = items.select(F.explode("terms.term").alias("term"))
+    return terms_of.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def write_index(index: CatalogIndex, path: str) -> None:
-    """Keep an index for later sessions."""
-    index.items.write.mode("overwrite").parquet(f"{path}/items")
-    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+def _corpus(items: DataFrame) -> DataFrame:
+    return items.agg(F.count(F.lit(1)).alias("n_items"), F.avg("length").alias("avg_length"))
 
 
-def read_index(spark: SparkSession, path: str, catalog: DataFrame) -> CatalogIndex:
-    """Open a kept index over its catalog."""
-    items = spark.read.parquet(f"{path}/items").repartition("id")
-    return CatalogIndex(
-        catalog,
-        items,
-        spark.read.parquet(f"{path}/term_stats"),
-        spark.read.parquet(f"{path}/corpus"),
-    )
+def build_index(catalog: DataFrame, name: str | None = None, buckets: int | None = None) -> CatalogIndex:
+    """Build and store the index of a catalog.
+
+    The tables are named ``<name>_items`` (bucketed by id), ``<name>_terms`` and
+    ``<name>_corpus``; their files lie in the shared folder. Without a name the
+    index is for this session, under a name of its own. A bucket should hold what
+    one task can score: give ``buckets`` for catalogs beyond a few thousand million rows.
+    """
+    spark = catalog.sparkSession
+    name = name or f"index_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{shared_folder(spark)}/{name}"
+
+    def store(df: DataFrame, part: str, bucketed: bool = False) -> None:
+        writer = df.write.mode("overwrite").option("path", f"{folder}/{part}")
+        (writer.bucketBy(n, "id") if bucketed else writer).saveAsTable(f"{name}_{part}")
+
+    store(index_rows(catalog, n), "items", bucketed=True)
+    items = spark.table(f"{name}_items")
+    store(_term_stats(items), "terms")
+    store(_corpus(items), "corpus")
+    return open_index(catalog, name)
+
+
+def open_index(catalog: DataFrame, name: str) -> CatalogIndex:
+    """The stored index of a catalog."""
+    parts = (catalog.sparkSession.table(f"{name}_{part}") for part in ("items", "terms", "corpus"))
+    return CatalogIndex(catalog, *parts)
+
+
+def drop_index(spark: SparkSession, name: str) -> None:
+    """Forget a stored index."""
+    for part in ("items", "terms", "corpus"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")

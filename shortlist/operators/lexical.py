@@ -62,6 +62,8 @@ def lexical_hits(table: QueryTable, index: CatalogIndex, require_all: bool = Fal
 
 def _eligible(scores: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
     """Keep the pairs that meet the filters of their query."""
+    if not table.n_filtered:
+        return scores
     filters = table.rows.select("query_id", "filters").where(F.col("filters").isNotNull())
     meta = index.items.select("id", *META)
     known = scores.join(table.send(filters), "query_id", "left").join(meta, "id")

@@ -33,6 +33,7 @@ class QueryTable:
 
     rows: DataFrame
     n: int
+    n_filtered: int
     small: bool
 
     def send(self, df: DataFrame) -> DataFrame:
@@ -62,8 +63,10 @@ def query_table(queries: DataFrame, limits: Limits = Limits()) -> QueryTable:
             F.lit(32),
         )
     )
-    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return QueryTable(rows, n, n <= limits.queries and size <= limits.bytes)
+    n, n_filtered, size = rows.agg(
+        F.count(F.lit(1)), F.count("filters"), F.coalesce(F.sum(width), F.lit(0))
+    ).first()
+    return QueryTable(rows, n, n_filtered, n <= limits.queries and size <= limits.bytes)
 
 
 def query_terms(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.schemas import FILTERS
-from shortlist.operators.index import CatalogIndex, build_index, index_rows
+from shortlist.operators.index import CatalogIndex, build_index, filter_rows
 
 SITE = ("catalog.example.com/view",)
 N_CHAT_VECTORS = 500
@@ -156,7 +156,7 @@ def index(spark: SparkSession, sf_dir: str) -> CatalogIndex:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item rows for vector search, without the text part of the index."""
-    return index_rows(catalog(spark, sf_dir)).drop("terms", "length")
+    return filter_rows(catalog(spark, sf_dir))
 
 
 def search_queries(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
