@@ -9,6 +9,7 @@ from shortlist.constants import MAX_RECOMMENDATIONS
 from shortlist.functions.text import strip
 from shortlist.operators.joins import SALTS, spread_join
 from shortlist.schemas import RECOMMENDATION
+from shortlist.session import materialize
 from shortlist.sources.catalog import coerce_nulls, type_codes
 
 # Lengths of the substrings that carry a "contains" lookup.
@@ -31,7 +32,9 @@ def _pieces(text: Column, size: int) -> Column:
 
 def _contained_short(needles: DataFrame, names: DataFrame) -> DataFrame:
     """Needles of at most SHORT characters: lowest id per substring, then one join."""
-    every = F.flatten(F.array(*[F.coalesce(_pieces(F.col("key"), n), F.array().cast("array<string>")) for n in range(1, SHORT + 1)]))
+    none = F.array().cast("array<string>")
+    sizes = range(1, SHORT + 1)
+    every = F.flatten(F.array(*[F.coalesce(_pieces(F.col("key"), n), none) for n in sizes]))
     lowest = (
         names.select("id", F.explode(every).alias("needle"))
         .groupBy("needle")
@@ -62,6 +65,14 @@ def _contained_long(needles: DataFrame, names: DataFrame, size: int) -> DataFram
     return met.groupBy("needle").agg(F.min("id").alias("id"))
 
 
+def _known_names(names: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct lower-case names with the lowest id of that name, and all of those."""
+    key = F.lower("name").alias("key")
+    given = catalog.groupBy(key).agg(F.min("id").alias("id"))
+    asked = names.select(key).where(strip(F.col("key")) != "").distinct()
+    return asked.join(given, "key", "left"), given
+
+
 def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """(needle, id) of each distinct lower-case name that can be found.
 
@@ -69,24 +80,26 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     "contains" step is an equi-join on substrings, made for the misses only.
     Blank names find nothing.
     """
-    named = strip(F.lower("name")) != ""
-    asked = names.where(named).select(F.lower("name").alias("key")).distinct()
-    given = catalog.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
-    exact = asked.join(given, "key").select(F.col("key").alias("needle"), "id")
-    misses = asked.join(given, "key", "left_anti")
+    looked, given = _known_names(names, catalog)
+    looked = materialize(looked)
+    found = looked.where(F.col("id").isNotNull()).select(F.col("key").alias("needle"), "id")
+    misses = looked.where(F.col("id").isNull()).select("key")
     size = F.length("key")
-    return (
-        exact.unionByName(_contained_short(misses, given))
-        .unionByName(_contained_long(misses.where((size > SHORT) & (size < LONG)), given, SHORT))
-        .unionByName(_contained_long(misses.where(size >= LONG), given, LONG))
-    )
+    short, long = size <= SHORT, size >= LONG
+    counts = misses.agg(F.count_if(short), F.count_if(~short & ~long), F.count_if(long)).first()
+    if counts[0]:
+        found = found.unionByName(_contained_short(misses, given))
+    if counts[1]:
+        found = found.unionByName(_contained_long(misses.where(~short & ~long), given, SHORT))
+    if counts[2]:
+        found = found.unionByName(_contained_long(misses.where(long), given, LONG))
+    return found
 
 
 def exact_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """(needle, id): equality of lower-case names only."""
-    asked = names.select(F.lower("name").alias("key")).where(strip(F.col("key")) != "").distinct()
-    given = catalog.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
-    return asked.join(given, "key").select(F.col("key").alias("needle"), "id")
+    looked, _ = _known_names(names, catalog)
+    return looked.where(F.col("id").isNotNull()).select(F.col("key").alias("needle"), "id")
 
 
 def lookup_by_name(names: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def lookup_by_name(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def _checked(rows: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
     """The distinct urls of ``rows`` that are (not) in the catalog."""
-    return rows.select("url").distinct().join(catalog.select("url"), "url", how)
+    return rows.select("url").distinct().join(catalog.select("url").distinct(), "url", how)
 
 
 def invalid_urls(rows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -120,7 +133,15 @@ def repair_recommendations(
     else it is replaced by the item its name leads to, else dropped; in order,
     at most ``most``. Every conversation keeps its row."""
     items = responses.select("conv_id", F.posexplode("recommendations").alias("pos", "item"))
-    rows = items.select("conv_id", "pos", "item", F.col("item.url").alias("url"), F.lower("item.name").alias("needle"))
+    rows = materialize(
+        items.select(
+            "conv_id",
+            "pos",
+            "item",
+            F.col("item.url").alias("url"),
+            F.lower("item.name").alias("needle"),
+        )
+    )
     valid = _checked(rows, catalog, "left_semi").withColumn("valid", F.lit(True))
     marked = spread_join(rows, valid, "url")
     wrong = marked.where(F.col("valid").isNull()).select(F.col("item.name").alias("name"))

@@ -103,6 +103,7 @@ def answer_turns(
         .otherwise(F.coalesce("end_of_conversation", F.lit(False)))
         .alias("end_of_conversation"),
     )
+    answered = materialize(answered)
     some = F.coalesce(F.size("given"), F.lit(0)) > 0
     given = answered.where(some).select("conv_id", F.col("given").alias("recommendations"))
     repaired = repair_recommendations(given, catalog) if responses is not None else given

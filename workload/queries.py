@@ -17,6 +17,7 @@ from shortlist.operators import filters as flt
 from shortlist.operators import hybrid, lexical, lookup
 from shortlist.operators import responses as rsp
 from shortlist.operators import vector_search as vec
+from shortlist.operators.joins import spread_join
 from shortlist.operators.queries import Limits, query_table
 from shortlist.plans import turns as plan
 from shortlist.plans.evaluation import evaluate
@@ -474,7 +475,7 @@ def catalog_context(spark, sf):
 
 def prompt_messages(spark, sf):
     valid = conv.valid_facts(_facts(spark, sf)).select("conv_id")
-    turns = views.chats(spark, sf).join(valid, "conv_id", "left_semi")
+    turns = spread_join(views.chats(spark, sf), valid, "conv_id", "left_semi")
     rows = ctx.build_prompts(turns, _contexts(spark, sf), views.INSTRUCTION)
     return rows.withColumn("content", F.md5("content"))
 
