@@ -160,11 +160,11 @@ def lexical_tokens(spark, sf):
 
 
 def lexical_index(spark, sf):
-    return views.index(spark, sf).postings.select("id", "term", "tf", "length")
+    return views.new_index(spark, sf).postings.select("id", "term", "tf", "length")
 
 
 def lexical_term_stats(spark, sf):
-    return views.index(spark, sf).term_stats
+    return views.new_index(spark, sf).term_stats
 
 
 def lexical_score(spark, sf):

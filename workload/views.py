@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.schemas import FILTERS
-from shortlist.operators.index import CatalogIndex, build_index, filter_rows
+from shortlist.operators.index import CatalogIndex, build_index, filter_rows, open_index
 
 SITE = ("catalog.example.com/view",)
 N_CHAT_VECTORS = 500
@@ -149,11 +151,24 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def index(spark: SparkSession, sf_dir: str) -> CatalogIndex:
-    """Text index of the catalog."""
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def new_index(spark: SparkSession, sf_dir: str) -> CatalogIndex:
+    """Text index of the catalog, built from the tables."""
     return build_index(catalog(spark, sf_dir))
 
 
+def index(spark: SparkSession, sf_dir: str) -> CatalogIndex:
+    """Text index of the catalog; a session builds and stores it once per folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        name = f"index_{uuid.uuid4().hex}"
+        build_index(catalog(spark, sf_dir), name)
+        _STORED[key] = name
+    return open_index(catalog(spark, sf_dir), _STORED[key])
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item rows for vector search, without the text part of the index."""
     return filter_rows(catalog(spark, sf_dir))
