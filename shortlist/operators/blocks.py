@@ -1,9 +1,8 @@
 """Blocks of items against blocks of queries.
 
-The one step that built-in operators cannot do well: the product of a matrix of
-item vectors with a matrix of query vectors. A block of items (an Arrow batch)
-meets a block of queries and leaves at most k rows per query, so the pairs
-themselves never become rows. Few queries are sent to every task and the items
+The one step that built-in operators cannot do well: scoring many items for many
+queries without making a row of each pair. A block of items (an Arrow batch)
+meets a block of queries as matrices and leaves at most k rows per query. Few queries are sent to every task and the items
 stay where they are; many queries meet the items on a grid of bounded cells.
 """
 
@@ -21,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.constants import RANK_DIGITS
+from shortlist.constants import BM25_B, BM25_K1, RANK_DIGITS
 from shortlist.operators.index import META
 from shortlist.operators.queries import QueryTable
 
 ITEM_COLUMNS = ("id", "embedding", *META)
+TEXT_COLUMNS = ("id", *META, "terms", "length")
 QUERY_COLUMNS = ("query_id", "vector", "filters")
 ITEMS_PER_CELL = 50_000
 QUERIES_PER_CELL = 2_048
@@ -36,26 +36,57 @@ _SLACK = 2 * 10.0**-RANK_DIGITS
 
 @dataclass(frozen=True)
 class Scoring:
-    """score = lexical * (score that comes with the item) + vector * cosine.
+    """score = lexical * keyword score + vector * cosine.
 
     ``vectors_only`` leaves out items and queries without a vector; otherwise a
-    missing cosine counts as 0.
+    missing cosine counts as 0. ``terms`` says which items take part by their
+    terms: those with ``any`` or ``all`` terms of the query, or every item (None).
+    ``avg_length`` is needed where items bring terms.
     """
 
     k: int
     lexical: float = 0.0
     vector: float = 1.0
     vectors_only: bool = True
+    terms: str | None = None
+    avg_length: float = 1.0
+
+
+@dataclass(frozen=True)
+class QueryTerms:
+    """Terms of a block of queries, ordered by query: row, term number, idf."""
+
+    vocabulary: pa.Array
+    row: np.ndarray
+    term: np.ndarray
+    idf: np.ndarray
+    n_terms: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> QueryTerms:
+        lists = _whole(table["terms"])
+        flat = pc.list_flatten(lists)
+        words = pc.dictionary_encode(flat.field("term"))
+        return QueryTerms(
+            words.dictionary,
+            pc.list_parent_indices(lists).to_numpy(),
+            words.indices.to_numpy(zero_copy_only=False),
+            flat.field("idf").to_numpy(zero_copy_only=False),
+            table["n_terms"].to_pandas().fillna(0).to_numpy(),
+        )
 
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """Queries of one block: ids, unit vectors, and rows by distinct filter."""
+    """Queries of one block: ids, unit vectors, terms, and rows by distinct filter."""
 
     ids: np.ndarray
     vectors: np.ndarray | None
     has_vector: np.ndarray
     by_filter: list[tuple[dict | None, np.ndarray]]
+    terms: QueryTerms | None
+    low: np.ndarray | None
+    high: np.ndarray | None
 
     @staticmethod
     def of(table: pa.Table) -> QueryBlock:
@@ -63,7 +94,59 @@ class QueryBlock:
         keys = [json.dumps(f, sort_keys=True) for f in table["filters"].to_pylist()]
         rows = pd.Series(np.arange(len(keys))).groupby(pd.Series(keys, dtype=object))
         by_filter = [(json.loads(key), members.to_numpy()) for key, members in rows]
-        return QueryBlock(table["query_id"].to_pandas().to_numpy(), vectors, present, by_filter)
+        scales = [
+            table[c].to_pandas().fillna(0.0).to_numpy() if c in table.column_names else None
+            for c in ("low", "high")
+        ]
+        terms = QueryTerms.of(table) if "terms" in table.column_names else None
+        ids = table["query_id"].to_pandas().to_numpy()
+        return QueryBlock(ids, vectors, present, by_filter, terms, *scales)
+
+
+class Postings:
+    """The terms of a block of items that occur in a block of queries, by term."""
+
+    def __init__(self, items: pa.Table, queries: QueryTerms, avg_length: float):
+        lists = _whole(items["terms"])
+        flat = pc.list_flatten(lists)
+        number = pc.index_in(flat.field("term"), value_set=queries.vocabulary)
+        known = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+        number = number.drop_null().to_numpy()
+        order = np.argsort(number, kind="stable")
+        self.item = pc.list_parent_indices(lists).to_numpy()[known][order]
+        tf = flat.field("tf").to_numpy(zero_copy_only=False)[known][order].astype(float)
+        length = _whole(items["length"]).to_numpy(zero_copy_only=False)[self.item]
+        damping = BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length)
+        self.weight = tf * (BM25_K1 + 1) / (tf + damping)
+        self.start = np.searchsorted(number[order], np.arange(len(queries.vocabulary) + 1))
+        self.n_items = items.num_rows
+        self.queries = queries
+
+    def scores(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keyword score and number of matched terms: queries x items."""
+        q = self.queries
+        place = np.full(len(q.n_terms), -1)
+        place[rows] = np.arange(len(rows))
+        asked = np.flatnonzero(place[q.row] >= 0)
+        first, counts = self.start[q.term[asked]], np.diff(self.start)[q.term[asked]]
+        size = len(rows) * self.n_items
+        score, matched = np.zeros(size), np.zeros(size, dtype=np.int32)
+        ends = np.cumsum(counts)
+        done = 0
+        while done < len(asked):
+            base = ends[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(ends, base + _SCORES_AT_ONCE, side="right")))
+            part = slice(done, stop)
+            n = counts[part]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            posting = np.repeat(first[part], n) + step
+            entry = np.repeat(asked[part], n)
+            cell = place[q.row[entry]] * self.n_items + self.item[posting]
+            score += np.bincount(cell, q.idf[entry] * self.weight[posting], size)
+            matched += np.bincount(cell, minlength=size).astype(np.int32)
+            done = stop
+        shape = (len(rows), self.n_items)
+        return score.reshape(shape), matched.reshape(shape)
 
 
 def _whole(column) -> pa.Array:
@@ -118,37 +201,59 @@ def best_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("query_id").cumcount() < k].drop(columns="_key")
 
 
-def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFrame:
-    """Best rows of one block: query_id, id, bm25, cosine, score."""
-    ids = _whole(items["id"]).to_pandas().to_numpy()
-    matrix, present = unit_rows(items["embedding"])
-    given = _given_scores(items, queries) if "hits" in items.schema.names else None
-    found = []
+def _members(items: pa.Table, queries: QueryBlock, present: np.ndarray, how: Scoring):
+    """Rows of queries with the same filter, a few at a time, and their items."""
+    step = max(1, _SCORES_AT_ONCE // max(1, items.num_rows))
     for filters, members in queries.by_filter:
         keep = permitted(items, filters)
         if how.vectors_only:
             keep, members = keep & present, members[queries.has_vector[members]]
         at = np.flatnonzero(keep)
-        step = max(1, _SCORES_AT_ONCE // max(1, len(at)))
         for first in range(0, len(members) if len(at) else 0, step):
-            rows = members[first : first + step]
-            cosine = np.zeros((len(rows), len(at)))
-            if matrix is not None and queries.vectors is not None:
-                cosine = queries.vectors[rows] @ matrix[at].T
-            bm25 = np.zeros_like(cosine) if given is None else _dense(given, rows, at)
-            score = how.lexical * bm25 + how.vector * cosine
-            q, i = _candidates(score, how.k)
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query_id": queries.ids[rows[q]],
-                        "id": ids[at[i]],
-                        "bm25": bm25[q, i],
-                        "cosine": cosine[q, i],
-                        "score": score[q, i],
-                    }
-                )
+            yield members[first : first + step], at
+
+
+def _scaled(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Min-max scaling per query; the same rule as ``hybrid.scaled``."""
+    low, high = low[:, None], high[:, None]
+    even = np.where(raw > 0, 1.0, 0.0)
+    spread = (raw - low) / np.where(high > low, high - low, 1.0)
+    return np.where(high == 0, 0.0, np.where(high == low, even, spread))
+
+
+def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFrame:
+    """Best rows of one block: query_id, id, bm25, cosine, score."""
+    ids = _whole(items["id"]).to_pandas().to_numpy()
+    matrix, present = None, np.zeros(len(ids), dtype=bool)
+    if "embedding" in items.column_names:
+        matrix, present = unit_rows(items["embedding"])
+    postings = Postings(items, queries.terms, how.avg_length) if queries.terms else None
+    found = []
+    for rows, at in _members(items, queries, present, how):
+        cosine = np.zeros((len(rows), len(at)))
+        if matrix is not None and queries.vectors is not None:
+            cosine = queries.vectors[rows] @ matrix[at].T
+        bm25 = np.zeros_like(cosine)
+        if postings:
+            raw, matched = (x[:, at] for x in postings.scores(rows))
+            scaled = queries.low is not None
+            bm25 = _scaled(raw, queries.low[rows], queries.high[rows]) if scaled else raw
+        score = how.lexical * bm25 + how.vector * cosine
+        if how.terms:
+            wanted = queries.terms.n_terms[rows][:, None] if how.terms == "all" else 1
+            score = np.where((matched > 0) & (matched >= wanted), score, -np.inf)
+        q, i = _candidates(score, how.k)
+        found.append(
+            pd.DataFrame(
+                {
+                    "query_id": queries.ids[rows[q]],
+                    "id": ids[at[i]],
+                    "bm25": bm25[q, i],
+                    "cosine": cosine[q, i],
+                    "score": score[q, i],
+                }
             )
+        )
     if not found:
         return pd.DataFrame(columns=["query_id", "id", "bm25", "cosine", "score"])
     return best_rows(pd.concat(found, ignore_index=True), how.k)
@@ -158,30 +263,26 @@ def _candidates(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at or above the k-th score of each row, ties included."""
     n = score.shape[1]
     if n <= k:
-        return tuple(x.ravel() for x in np.indices(score.shape))
+        return np.nonzero(np.isfinite(score))
     least = np.partition(score, n - k, axis=1)[:, n - k]
-    return np.nonzero(score >= least[:, None] - _SLACK)
-
-
-def _given_scores(items: pa.Table, queries: QueryBlock):
-    """Scores that came with the items: query, item and value of each."""
-    hits = _whole(items["hits"])
-    flat = pc.list_flatten(hits)
-    query = pd.Index(queries.ids).get_indexer(flat.field("query_id").to_pandas())
-    owner = pc.list_parent_indices(hits).to_numpy()
-    value = flat.field("value").to_numpy(zero_copy_only=False)
-    return query, owner, value, len(queries.ids), items.num_rows
-
-
-def _dense(given, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    query, owner, value, n_queries, n_items = given
-    row_of, col_of = np.full(n_queries, -1), np.full(n_items, -1)
-    row_of[rows], col_of[at] = np.arange(len(rows)), np.arange(len(at))
-    r, c = row_of[query], col_of[owner]
-    use = (query >= 0) & (r >= 0) & (c >= 0)
-    dense = np.zeros((len(rows), len(at)))
-    dense[r[use], c[use]] = value[use]
-    return dense
+    return np.nonzero((score >= least[:, None] - _SLACK) & np.isfinite(score))
+
+
+def bounds_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFrame:
+    """Per query of one block: eligible items, hits, highest and lowest hit."""
+    n = len(queries.ids)
+    eligible, hits = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    high, least = np.full(n, -np.inf), np.full(n, np.inf)
+    postings = Postings(items, queries.terms, how.avg_length)
+    for rows, at in _members(items, queries, np.zeros(items.num_rows, dtype=bool), how):
+        raw, matched = (x[:, at] for x in postings.scores(rows))
+        hit = matched > 0
+        eligible[rows], hits[rows] = len(at), hit.sum(axis=1)
+        high[rows] = np.where(hit, raw, -np.inf).max(axis=1)
+        least[rows] = np.where(hit, raw, np.inf).min(axis=1)
+    return pd.DataFrame(
+        {"query_id": queries.ids, "n_eligible": eligible, "n_hits": hits, "high": high, "least": least}
+    )
 
 
 def count_block(items: pa.Table, queries: QueryBlock) -> pd.DataFrame:
@@ -201,14 +302,14 @@ def _key_types(items: pa.Table, queries: pa.Table) -> dict[str, pa.DataType]:
 
 
 def _to_arrow(frame: pd.DataFrame, keys: dict[str, pa.DataType]) -> pa.Table:
-    fallback = {"n_eligible": pa.int64()}
+    fallback = {"n_eligible": pa.int64(), "n_hits": pa.int64()}
     fields = [(c, keys.get(c) or fallback.get(c) or pa.float64()) for c in frame.columns]
     return pa.Table.from_pandas(frame, schema=pa.schema(fields), preserve_index=False)
 
 
 def _against_sent(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
     """Every item partition against the whole (small) query table."""
-    sent = items.sparkSession.sparkContext.broadcast(table.rows.select(*QUERY_COLUMNS).toArrow())
+    sent = items.sparkSession.sparkContext.broadcast(table.rows.drop("text").toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, pending, size, keys = None, [], 0, {}
@@ -237,53 +338,18 @@ def in_cells(items: DataFrame, queries: DataFrame, block: Block, schema: str) ->
     return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def n_parts(table: QueryTable) -> int:
-    """Number of parts the queries are split into on the grid."""
-    return 1 if table.small else max(1, math.ceil(table.n / QUERIES_PER_CELL))
-
-
-def part_of(query_id: str, parts: int):
-    """Part of a query."""
-    return F.pmod(F.xxhash64(query_id), F.lit(parts)).cast("int")
-
-
 def _on_grid(items: DataFrame, table: QueryTable, block: Block, schema: str) -> DataFrame:
     """A large query table: items and queries meet in cells of bounded size."""
-    parts = n_parts(table)
+    parts = max(1, math.ceil(table.n / QUERIES_PER_CELL))
     cells = max(1, math.ceil(items.select("id").count() / ITEMS_PER_CELL))
     left = items.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
-    right = table.rows.select(
-        *QUERY_COLUMNS,
-        part_of("query_id", parts).alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
-    )
-    if "part" not in items.columns:
-        left = _for_each_part(left, parts)
+    right = table.rows.drop("text").withColumn(
+        "part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
+    ).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return in_cells(left, right, block, schema)
 
 
-def _for_each_part(items: DataFrame, parts: int) -> DataFrame:
-    return items.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-
-def _with_hits(items: DataFrame, table: QueryTable, hits: DataFrame) -> DataFrame:
-    """Attach to each item (and query part) its lexical scores.
-
-    The list of an item is bounded by the queries of a part.
-    """
-    pair = F.struct("query_id", "value")
-    if table.small:
-        lists = hits.groupBy("id").agg(F.collect_list(pair).alias("hits"))
-        return items.join(lists, "id", "left")
-    parts = n_parts(table)
-    lists = (
-        hits.withColumn("part", part_of("query_id", parts))
-        .groupBy("id", "part")
-        .agg(F.collect_list(pair).alias("hits"))
-    )
-    return _for_each_part(items, parts).join(lists, ["id", "part"], "left")
-
-
 def _run(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
     if table.small:
         return _against_sent(items, table, block, combine, schema)
@@ -300,19 +366,42 @@ def candidates_schema(items: DataFrame, queries: DataFrame) -> str:
     return f"{keys}, bm25 double, cosine double, score double"
 
 
-def top_k_candidates(
-    items: DataFrame, table: QueryTable, how: Scoring, hits: DataFrame | None = None
-) -> DataFrame:
+def top_k_candidates(items: DataFrame, table: QueryTable, how: Scoring) -> DataFrame:
     """Rows that contain the k best items of every query; the caller ranks them.
 
-    ``hits`` (query_id, id, value) gives the lexical part of the score.
+    Keyword scores need ``terms`` and ``n_terms`` in the query table; they are
+    scaled where it has ``low`` and ``high``.
     """
-    rows = items.select(*ITEM_COLUMNS)
-    if hits is not None:
-        rows = _with_hits(rows, table, hits)
+    vector = ITEM_COLUMNS if how.terms is None else ()
+    text = TEXT_COLUMNS if "terms" in table.rows.columns else ()
+    names = dict.fromkeys((*vector, *text))
     schema = candidates_schema(items, table.rows)
     return _run(
-        rows, table, lambda i, q: score_block(i, q, how), lambda f: best_rows(f, how.k), schema
+        items.select(*names),
+        table,
+        lambda i, q: score_block(i, q, how),
+        lambda f: best_rows(f, how.k),
+        schema,
+    )
+
+
+def lexical_bounds(items: DataFrame, table: QueryTable, avg_length: float) -> DataFrame:
+    """(query_id, n_eligible, n_hits, high, least) of the raw keyword scores."""
+    how = Scoring(k=0, vectors_only=False, avg_length=avg_length)
+    key = f"query_id {_type_of(table.rows, 'query_id')}"
+    merge = {"n_eligible": "sum", "n_hits": "sum", "high": "max", "least": "min"}
+    parts = _run(
+        items.select(*TEXT_COLUMNS),
+        table,
+        lambda i, q: bounds_block(i, q, how),
+        lambda f: f.groupby("query_id", as_index=False).agg(merge),
+        f"{key}, n_eligible bigint, n_hits bigint, high double, least double",
+    )
+    return parts.groupBy("query_id").agg(
+        F.sum("n_eligible").alias("n_eligible"),
+        F.sum("n_hits").alias("n_hits"),
+        F.max("high").alias("high"),
+        F.min("least").alias("least"),
     )
 
 

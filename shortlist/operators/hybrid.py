@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.constants import DEFAULT_TOP_K, LEXICAL_WEIGHT
-from shortlist.operators.blocks import Scoring, count_eligible, top_k_candidates
+from shortlist.operators.blocks import (
+    Scoring,
+    count_eligible,
+    lexical_bounds,
+    top_k_candidates,
+)
 from shortlist.operators.index import CatalogIndex
-from shortlist.operators.lexical import lexical_hits, ranked
+from shortlist.operators.lexical import average_length, ranked, with_terms
 from shortlist.operators.queries import Limits, QueryTable, query_table
 
 
@@ -21,11 +26,15 @@ def scaled(value: Column, low: Column, high: Column) -> Column:
     )
 
 
+def _low(n_hits: Column, n_eligible: Column, least: Column) -> Column:
+    """Items without a hit score 0, so that is the minimum unless all are hits."""
+    return F.when(n_hits < n_eligible, F.lit(0.0)).otherwise(least)
+
+
 def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
     """(query_id, id, value): lexical scores scaled over all eligible items.
 
-    Items without a hit score 0, so the minimum is 0 unless every eligible item
-    is a hit; those items need no rows, their scaled score is 0 as well.
+    Items without a hit need no rows: their scaled score is 0 as well.
     """
     bounds = hits.groupBy("query_id").agg(
         F.max("raw").alias("high"), F.min("raw").alias("least"), F.count(F.lit(1)).alias("n_hits")
@@ -34,16 +43,25 @@ def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame
         counted = bounds.join(table.send(count_eligible(index.items, table)), "query_id")
     else:
         counted = bounds.withColumn("n_eligible", index.corpus.select("n_items").scalar())
-    known = counted.select(
-        "query_id",
-        "high",
-        F.when(F.col("n_hits") < F.col("n_eligible"), F.lit(0.0)).otherwise(F.col("least")).alias("low"),
-    )
+    low = _low(F.col("n_hits"), F.col("n_eligible"), F.col("least"))
+    known = counted.select("query_id", "high", low.alias("low"))
     return hits.join(table.send(known), "query_id").select(
         "query_id", "id", scaled(F.col("raw"), F.col("low"), F.col("high")).alias("value")
     )
 
 
+def with_scale(table: QueryTable, index: CatalogIndex, avg_length: float) -> QueryTable:
+    """Adds ``low`` and ``high`` of the keyword scores over all eligible items.
+
+    Queries without a hit get neither, which scales everything to 0.
+    """
+    bounds = lexical_bounds(index.items, table, avg_length).where(F.col("n_hits") > 0)
+    low = _low(F.col("n_hits"), F.col("n_eligible"), F.col("least"))
+    return table.having(
+        table.rows.join(bounds.select("query_id", low.alias("low"), "high"), "query_id", "left")
+    )
+
+
 def join_scores(pairs: DataFrame, lexical: DataFrame, vector: DataFrame) -> DataFrame:
     """Both scores of (query_id, id) pairs; missing scores are 0."""
     keys = ["query_id", "id"]
@@ -74,15 +92,17 @@ def search_hybrid(
 ) -> DataFrame:
     """(query_id, rank, id, score, bm25_score, cosine_score) of the k best items.
 
-    Lexical scores exist only for hits and travel with the item they belong to;
-    cosines are made block by block where the item lies, and only the k best of
-    each partition leave it.
+    Two passes over the items where they lie: one for the range of the keyword
+    scores of each query, one for the fused score. Only ranges, and then the k
+    best of each partition, leave a task; hits and pairs never become rows.
     """
     weight = LEXICAL_WEIGHT if alpha is None else alpha
-    table = query_table(queries, limits)
-    hits = minmax(lexical_hits(table, index), table, index)
-    how = Scoring(k=k, lexical=weight, vector=1.0 - weight, vectors_only=False)
-    found = ranked(top_k_candidates(index.items, table, how, hits), "score", k)
+    avg_length = average_length(index)
+    table = with_scale(with_terms(query_table(queries, limits), index), index, avg_length)
+    how = Scoring(
+        k=k, lexical=weight, vector=1.0 - weight, vectors_only=False, avg_length=avg_length
+    )
+    found = ranked(top_k_candidates(index.items, table, how), "score", k)
     return found.select(
         "query_id",
         "rank",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shortlist.constants import BM25_B, BM25_K1, DEFAULT_TOP_K, RANK_DIGITS
 from shortlist.functions.filters import permits
+from shortlist.operators.blocks import Scoring, top_k_candidates
 from shortlist.operators.index import META, CatalogIndex
 from shortlist.operators.queries import Limits, QueryTable, query_table, query_terms
 
@@ -23,22 +24,42 @@ def term_weight(tf: Column, length: Column, avg_length: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
 
 
-def _weighted_terms(table: QueryTable, index: CatalogIndex) -> DataFrame:
-    wanted = query_terms(table.rows)
-    known = index.term_stats.join(table.send(wanted), "term")
+def weighted_terms(table: QueryTable, index: CatalogIndex) -> DataFrame:
+    """(query_id, n_terms, term, idf) of the query terms that the index knows."""
+    known = index.term_stats.join(table.send(query_terms(table.rows)), "term")
     n_items = index.corpus.select("n_items").scalar()
     return known.select("query_id", "n_terms", "term", idf(F.col("df"), n_items).alias("idf"))
 
 
+def with_terms(table: QueryTable, index: CatalogIndex) -> QueryTable:
+    """Adds ``terms`` (array of term, idf) and ``n_terms`` to the queries.
+
+    The list of a query is as long as its own text at most. Terms unknown to the
+    index count in ``n_terms``, so that no item can match all of them.
+    """
+    lists = (
+        weighted_terms(table, index)
+        .groupBy("query_id")
+        .agg(F.max("n_terms").alias("n_terms"), F.collect_list(F.struct("term", "idf")).alias("terms"))
+    )
+    return table.having(table.rows.drop("text").join(lists, "query_id", "left"))
+
+
+def average_length(index: CatalogIndex) -> float:
+    """Mean number of terms per item: one number, read from a one-row table."""
+    return float(index.corpus.select("avg_length").first()[0] or 1.0)
+
+
 def lexical_hits(table: QueryTable, index: CatalogIndex, require_all: bool = False) -> DataFrame:
     """(query_id, id, raw): every eligible item that shares a term with a query.
 
-    With few queries their terms go to the postings, which stay where they are;
+    The result has a row for every hit; searches, which keep k rows per query, do
+    not take this way (see ``search_lexical``). With few queries their terms go to the postings, which stay where they are;
     the sums group by id and reuse the partitioning of the index. With many
     queries both sides are shuffled on (term, salt), so a term that occurs in a
     large part of the catalog is spread over many tasks.
     """
-    wanted = _weighted_terms(table, index)
+    wanted = weighted_terms(table, index)
     avg_length = index.corpus.select("avg_length").scalar()
     postings = index.postings
     if table.small:
@@ -84,7 +105,19 @@ def search_lexical(
     require_all: bool = True,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """(query_id, rank, id, bm25_score): best items that contain the query terms."""
-    table = query_table(queries, limits)
-    hits = lexical_hits(table, index, require_all)
-    return ranked(hits, "raw", k).select("query_id", "rank", "id", F.col("raw").alias("bm25_score"))
+    """(query_id, rank, id, bm25_score): best items that contain the query terms.
+
+    Items are scored where they lie, block by block; at most k of each partition
+    and query leave it, however many items a term occurs in.
+    """
+    table = with_terms(query_table(queries, limits), index)
+    how = Scoring(
+        k=k,
+        lexical=1.0,
+        vector=0.0,
+        vectors_only=False,
+        terms="all" if require_all else "any",
+        avg_length=average_length(index),
+    )
+    found = ranked(top_k_candidates(index.items, table, how), "score", k)
+    return found.select("query_id", "rank", "id", F.col("bm25").alias("bm25_score"))

@@ -7,7 +7,7 @@ small enough to be sent to every task; larger tables take the shuffled plans.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,10 @@ class QueryTable:
     n_filtered: int
     small: bool
 
+    def having(self, rows: DataFrame) -> QueryTable:
+        """The same queries with more columns."""
+        return replace(self, rows=rows)
+
     def send(self, df: DataFrame) -> DataFrame:
         """Broadcast a table that is bounded by the queries, if they are few."""
         return F.broadcast(df) if self.small else df
