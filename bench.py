@@ -19,7 +19,7 @@ HEADLINE = (
     "catalog_scan",
     "filter_combined",
     "filter_per_query",
-    "lexical_term_stats",
+    "lexical_index",
     "search_lexical",
     "search_vector",
     "search_vector_filtered",

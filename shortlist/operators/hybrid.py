@@ -113,8 +113,12 @@ def search_hybrid(
     )
 
 
-def with_details(hits: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Adds the descriptive columns of the items; only the final rows are joined."""
+def with_details(hits: DataFrame, catalog: DataFrame, few: bool = False) -> DataFrame:
+    """Adds the descriptive columns of the items.
+
+    ``few`` says that the hits are bounded (k rows for each of few queries): they
+    are sent to the catalog, which then is scanned but not shuffled.
+    """
     names = (
         "name",
         "url",
@@ -125,4 +129,5 @@ def with_details(hits: DataFrame, catalog: DataFrame) -> DataFrame:
         "remote_testing",
         "adaptive",
     )
-    return hits.join(catalog.select("id", *names), "id")
+    rows = catalog.select("id", *names)
+    return rows.join(F.broadcast(hits), "id") if few else hits.join(rows, "id")

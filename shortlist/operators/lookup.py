@@ -9,19 +9,22 @@ from shortlist.constants import MAX_RECOMMENDATIONS
 from shortlist.functions.text import strip
 from shortlist.operators.joins import SALTS, spread_join
 from shortlist.schemas import RECOMMENDATION
-from shortlist.session import materialize
+from shortlist.session import materialize, sent_if_few
 from shortlist.sources.catalog import coerce_nulls, type_codes
 
 # Lengths of the substrings that carry a "contains" lookup.
 SHORT, LONG = 3, 8
+# Most keys (urls, names, substrings) that are sent to every task.
+SENT_KEYS = 100_000
 
 
 def lookup_by_url(keys: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog row of each distinct url; NULL columns where there is none."""
     asked = keys.select("url").distinct()
     rows = coerce_nulls(catalog).drop("embedding")
-    first = rows.join(asked, "url", "left_semi").groupBy("url").agg(F.min("id").alias("id"))
-    return asked.join(first.join(rows, ["url", "id"]), "url", "left")
+    met = rows.join(sent_if_few(asked, SENT_KEYS), "url", "left_semi")
+    first = met.groupBy("url").agg(F.min("id").alias("id"))
+    return asked.join(met.join(first, ["url", "id"]), "url", "left")
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -50,8 +53,10 @@ def _contained_long(needles: DataFrame, names: DataFrame, size: int) -> DataFram
     asked = needles.select(
         F.col("key").alias("needle"), F.explode(_pieces(F.col("key"), size)).alias("piece")
     )
-    known = carried.join(asked.select("piece").distinct(), "piece", "left_semi")
-    counts = known.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    pieces = sent_if_few(asked.select("piece").distinct(), SENT_KEYS)
+    counts = (
+        carried.join(pieces, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    )
     rarest = (
         asked.join(counts, "piece", "left")
         .groupBy("needle")
@@ -65,12 +70,17 @@ def _contained_long(needles: DataFrame, names: DataFrame, size: int) -> DataFram
     return met.groupBy("needle").agg(F.min("id").alias("id"))
 
 
-def _known_names(names: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct lower-case names with the lowest id of that name, and all of those."""
+def _equal_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(key, id) of each distinct lower-case name: the lowest id of that name, or NULL.
+
+    Only catalog rows with one of the names are grouped; a few names are sent to
+    the catalog, which then stays where it is.
+    """
     key = F.lower("name").alias("key")
-    given = catalog.groupBy(key).agg(F.min("id").alias("id"))
-    asked = names.select(key).where(strip(F.col("key")) != "").distinct()
-    return asked.join(given, "key", "left"), given
+    asked = materialize(names.select(key).where(strip(F.col("key")) != "").distinct())
+    rows = catalog.select("id", key)
+    given = rows.join(sent_if_few(asked, SENT_KEYS), "key", "left_semi")
+    return asked.join(given.groupBy("key").agg(F.min("id").alias("id")), "key", "left")
 
 
 def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -80,8 +90,8 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     "contains" step is an equi-join on substrings, made for the misses only.
     Blank names find nothing.
     """
-    looked, given = _known_names(names, catalog)
-    looked = materialize(looked)
+    looked = materialize(_equal_names(names, catalog))
+    given = catalog.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
     found = looked.where(F.col("id").isNotNull()).select(F.col("key").alias("needle"), "id")
     misses = looked.where(F.col("id").isNull()).select("key")
     size = F.length("key")
@@ -98,8 +108,7 @@ def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def exact_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """(needle, id): equality of lower-case names only."""
-    looked, _ = _known_names(names, catalog)
-    return looked.where(F.col("id").isNotNull()).select(F.col("key").alias("needle"), "id")
+    return _equal_names(names, catalog).where(F.col("id").isNotNull()).select(F.col("key").alias("needle"), "id")
 
 
 def lookup_by_name(names: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -112,7 +121,10 @@ def lookup_by_name(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def _checked(rows: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
     """The distinct urls of ``rows`` that are (not) in the catalog."""
-    return rows.select("url").distinct().join(catalog.select("url").distinct(), "url", how)
+    asked = rows.select("url").distinct()
+    sent = sent_if_few(asked, SENT_KEYS)
+    known = catalog.select("url").join(sent, "url", "left_semi").distinct()
+    return known if how == "left_semi" else asked.join(known, "url", how)
 
 
 def invalid_urls(rows: DataFrame, catalog: DataFrame) -> DataFrame:

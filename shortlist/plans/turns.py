@@ -16,7 +16,7 @@ from shortlist.operators.lookup import repair_recommendations
 from shortlist.operators.queries import Limits
 from shortlist.operators.responses import clean_responses
 from shortlist.schemas import FILTERS, RECOMMENDATION
-from shortlist.session import materialize
+from shortlist.session import at_most, materialize
 from shortlist.sources.catalog import coerce_nulls, type_codes
 
 Encoder = Callable[[DataFrame], DataFrame]
@@ -61,7 +61,8 @@ def retrieve(
         encoder(queries), index, k=C.RETRIEVAL_TOP_K, alpha=alpha, limits=limits
     )
     kept = found.join(depth, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
-    return with_details(kept, coerce_nulls(index.catalog))
+    few = at_most(depth, limits.queries)
+    return with_details(kept, coerce_nulls(index.catalog), few)
 
 
 def turn_contexts(routed: DataFrame, items: DataFrame) -> DataFrame:

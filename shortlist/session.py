@@ -43,3 +43,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).agg(F.count(F.lit(1))).first()[0] <= rows
+
+
+def sent_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a narrow table if a count shows that it has at most ``rows`` rows."""
+    return F.broadcast(df) if at_most(df, rows) else df

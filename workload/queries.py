@@ -503,9 +503,10 @@ def response_fallback(spark, sf):
 
 def _predicted(spark, sf):
     index = views.index(spark, sf)
-    found = hybrid.search_hybrid(views.search_queries(spark, sf), index)
-    urls = found.select("query_id", "rank", "id").join(index.catalog.select("id", "url"), "id")
-    return urls.select("query_id", "rank", "url")
+    asked = views.search_queries(spark, sf)
+    found = hybrid.search_hybrid(asked, index).select("query_id", "rank", "id")
+    rows = hybrid.with_details(found, index.catalog, few=query_table(asked).small)
+    return rows.select("query_id", "rank", "url")
 
 
 def _recalls(spark, sf):
