@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ from shortlist.operators.blocks import (
 from shortlist.operators.index import META
 from shortlist.operators.lexical import ranked
 from shortlist.operators.queries import Limits, query_table
+from shortlist.session import sent_if_few
+
+MAX_CELLS_SENT = 100_000
 
 
 def hashing_encoder(dim: int = EMBEDDING_DIM):
@@ -66,11 +70,11 @@ def _as_items(rows: DataFrame) -> DataFrame:
 
 
 def cell_centroids(items: DataFrame) -> DataFrame:
-    """(id, embedding): mean vector of each given ``cell``, per dimension."""
-    by_place = items.where(F.col("embedding").isNotNull()).select("cell", F.posexplode("embedding"))
-    means = by_place.groupBy("cell", "pos").agg(F.avg(F.col("col").cast("double")).alias("mean"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "mean")))["mean"]
-    return means.groupBy("cell").agg(ordered.alias("embedding")).withColumnRenamed("cell", "id")
+    """(id, embedding): mean vector of each given ``cell``."""
+    known = items.where(F.col("embedding").isNotNull())
+    mean = Summarizer.mean(array_to_vector("embedding"))
+    means = known.groupBy("cell").agg(mean.alias("mean"))
+    return means.select(F.col("cell").alias("id"), vector_to_array("mean").alias("embedding"))
 
 
 def build_cells(items: DataFrame, n_cells: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -107,6 +111,8 @@ def search_cells(
         ),
         "cell",
     )
+    # One row per cell: sent to the items, so that no hot cell is shuffled whole.
+    blocks = sent_if_few(blocks, MAX_CELLS_SENT)
     key = F.struct("cell", "cut").alias("cell")
     left = here.join(blocks, "cell").select(
         "id",

@@ -23,20 +23,17 @@ def ingest_catalog(
     """Typed catalog from a table ``value`` with one JSON object per row.
 
     Rows that are no JSON object or have no id are left out. ``encoder`` adds a
-    ``vector`` to (query_id, text) rows and fills ``embedding`` where it is missing.
+    ``vector`` to rows with query_id and text; it fills ``embedding`` where that is
+    missing (elsewhere the text is NULL). No join, no shuffle.
     """
     parsed = raw.select(F.from_json("value", CATALOG).alias("row")).select("row.*")
     typed = coerce_nulls(parsed.where(F.col("id").isNotNull()))
     if encoder is None:
         return typed
-    texts = typed.where(F.col("embedding").isNull()).select(
-        F.col("id").alias("query_id"), F.concat_ws(" ", "name", "description").alias("text")
-    )
-    encoded = encoder(texts).select(F.col("query_id").alias("id"), "vector")
-    return typed.join(encoded, "id", "left").select(
-        *typed.drop("embedding").columns,
-        F.coalesce("embedding", F.col("vector").cast("array<float>")).alias("embedding"),
-    )
+    text = F.when(F.col("embedding").isNull(), F.concat_ws(" ", "name", "description"))
+    encoded = encoder(typed.withColumns({"query_id": F.col("id"), "text": text}))
+    vector = F.coalesce("embedding", F.col("vector").cast("array<float>"))
+    return encoded.withColumn("embedding", vector).select(*typed.columns)
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
