@@ -24,7 +24,7 @@ from shortlist.operators.blocks import (
 from shortlist.operators.index import META
 from shortlist.operators.lexical import ranked
 from shortlist.operators.queries import Limits, query_table
-from shortlist.session import sent_if_few
+from shortlist.session import materialize, sent_if_few
 
 MAX_CELLS_SENT = 100_000
 
@@ -103,16 +103,15 @@ def search_cells(
     table = query_table(queries, limits)
     plain = queries.select("query_id", "vector")
     probes = search_vector(plain, _as_items(centroids), n_probe, limits)
-    asked = probes.select("query_id", F.col("id").alias("probed")).join(table.rows, "query_id")
+    probes = materialize(probes.select("query_id", F.col("id").alias("cell")))
+    asked = probes.join(table.rows, "query_id")
     here = items.where(F.col("embedding").isNotNull())
     blocks = _cuts(here, "cell", ITEMS_PER_CELL).join(
-        _cuts(asked.withColumnRenamed("probed", "cell"), "cell", QUERIES_PER_CELL).withColumnRenamed(
-            "cuts", "query_cuts"
-        ),
+        _cuts(probes, "cell", QUERIES_PER_CELL).withColumnRenamed("cuts", "query_cuts"),
         "cell",
     )
     # One row per cell: sent to the items, so that no hot cell is shuffled whole.
-    blocks = sent_if_few(blocks, MAX_CELLS_SENT)
+    blocks = sent_if_few(materialize(blocks), MAX_CELLS_SENT)
     key = F.struct("cell", "cut").alias("cell")
     left = here.join(blocks, "cell").select(
         "id",
@@ -122,8 +121,7 @@ def search_cells(
         F.explode(F.sequence(F.lit(0), F.col("query_cuts") - 1)).alias("part"),
     )
     right = (
-        asked.withColumnRenamed("probed", "cell")
-        .join(blocks, "cell")
+        asked.join(blocks, "cell")
         .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("query_cuts")).cast("int"))
         .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         .select(*QUERY_COLUMNS, key, "part")
