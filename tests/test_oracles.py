@@ -37,11 +37,11 @@ def table(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    assert set(entry.QUERIES) - set(entry.oracle_sql()) == NO_SQL
     assert not set(entry.oracle_sql()) - set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     rows = got.collect()
