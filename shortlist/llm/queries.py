@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shortlist.llm import ann, chat, url_filter, warc
 from shortlist.llm.bpe_documents import encode_documents
 from shortlist.llm.packing import pack_documents
 from shortlist.llm.storage import new_folder
@@ -20,6 +21,43 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Rules come before the list: the longest that fits decides.
+RULES = [
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+]
+
+
+def op1_url_filter(spark, sf):
+    """The list: canonical urls of the pages whose record is labelled toxic."""
+    pages = _table(spark, sf, "pages")
+    toxic = _table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    listed = pages.join(toxic, "page_id", "left_semi")
+    listed = listed.select(url_filter.canonical_url(F.col("url")).alias("canonical"))
+    return url_filter.filter_urls(pages, RULES, listed)
+
+
+def op2_ann(spark, sf):
+    vectors = _table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_chat_views(spark, sf):
+    views = chat.perspectives(_table(spark, sf, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return views.select(
+        "conv_id", "speaker", "part", "n_turns", F.md5("text").alias("text_md5"), spans.alias("mask"), "n_learnt"
+    )
+
+
+def op6_warc(spark, sf):
+    folder = new_folder(spark, "warc")
+    index = warc.write_bundles(warc.plan_records(_table(spark, sf, "pages")), folder)
+    return warc.read_bundles(index, folder).drop("url", "payload")
+
+
 def op3_token_files(spark, sf):
     folder = new_folder(spark, "tokens")
     parts = write_tokens(_table(spark, sf, "documents"), folder, _vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -40,5 +78,80 @@ def op10_packing(spark, sf):
     return pack_documents(_table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_bpe, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op10_packing)}
+
+_HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP1 = f"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id, coalesce({_HOST}, '') AS host,
+    coalesce(substr(regexp_extract(rest, '^([^?#]*)', 1), length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS params
+  FROM cut
+), canon AS (
+  SELECT page_id, host, path, CASE WHEN host <> '' THEN concat(regexp_replace(host, '^www[.]', ''),
+    regexp_replace(path, '/+$', ''), CASE WHEN len(params) > 0 THEN concat('?', array_to_string(params, '&')) ELSE '' END)
+    END AS canonical
+  FROM parts
+), judged AS (
+  SELECT *, CASE
+      WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+    END AS rule
+  FROM canon
+), listed AS (
+  SELECT DISTINCT canonical FROM canon WHERE canonical IS NOT NULL
+    AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+)
+SELECT page_id, host, path, canonical, rule, rule IS NULL AND l.canonical IS NOT NULL AS listed,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM judged LEFT JOIN listed l USING (canonical)
+"""
+
+_OP5 = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM turns
+), speakers AS (
+  SELECT DISTINCT conv_id AS of, role AS speaker FROM turns WHERE role <> 'system'
+), pieces AS (
+  SELECT conv_id, speaker, place // 256 AS part, place, role = speaker AS mine,
+    CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10)
+      WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
+      ELSE '<|im_start|>user name=' || replace(role, '<|', '< |') || chr(10) END AS head,
+    replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM placed JOIN speakers ON conv_id IS NOT DISTINCT FROM of
+), spots AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place) AS stop FROM pieces
+)
+SELECT conv_id, speaker, CAST(part AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n_turns,
+  md5(string_agg(head || body, '' ORDER BY place)) AS text_md5,
+  coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY place) FILTER (WHERE mine), '') AS mask,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE mine), 0) AS INTEGER) AS n_learnt
+FROM spots GROUP BY conv_id, speaker, part
+"""
+
+_OP6 = """
+WITH held AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits
+  FROM pages
+), firsts AS (
+  SELECT html, min(page_id) AS first FROM held GROUP BY html
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+    + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+    + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+    + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM held JOIN firsts USING (html)
+"""
+
+ORACLES = {"op1_url_filter": _OP1, "op5_chat_views": _OP5, "op6_warc": _OP6}

@@ -54,10 +54,10 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 coder = LibraryCoder(tokenizer)
                 width = 2 if max(coder.size, end_id + 1) <= 1 << 16 else 4
                 system, path = file_system(folder)
-                ids_file = system.open_output_stream(f"{path}/{name}.ids")
-                idx_file = system.open_output_stream(f"{path}/{name}.idx")
+                ids_file = system.open_output_stream(f"{path}/{name}.ids", compression=None)
+                idx_file = system.open_output_stream(f"{path}/{name}.idx", compression=None)
                 idx_file.write(np.zeros(1, "<u8").tobytes())
-                doc_file = system.open_output_stream(f"{path}/{name}.docs")
+                doc_file = system.open_output_stream(f"{path}/{name}.docs", compression=None)
                 schema = pa.schema([("doc_id", pa.int64())])
                 doc_rows = pa.ipc.new_file(doc_file, schema)
             for flat, counts in coder.encode(batch.column("text").to_pylist()):
