@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shortlist.llm import ann, chat, url_filter, warc
+from shortlist.llm import ann, chat, ngram_join, quality, url_filter, warc
 from shortlist.llm.bpe_documents import encode_documents
 from shortlist.llm.packing import pack_documents
 from shortlist.llm.storage import new_folder
@@ -74,11 +74,27 @@ def op4_bpe(spark, sf):
     )
 
 
+def op8_quality(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", "text")
+    measured = quality.store(quality.with_measures(docs, ["lang"]).drop("text"))
+    judged = quality.judge(measured, *quality.fit_cutoffs(measured, _table(spark, sf, "labels")))
+    return judged.select(
+        "doc_id",
+        *(f"quality_measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        "base_failed",
+        "kept",
+    )
+
+
+def op9_ngram_join(spark, sf):
+    return ngram_join.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op10_packing(spark, sf):
     return pack_documents(_table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op8_quality, op9_ngram_join, op10_packing)}
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP1 = f"""
