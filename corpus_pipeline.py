@@ -1,12 +1,72 @@
-"""A corpus pipeline of four stages over ``documents``."""
+"""A corpus pipeline over ``documents``: quality, near duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
+but the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
-from shortlist.llm.queries import op10_packing
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shortlist.llm import ngram_join, packing, pii, quality
+from shortlist.llm.storage import new_folder
+
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the certified cutoffs keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    measured = quality.store(quality.with_measures(docs, ["lang"]))
+    judged = quality.judge(measured, *quality.fit_cutoffs(measured, labels))
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: that with the least ``doc_id``, or any of equal rows.
+
+    Rows without a ``doc_id`` belong to no class and stay.
+    """
+    found = ngram_join.near_duplicates(docs)
+    firsts = found.where("doc_id = class_id").select(F.col("doc_id").alias("first")).distinct()
+    kept = docs.join(firsts, docs["doc_id"] == firsts["first"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind; null texts stay null."""
+    found = pii.personal_data(F.col("text"), pii.fit(docs), with_text=True)["redacted"]
+    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
+    clean = docs.withColumn("redacted", found).withColumn("text", text)
+    clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), END_ID).drop("ids")
+
 
-STAGES = [("packing", lambda spark, docs, sf_dir: op10_packing(spark, sf_dir))]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("packing", pack),
+]
+# Min-hashes, tokens and the curve have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return op10_packing(spark, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stored and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        folder = new_folder(spark, "stage")
+        out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shortlist.llm import ann, chat, ngram_join, quality, url_filter, warc
+from shortlist.llm import ann, chat, ngram_join, pii, quality, url_filter, warc
 from shortlist.llm.bpe_documents import encode_documents
 from shortlist.llm.packing import pack_documents
 from shortlist.llm.storage import new_folder
@@ -74,6 +74,19 @@ def op4_bpe(spark, sf):
     )
 
 
+def op7_pii(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.personal_data(F.col("text"), pii.fit(docs))["spans"].alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans")
+    )
+
+
 def op8_quality(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", "lang", "text")
     measured = quality.store(quality.with_measures(docs, ["lang"]).drop("text"))
@@ -94,7 +107,7 @@ def op10_packing(spark, sf):
     return pack_documents(_table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op8_quality, op9_ngram_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op7_pii, op8_quality, op9_ngram_join, op10_packing)}
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP1 = f"""
