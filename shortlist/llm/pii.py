@@ -157,9 +157,11 @@ def _counter(batches):
 
 
 def fit(docs: DataFrame) -> dict[str, list[float]]:
-    """Log-potentials by shape and by left label, fitted on at most ``SAMPLE_DOCS`` texts."""
+    """Log-potentials by shape and by left label, fitted on at most ``SAMPLE_DOCS`` distinct texts."""
     texts = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
-    sample = texts.orderBy("h", "text").limit(SAMPLE_DOCS)
+    # Hashes first, so that the chosen texts come together in no single task.
+    bound = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = texts.where(F.col("h") <= F.lit(bound).cast("long")).groupBy("h").agg(F.min("text").alias("text"))
     counted = sample.select("text").mapInArrow(_counter, "what string, label int, n long")
     # A few hundred shapes times five labels.
     rows = counted.groupBy("what", "label").agg(F.sum("n").alias("n")).collect()
