@@ -144,5 +144,7 @@ def _reader(folder: str):
 
 def read_documents(parts: DataFrame, folder: str) -> DataFrame:
     """One row per document from the files: where it starts, its length and checksum."""
-    spread = parts.select("part", "name", "width", "n_docs", "base").repartition("part")
+    # A number given keeps small rows that stand for large files from being put together.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = parts.select("part", "name", "width", "n_docs", "base").repartition(tasks, "part")
     return spread.mapInArrow(_reader(folder), ROWS)
