@@ -18,7 +18,9 @@ def _canonical(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return json.dumps(json.loads(text, parse_constant=lambda _: None), ensure_ascii=False)
+        value = json.dumps(json.loads(text, parse_constant=lambda _: None), ensure_ascii=False)
+        # An escaped half of a pair is no character; it becomes a question mark.
+        return value.encode("utf-8", "replace").decode("utf-8")
     except (ValueError, RecursionError):
         return None
 

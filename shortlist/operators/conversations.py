@@ -1,17 +1,17 @@
 """Conversation facts, validation and dialogue state.
 
-Facts are one narrow row per conversation. They come either from turn rows
-(aggregates that combine before the shuffle, and at most ``MAX_USER_TURNS + 1``
-user texts per conversation leave a map task) or from folded requests (no
-shuffle at all). A conversation over the turn limit is answered with the closing
-reply, so its texts are never read: ``texts`` is NULL there.
+Facts are one row per conversation, with the texts of all its user turns. They come
+either from turn rows (counts combine before the shuffle) or from folded requests (no
+shuffle at all). Answering closes a conversation over the turn limit without reading
+its texts; ``answered_only`` then leaves them out before they are gathered, and
+``texts`` is NULL there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlist import constants as C
@@ -29,7 +29,9 @@ def _bad_role(role):
     )
 
 
-def facts_from_turns(turns: DataFrame, site: Sequence[str] = ()) -> DataFrame:
+def facts_from_turns(
+    turns: DataFrame, site: Sequence[str] = (), answered_only: bool = False
+) -> DataFrame:
     """Conversation facts from turn rows."""
     role, turn = F.col("role"), F.col("turn")
     marked = F.coalesce(dialogue.prior_marker(F.col("text"), site), F.lit(False))
@@ -41,13 +43,15 @@ def facts_from_turns(turns: DataFrame, site: Sequence[str] = ()) -> DataFrame:
         F.max(F.when(role == "user", turn)).alias("last_user_turn"),
         F.coalesce(F.max((role == "assistant") & marked), F.lit(False)).alias("prior"),
     )
-    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    said = turns.where(role == "user").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")
+    )
+    read = F.lit(True)
+    if answered_only:
+        read = F.col("n_user") <= C.MAX_USER_TURNS
+        said = said.join(counts.where(read).select("conv_id"), "conv_id", "left_semi")
     texts = (
-        turns.where(role == "user")
-        .select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("n", F.row_number().over(by_turn))
-        .where(F.col("n") <= C.MAX_USER_TURNS + 1)
-        .groupBy("conv_id")
+        said.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("texts"))
     )
     return counts.join(texts, "conv_id", "left").select(
@@ -57,7 +61,7 @@ def facts_from_turns(turns: DataFrame, site: Sequence[str] = ()) -> DataFrame:
         (F.col("n_bad_roles") == 0).alias("roles_ok"),
         F.coalesce(F.col("last_turn") == F.col("last_user_turn"), F.lit(False)).alias("user_last"),
         "prior",
-        _within_limit(F.coalesce(F.col("texts")["text"], F.array().cast("array<string>"))),
+        F.when(read, F.coalesce(F.col("texts")["text"], F.array().cast("array<string>"))).alias("texts"),
     )
 
 
@@ -73,11 +77,7 @@ def facts_from_requests(requests: DataFrame, site: Sequence[str] = ()) -> DataFr
         F.coalesce(F.get(messages, F.size(messages) - 1)["role"] == "user", F.lit(False)).alias("user_last"),
         dialogue.has_prior(messages, site).alias("prior"),
         texts.alias("texts"),
-    ).withColumn("texts", _within_limit(F.col("texts")))
-
-
-def _within_limit(texts):
-    return F.when(F.col("n_user") <= C.MAX_USER_TURNS, texts).alias("texts")
+    )
 
 
 def validate_facts(facts: DataFrame) -> DataFrame:
@@ -149,8 +149,7 @@ def context_signals(facts: DataFrame) -> DataFrame:
 def dialogue_state(facts: DataFrame) -> DataFrame:
     """All derived columns of a conversation, with ``intent`` and ``route``.
 
-    ``route`` is the intent, or ``LIMIT`` for a conversation over the turn limit
-    (its intent is NULL: it is never asked for).
+    ``route`` is the intent, or ``LIMIT`` for a conversation over the turn limit.
     """
     state = context_signals(message_flags(turn_limit(facts)))
     names = ("latest", "refuse", "compare", "refine", "confirm", "prior", "score")
@@ -159,7 +158,7 @@ def dialogue_state(facts: DataFrame) -> DataFrame:
     return state.withColumns(
         {
             "search_query": dialogue.search_query(F.col("texts")),
-            "intent": F.when(~over, decided),
+            "intent": decided,
             "route": F.when(over, F.lit(C.LIMIT)).otherwise(decided),
         }
     )

@@ -24,10 +24,12 @@ def local_session(cpus: int | str = "*", app: str = "shortlist") -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach; a temporary one only if none is set."""
+    """Folder all executors can reach; a temporary one only in local mode, if none is set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shortlist-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -87,16 +87,29 @@ def test_queries_and_filters(turns):
     assert state[2].filters.job_level is None
 
 
-def test_pages_split_long_conversations(spark):
-    long = spark.range(25).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    rows = fold_conversations(long, page_turns=10).orderBy("page").collect()
-    assert [len(r.messages) for r in rows] == [10, 10, 5]
-    assert [m.content for r in rows for m in r.messages] == [str(i) for i in range(25)]
+def test_a_request_is_a_whole_history(spark):
+    long = spark.range(25).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") * 700).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = fold_conversations(long).collect()
+    assert len(rows) == 1 and [m.turn for m in rows[0].messages] == [i * 700 for i in range(25)]
+    assert [m.content for m in rows[0].messages] == [str(i) for i in range(25)]
+    for facts in (conv.facts_from_requests(fold_conversations(long)), conv.facts_from_turns(long)):
+        state = conv.dialogue_state(facts).collect()
+        assert len(state) == 1 and state[0].over_limit and state[0].latest == "24"
+        assert state[0].context == " ".join(map(str, range(25))) and state[0].intent == "CLARIFY"
 
 
-def test_few_texts_leave_a_task(turns):
-    plan = conv.facts_from_turns(turns)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_texts_of_closed_conversations_are_not_gathered(turns):
+    got = {r.conv_id: r for r in conv.facts_from_turns(turns, answered_only=True).collect()}
+    whole = {r.conv_id: r for r in conv.facts_from_turns(turns).collect()}
+    assert got[5].texts is None and len(whole[5].texts) > C.MAX_USER_TURNS
+    assert all(got[c] == whole[c] for c in got if c != 5)
+
+
+def test_half_a_character_does_not_fail_the_job(spark):
+    from shortlist.operators.responses import clean_responses
+
+    bad = spark.createDataFrame([(1, '{"reply": "a\\ud800b", "recommendations": []}')], "conv_id long, raw string")
+    assert clean_responses(bad).first().reply == "a?b"
 
 
 def test_probes(turns, index):

@@ -114,11 +114,9 @@ FILTERS = """CASE WHEN item_id % 6 = 1 THEN ['K'] END AS f_type,
 
 def bench(filters: str = NO_FILTERS, text: str = "text") -> str:
     return f"""q AS (SELECT item_id AS query_id, {text} AS text, embedding AS vector, {filters}
-  FROM benchmark JOIN embeddings ON vec_id = item_id)"""
+  FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"""
 
 
-PASSAGE_PHRASE = f"array_to_string(regexp_extract_all(text, {WORD})[2:3], ' ')"
-
 ELIGIBLE = f"""eligible AS (
   SELECT q.query_id, c.id FROM q JOIN catalog c ON
     (f_type IS NULL OR coalesce(list_has_any(c.test_types, f_type), false))
@@ -238,8 +236,8 @@ FACTS = f"""facts AS (
     coalesce(list(text ORDER BY turn) FILTER (role = 'user'), []) AS said
   FROM chats GROUP BY conv_id),
 heard AS (
-  SELECT *, n_user > {C.MAX_USER_TURNS} AS over_limit, CASE WHEN NOT over_limit THEN said END AS mine,
-    CASE WHEN NOT over_limit THEN {strip("lower(coalesce(mine[-1], ''))")} END AS latest,
+  SELECT *, n_user > {C.MAX_USER_TURNS} AS over_limit, said AS mine,
+    {strip("lower(coalesce(mine[-1], ''))")} AS latest,
     array_to_string(mine, ' ') AS context FROM facts),
 folded AS (SELECT *, {fold("latest")} AS g, {fold("context")} AS f FROM heard),
 flags AS (
@@ -251,12 +249,12 @@ flags AS (
     TRY_CAST(nullif(regexp_extract(f, {lit(C.DURATION_PATTERN)}, 1), '') AS INTEGER) AS duration_max,
     CASE WHEN len(mine) > 1 THEN context || ' ' || mine[-1] ELSE context END AS search_query FROM folded),
 state AS (
-  SELECT * REPLACE (CASE WHEN len(levels) > 0 THEN levels END AS levels), CASE WHEN over_limit THEN NULL
-    WHEN latest = '' THEN 'CLARIFY' WHEN refuse THEN 'REFUSE' WHEN compare THEN 'COMPARE'
+  SELECT * REPLACE (CASE WHEN len(levels) > 0 THEN levels END AS levels), CASE WHEN latest = '' THEN 'CLARIFY' WHEN refuse THEN 'REFUSE' WHEN compare THEN 'COMPARE'
     WHEN prior AND refine THEN 'REFINE'
     WHEN n_messages >= 3 AND NOT prior AND score >= 1 THEN 'RECOMMEND'
     WHEN n_user <= 1 AND score >= 3 THEN 'RECOMMEND' WHEN n_user > 1 AND score >= 2 THEN 'RECOMMEND'
-    WHEN prior AND confirm THEN 'RECOMMEND' ELSE 'CLARIFY' END AS intent, coalesce(intent, 'LIMIT') AS route FROM flags),
+    WHEN prior AND confirm THEN 'RECOMMEND' ELSE 'CLARIFY' END AS intent,
+    CASE WHEN over_limit THEN 'LIMIT' ELSE intent END AS route FROM flags),
 valid AS (SELECT * FROM state WHERE roles_ok AND user_last)"""
 
 CHAT_QUERIES = f"""asking AS (
@@ -388,8 +386,8 @@ GIVEN_ANSWERS = f"""answers AS (
 ANSWERED = [RAW_TEXTS, CLEANED, REPAIRED, GIVEN_ANSWERS]
 CLEAN = with_(CATALOG, RAW_TEXTS, CLEANED)
 
-TRUTH = f"""truth AS (
-  SELECT DISTINCT item_id AS query_id, c.url FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, {views.PREFIX_CHARS}))
+TRUTH = """truth AS (
+  SELECT DISTINCT item_id AS query_id, c.url FROM benchmark b JOIN documents d ON contains(d.text, b.text)
   JOIN catalog c ON c.id = d.doc_id)"""
 HIT_TABLE = """predicted AS (SELECT query_id, rank, c.url FROM ranked JOIN catalog c USING (id)),
 hit_table AS (
@@ -439,7 +437,7 @@ ORACLES = {
     "catalog_scan": with_(CATALOG) + f"SELECT {FLAT} FROM catalog",
     "catalog_ingest": with_(CATALOG) + f"SELECT {FLAT_FULL} FROM catalog",
     "conversation_fold": with_(chats())
-    + """SELECT conv_id, 0 AS page, count(*) AS n, md5(string_agg(role || '~' || text, '|' ORDER BY turn)) AS messages_md5
+    + """SELECT conv_id, count(*) AS n, md5(string_agg(role || '~' || text, '|' ORDER BY turn)) AS messages_md5
 FROM chats GROUP BY conv_id""",
     "catalog_coerce": with_(CATALOG) + f"SELECT {FLAT_FULL} FROM catalog",
     "recommendation_view": with_(CATALOG) + f"SELECT name, url, {CODES} AS test_type FROM catalog",
@@ -464,17 +462,18 @@ GROUP BY q.query_id""",
     "lexical_index": with_(CATALOG, INDEX) + "SELECT id, term, tf, length FROM postings JOIN lengths USING (id)",
     "lexical_term_stats": with_(CATALOG, INDEX) + "SELECT term, df FROM term_stats",
     "lexical_score": with_(CATALOG, INDEX, bench(), RAW) + f"SELECT query_id, id, {r6('raw')} AS raw FROM raw",
-    "lexical_match_all": with_(CATALOG, INDEX, bench(text=PASSAGE_PHRASE), RAW)
+    "lexical_match_all": with_(CATALOG, INDEX, bench(), RAW)
     + f"SELECT query_id, id, {r6('raw')} AS raw FROM raw JOIN n_terms USING (query_id) WHERE matched = n",
-    "search_lexical": with_(CATALOG, INDEX, bench(FILTERS, PASSAGE_PHRASE), ELIGIBLE, RAW)
+    "search_lexical": with_(CATALOG, INDEX, bench(FILTERS), ELIGIBLE, RAW)
     + f"""SELECT query_id, rank, id, {r6("raw")} AS bm25_score FROM (
   SELECT query_id, id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank
   FROM raw JOIN n_terms USING (query_id) JOIN eligible USING (query_id, id) WHERE matched = n) WHERE rank <= 10""",
-    "vector_normalize": f"""SELECT vec_id, {r6("u[1]")} AS first, {r6("u[64]")} AS last,
-  {r6("sqrt(list_inner_product(u, u))")} AS norm FROM (
+    "vector_normalize": f"""SELECT vec_id, place, {r6("x")} AS x, {r6("norm")} AS norm FROM (
+  SELECT vec_id, unnest(u) AS x, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS place,
+    sqrt(list_inner_product(u, u)) AS norm FROM (
   SELECT vec_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS u FROM (
     SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM (
-      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3)) AS v FROM embeddings)))""",
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3)) AS v FROM embeddings))))""",
     "vector_cosine": f"""SELECT a.vec_id, {r6("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "search_vector": nearest(bench()),
@@ -529,6 +528,13 @@ FROM raw_texts LEFT JOIN repaired USING (conv_id)""",
         f"""SELECT conv_id, NULL::VARCHAR AS test_type, {joined("levels")} AS job_level, NULL::BOOLEAN AS remote_testing,
   adaptive, duration_max FROM state"""
     ),
+    "user_context_long": chat_state("SELECT conv_id, context FROM heard", 3),
+    "context_score_long": chat_state("SELECT conv_id, score FROM flags", 3),
+    "classify_intent_long": chat_state("SELECT conv_id, intent FROM state", 3),
+    "search_query_long": chat_state("SELECT conv_id, search_query FROM state", 3),
+    "extract_filters_long": chat_state(
+        f"SELECT conv_id, {joined('levels')} AS job_level, adaptive, duration_max FROM state", 3
+    ),
     "process_turns": with_(*chat_search(), PLAIN_ANSWERS) + "SELECT * FROM answers",
     "process_turns_answered": with_(*chat_search(), *ANSWERED) + "SELECT * FROM answers",
     "stream_process_turns": with_(*chat_search(), PLAIN_ANSWERS) + "SELECT * FROM answers",
@@ -584,7 +590,7 @@ words AS (
 pairs AS (
   SELECT query_id, id, coalesce(bm25, 0) AS bm25, coalesce(cosine, 0) AS cosine
   FROM (SELECT query_id, id FROM near UNION SELECT query_id, id FROM words)
-  LEFT JOIN words USING (query_id, id) LEFT JOIN near USING (query_id, id))
+  LEFT JOIN scored USING (query_id, id))
 """
 )
 ORACLES["hybrid_join"] = (

@@ -77,7 +77,7 @@ def catalog_ingest(spark, sf):
 def conversation_fold(spark, sf):
     folded = src.fold_conversations(views.chats(spark, sf))
     text = joined(F.transform("messages", lambda m: F.concat_ws("~", m["role"], m["content"])))
-    return folded.select("conv_id", "page", F.size("messages").alias("n"), F.md5(text).alias("messages_md5"))
+    return folded.select("conv_id", F.size("messages").alias("n"), F.md5(text).alias("messages_md5"))
 
 
 def response_emit(spark, sf):
@@ -173,21 +173,14 @@ def lexical_score(spark, sf):
     return hits.select("query_id", "id", r6("raw").alias("raw"))
 
 
-def _phrases(spark, sf):
-    """Short queries: the two words after the first of each passage."""
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = views.search_queries(spark, sf, filtered=True)
-    return rows.withColumn("text", F.array_join(F.slice(words, 2, 2), " "))
-
-
 def lexical_match_all(spark, sf):
-    table = query_table(_phrases(spark, sf).drop("filters"))
+    table = query_table(views.search_queries(spark, sf))
     hits = lexical.lexical_hits(table, views.index(spark, sf), require_all=True)
     return hits.select("query_id", "id", r6("raw").alias("raw"))
 
 
 def search_lexical(spark, sf):
-    found = lexical.search_lexical(_phrases(spark, sf), views.index(spark, sf))
+    found = lexical.search_lexical(views.search_queries(spark, sf, filtered=True), views.index(spark, sf))
     return found.withColumn("bm25_score", r6("bm25_score"))
 
 
@@ -198,9 +191,8 @@ def vector_normalize(spark, sf):
     rows = views.table(spark, sf, "embeddings")
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3))
     unit = rows.select("vec_id", l2_normalize(scaled).alias("unit"))
-    return unit.select(
-        "vec_id", r6(F.get("unit", F.lit(0))).alias("first"), r6(F.get("unit", F.lit(63))).alias("last"), r6(norm(F.col("unit"))).alias("norm")
-    )
+    places = unit.select("vec_id", r6(norm(F.col("unit"))).alias("norm"), F.posexplode("unit").alias("place", "x"))
+    return places.withColumn("x", r6("x"))
 
 
 def text_encode(spark, sf):
@@ -265,13 +257,19 @@ def hybrid_minmax(spark, sf):
 
 
 def _joined_scores(spark, sf):
-    """Scores of the ten best items by keywords and the ten best by vector."""
+    """Full scores of the items that are among the ten best by keywords or by vector."""
     index = views.index(spark, sf)
     queries = views.search_queries(spark, sf, filtered=True)
-    words = materialize(lexical.ranked(_scaled_hits(spark, sf, index), "value", 10))
-    near = materialize(vec.search_vector(queries, index.items))
-    pairs = words.select("query_id", "id").union(near.select("query_id", "id")).distinct()
-    return hybrid.join_scores(pairs, words, near)
+    hits = _scaled_hits(spark, sf, index)
+    words = lexical.ranked(hits, "value", 10)
+    near = vec.search_vector(queries, index.items)
+    keys = ["query_id", "id"]
+    pairs = materialize(words.select(*keys).union(near.select(*keys)).distinct())
+    # Candidates are narrowed; their scores are not.
+    vectors = queries.select("query_id", "vector").join(pairs, "query_id")
+    vectors = vectors.join(views.items(spark, sf).select("id", "embedding"), "id")
+    cosines = vectors.select(*keys, cosine(F.col("vector"), F.col("embedding")).alias("cosine_score"))
+    return hybrid.join_scores(pairs, hits, cosines)
 
 
 def hybrid_join(spark, sf):
@@ -362,8 +360,8 @@ def repair_recommendations(spark, sf):
 # --- conversations ----------------------------------------------------------
 
 
-def _facts(spark, sf, copies=1):
-    return conv.facts_from_turns(views.chats(spark, sf, copies), views.SITE)
+def _facts(spark, sf, copies=1, answered_only=False):
+    return conv.facts_from_turns(views.chats(spark, sf, copies), views.SITE, answered_only)
 
 
 def conversation_validate(spark, sf):
@@ -431,9 +429,30 @@ def extract_filters(spark, sf):
     )
 
 
+def user_context_long(spark, sf):
+    return conv.user_context(_facts(spark, sf, 3)).select("conv_id", "context")
+
+
+def context_score_long(spark, sf):
+    return conv.context_signals(_facts(spark, sf, 3)).select("conv_id", "score")
+
+
+def classify_intent_long(spark, sf):
+    return conv.dialogue_state(_facts(spark, sf, 3)).select("conv_id", "intent")
+
+
+def search_query_long(spark, sf):
+    return conv.dialogue_state(_facts(spark, sf, 3)).select("conv_id", "search_query")
+
+
+def extract_filters_long(spark, sf):
+    found = conv.context_signals(_facts(spark, sf, 3)).select("conv_id", "filters.*")
+    return found.select("conv_id", joined("job_level").alias("job_level"), "adaptive", "duration_max")
+
+
 def _processed(spark, sf, copies=1, responses=None):
     return plan.process_turns(
-        _facts(spark, sf, copies), views.index(spark, sf), views.chat_encoder(spark, sf), responses
+        _facts(spark, sf, copies, True), views.index(spark, sf), views.chat_encoder(spark, sf), responses
     )
 
 
@@ -644,6 +663,11 @@ QUERIES = {
         extract_adaptive,
         extract_duration,
         extract_filters,
+        user_context_long,
+        context_score_long,
+        classify_intent_long,
+        search_query_long,
+        extract_filters_long,
         process_turns,
         process_turns_answered,
         route_counts,

@@ -12,7 +12,6 @@ from shortlist.operators.index import CatalogIndex, build_index, filter_rows, op
 
 SITE = ("catalog.example.com/view",)
 N_CHAT_VECTORS = 500
-PREFIX_CHARS = 60
 INSTRUCTION = "Answer from the catalog only. Reply with one JSON object."
 
 # English phrases put in front of user turns: one per pattern, near misses, none.
@@ -179,7 +178,7 @@ def search_queries(spark: SparkSession, sf_dir: str, filtered: bool = False) ->
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")
     )
-    rows = table(spark, sf_dir, "benchmark").join(vectors, "item_id").select(
+    rows = table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left").select(
         F.col("item_id").alias("query_id"), "text", "vector"
     )
     if not filtered:
@@ -196,13 +195,13 @@ def search_queries(spark: SparkSession, sf_dir: str, filtered: bool = False) ->
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, url): items whose text contains the start of a passage.
+    """(query_id, url): items whose text contains a whole passage.
 
-    The longest whole word inside the start leads to the texts that have it;
-    the start itself is then looked for in those texts only.
+    The longest whole word inside the passage leads to the texts that have it;
+    the passage itself is then looked for in those texts only.
     """
     word = r"[\p{L}\p{N}]+"
-    start = F.substring("text", 1, PREFIX_CHARS)
+    start = F.col("text")
     inner = F.regexp_replace(start, f"^{word}|{word}$", "")
     words = F.transform(
         F.regexp_extract_all(F.lower(inner), F.lit(word), F.lit(0)),
