@@ -313,9 +313,9 @@ RAW_TEXTS = r"""raw_texts AS (
     ELSE head || '{"name": "' || upper(name) || '", "url": "https://wrong.example.com/x", "test_type": "K"}' || tail
     END AS raw
   FROM (SELECT *, head || '{"name": "' || name || '", "url": "' || url || '", "test_type": "K"}' || tail AS body FROM (
-    SELECT conv_id, conv_id % 10 AS kind, name, url, '{"reply": "Answer ' || conv_id || '", "recommendations": [' AS head,
+    SELECT conv_id, conv_id % 10 AS kind, coalesce(name, '') AS name, coalesce(url, '') AS url, '{"reply": "Answer ' || conv_id || '", "recommendations": [' AS head,
       '], "end_of_conversation": false}' AS tail
-    FROM (SELECT DISTINCT conv_id FROM conversations) JOIN catalog ON id = conv_id % 50)))"""
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN catalog ON id = conv_id * 9)))"""
 
 FENCED = lit(r"(?s)```(?:json)?\s*\n?(.*?)\n?```")
 

@@ -12,6 +12,8 @@ from shortlist.operators.index import CatalogIndex, build_index, filter_rows, op
 
 SITE = ("catalog.example.com/view",)
 N_CHAT_VECTORS = 500
+# Model texts name every ninth item: all over the catalog, each item once.
+ITEM_STEP = 9
 INSTRUCTION = "Answer from the catalog only. Reply with one JSON object."
 
 # English phrases put in front of user turns: one per pattern, near misses, none.
@@ -258,8 +260,9 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, raw): one model text per conversation, in ten shapes."""
     conv = F.col("conv_id")
     named = catalog(spark, sf_dir).select(F.col("id").alias("item"), "name", "url")
+    spread = F.col("conv_id") * ITEM_STEP
     ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    rows = ids.withColumn("item", conv % 50).join(named, "item")
+    rows = ids.withColumn("item", spread).join(named, "item", "left").na.fill("", ["name", "url"])
     q = F.lit('"')
 
     def item(name, url):
