@@ -153,16 +153,25 @@ def _whole(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def unit_rows(column) -> tuple[np.ndarray | None, np.ndarray]:
-    """Unit vectors of a list column as a matrix, and where there is one."""
+def unit_rows(column, dims: int | None = None) -> tuple[np.ndarray | None, np.ndarray]:
+    """Unit vectors of a list column as a matrix, and where there is one.
+
+    Vectors of another length than ``dims`` (by default the most frequent), empty ones
+    and those with a null or non-finite component count as missing.
+    """
     column = _whole(column)
-    given = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if dims is None and sizes.any():
+        dims = int(np.bincount(sizes[sizes > 0]).argmax())
+    given = (sizes == dims) & (sizes > 0)
     if not given.any():
         return None, given
-    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64)
-    some = flat.reshape(int(given.sum()), -1)
+    flat = pc.list_flatten(column.filter(pa.array(given))).to_numpy(zero_copy_only=False)
+    some = flat.astype(np.float64).reshape(int(given.sum()), dims)
+    finite = np.isfinite(some).all(axis=1)
+    some = np.where(finite[:, None], some, 0.0)
     length = np.linalg.norm(some, axis=1)
-    matrix = np.zeros((len(column), some.shape[1]))
+    matrix = np.zeros((len(column), dims))
     matrix[given] = some / np.where(length > 0, length, 1.0)[:, None]
     present = given.copy()
     present[given] = length > 0
@@ -226,8 +235,11 @@ def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFr
     ids = _whole(items["id"]).to_pandas().to_numpy()
     matrix, present = None, np.zeros(len(ids), dtype=bool)
     if "embedding" in items.column_names:
-        matrix, present = unit_rows(items["embedding"])
+        dims = None if queries.vectors is None else queries.vectors.shape[1]
+        matrix, present = unit_rows(items["embedding"], dims)
     postings = Postings(items, queries.terms, how.avg_length) if queries.terms else None
+    # Places in the order of ids, whatever their type.
+    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     found = []
     for rows, at in _members(items, queries, present, how):
         cosine = np.zeros((len(rows), len(at)))
@@ -242,7 +254,7 @@ def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFr
         if how.terms:
             wanted = queries.terms.n_terms[rows][:, None] if how.terms == "all" else 1
             score = np.where((matched > 0) & (matched >= wanted), score, -np.inf)
-        q, i = _candidates(score, how.k)
+        q, i = _candidates(score, by_id[at], how.k)
         found.append(
             pd.DataFrame(
                 {
@@ -259,13 +271,17 @@ def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFr
     return best_rows(pd.concat(found, ignore_index=True), how.k)
 
 
-def _candidates(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at or above the k-th score of each row, ties included."""
+def _candidates(score: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k best of each row, in the order of rankings; ties by lower id."""
     n = score.shape[1]
     if n <= k:
         return np.nonzero(np.isfinite(score))
     least = np.partition(score, n - k, axis=1)[:, n - k]
-    return np.nonzero((score >= least[:, None] - _SLACK) & np.isfinite(score))
+    q, i = np.nonzero((score >= least[:, None] - _SLACK) & np.isfinite(score))
+    order = np.lexsort((by_id[i], -np.round(score[q, i], RANK_DIGITS), q))
+    q, i = q[order], i[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], i[place < k]
 
 
 def bounds_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFrame:

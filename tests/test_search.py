@@ -261,3 +261,29 @@ def test_measure(spark):
     assert query_table(queries).small and query_table(queries).n_filtered == 6
     assert not query_table(queries, Limits(queries=7)).small
     assert not query_table(queries, Limits(bytes=100)).small
+
+
+def test_odd_vectors_count_as_missing():
+    import numpy as np
+    import pyarrow as pa
+
+    from shortlist.operators.blocks import unit_rows
+
+    rows = [[1.0, 2.0, 2.0], [4.0], [], None, [0.0, 0.0, 0.0], [1.0, None, 0.0], [float("nan"), 1.0, 1.0], [0.0, 3.0, 4.0]]
+    matrix, present = unit_rows(pa.array(rows, pa.list_(pa.float64())))
+    assert present.tolist() == [True] + [False] * 6 + [True]
+    assert np.allclose(matrix[0], [1 / 3, 2 / 3, 2 / 3]) and np.allclose(matrix[-1], [0, 0.6, 0.8])
+    assert not matrix[1:-1].any()
+    assert unit_rows(pa.array([[], None], pa.list_(pa.float64())))[0] is None
+
+
+def test_ties_leave_k_rows_a_query():
+    import numpy as np
+
+    from shortlist.operators.blocks import _candidates
+
+    score = np.zeros((50, 4000))
+    score[:, 7] = 1.0
+    by_id = np.arange(4000)[::-1]
+    q, i = _candidates(score, by_id, 3)
+    assert len(q) == 150 and i[:3].tolist() == [7, 3999, 3998]
