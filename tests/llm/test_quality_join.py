@@ -200,7 +200,7 @@ def test_bands_reach_the_recall():
         bands, rows = choose_bands(similarity, recall)
         assert bands * rows <= 256 and 1 - (1 - similarity**rows) ** bands >= recall
     with pytest.raises(ValueError):
-        choose_bands(0.05, 0.9999)
+        choose_bands(0.01, 0.9999)
 
 
 def test_components(spark):
