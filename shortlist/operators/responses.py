@@ -10,10 +10,10 @@ from shortlist.functions.parsing import first_json
 from shortlist.functions.text import strip
 from shortlist.schemas import RECOMMENDATION
 
+# Patterns of the four attempts, JSON texts of the values that count as false.
 _FENCED = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 _BRACED = r"(?s)\{.*\}"
 _COMMA = r",\s*([}\]])"
-# JSON texts of the values that count as false.
 _FALSE = ("false", "null", "0", "-0", "0.0", "-0.0", '""', "[]", "{}")
 
 
@@ -47,15 +47,25 @@ def _true(value: Column) -> Column:
 
 
 def _text(value: Column) -> Column:
-    """A value as text: strings as they are, lists of strings in quotes."""
-    plain = F.try_variant_get(value, "$", "string")
-    items = F.try_variant_get(value, "$", "array<string>")
-    quoted = F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-    kind = F.schema_of_variant(value)
+    """A value as text: strings as they are, lists with their strings in quotes, objects as JSON."""
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), _quoted)
+    listed = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(_plain(value))
+
+
+def _plain(value: Column) -> Column:
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def _quoted(item: Column) -> Column:
+    """An item of a list: a string in quotes (double ones if it holds single ones only)."""
+    text = F.try_variant_get(item, "$", "string")
+    mark = F.when(text.contains("'") & ~text.contains('"'), F.lit('"')).otherwise(F.lit("'"))
     return (
-        F.when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
-        .when(kind == "BOOLEAN", F.initcap(plain))
-        .otherwise(plain)
+        F.when(F.is_variant_null(item), F.lit("None"))
+        .when(F.schema_of_variant(item) == "STRING", F.concat(mark, text, mark))
+        .otherwise(_plain(item))
     )
 
 
@@ -71,19 +81,21 @@ def normalize_response(parsed: DataFrame) -> DataFrame:
     """Adds ``is_object``, ``reply``, ``recommendations``, ``end_of_conversation``.
 
     Alternative keys are read where the first is missing or null; items need a
-    name and a url; at most ``MAX_RECOMMENDATIONS`` are kept.
+    name and a url; at most ``MAX_RECOMMENDATIONS`` are kept. An object whose
+    recommendations are a number or a truth value counts as no object.
     """
     rows = parsed.withColumn("_v", F.try_parse_json("parsed"))
     v = F.col("_v")
-    rows = rows.withColumn(
-        "_items", F.try_variant_get(_either(v, "recommendations", "assessments"), "$", "array<variant>")
-    )
+    given = _either(v, "recommendations", "assessments")
+    rows = rows.withColumn("_items", F.try_variant_get(given, "$", "array<variant>"))
+    countable = F.coalesce(F.schema_of_variant(given).rlike("^(ARRAY|OBJECT|STRING)"), F.lit(True))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     whole = F.filter("_items", lambda x: _true(_value(x, "name")) & _true(_value(x, "url")))
     none = F.array().cast(f"array<{RECOMMENDATION.simpleString()}>")
     kept = F.slice(F.transform(whole, _item), 1, C.MAX_RECOMMENDATIONS)
     return rows.withColumns(
         {
-            "is_object": F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
+            "is_object": is_object & countable,
             "reply": F.coalesce(_text(_either(v, "reply", "response")), F.lit("")),
             "recommendations": F.coalesce(kept, none),
             "end_of_conversation": F.coalesce(_true(_either(v, "end_of_conversation", "end")), F.lit(False)),

@@ -78,6 +78,27 @@ def test_types_in_a_list(spark):
     assert row.recommendations[0].test_type == "['K', 'P']"
 
 
+@pytest.mark.parametrize(
+    "types, text",
+    [([1, 2], "[1, 2]"), (["a", None, True], "['a', None, True]"), (["it's"], "[\"it's\"]"), ([], "[]")],
+)
+def test_lists_as_text(spark, types, text):
+    item = {"name": "n", "url": "u", "test_type": types}
+    row = clean(spark, {1: json.dumps({"reply": "r", "recommendations": [item]})})[1]
+    assert row.recommendations[0].test_type == text
+
+
+@pytest.mark.parametrize("given", [5, 0, 1.5, True])
+def test_recommendations_that_are_no_list(spark, given):
+    row = clean(spark, {1: json.dumps({"reply": "r", "recommendations": given, "end_of_conversation": True})})[1]
+    assert row.reply == C.APOLOGY_REPLY and not row.recommendations and not row.end_of_conversation
+
+
+def test_half_of_a_pair(spark):
+    got = clean(spark, {1: '{"reply": "a\\ud800b"}', 2: TEXT})
+    assert got[1].reply == "a?b" and got[2].reply == "Hi"
+
+
 def test_schema_errors(spark):
     bodies = {
         1: FULL,
