@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.constants import DEFAULT_TOP_K, EMBEDDING_DIM
-from shortlist.functions.text import terms
+from shortlist.functions.text import run_lengths, run_starts, terms
 from shortlist.operators.blocks import (
     ITEMS_PER_CELL,
     QUERIES_PER_CELL,
@@ -30,16 +29,28 @@ MAX_CELLS_SENT = 100_000
 
 
 def hashing_encoder(dim: int = EMBEDDING_DIM):
-    """Encoder for when no model is at hand: hashed term counts, unit length."""
+    """Encoder for when no model is at hand: hashed term counts, unit length.
+
+    A term counts in the place that the first eight hex digits of its md5 give,
+    so any engine can compute the vector. A text without terms has zeros only.
+    """
+
+    def place(term: Column) -> Column:
+        return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int").cast("string")
 
     def encode(texts: DataFrame) -> DataFrame:
-        counted = HashingTF(numFeatures=dim, inputCol="_terms", outputCol="_counts").transform(
-            texts.withColumn("_terms", terms(F.coalesce("text", F.lit(""))))
-        )
-        unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
-        return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop(
-            "_terms", "_counts", "_unit"
+        known = F.array_sort(F.transform(terms(F.coalesce("text", F.lit(""))), place))
+        rows = texts.withColumn("_places", known)
+        rows = rows.withColumn("_starts", run_starts(F.col("_places")))
+        runs = run_lengths(F.col("_places"), F.col("_starts"))
+        rows = rows.withColumn("_counts", F.map_from_entries(runs))
+        squares = F.aggregate(F.map_values("_counts"), F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
+        rows = rows.withColumn("_norm", F.sqrt(F.greatest(squares, F.lit(1))))
+        places = F.array(*[F.lit(str(i)) for i in range(dim)])
+        share = F.transform(
+            places, lambda i: (F.coalesce(F.try_element_at("_counts", i), F.lit(0)) / F.col("_norm")).cast("float")
         )
+        return rows.withColumn("vector", share).drop("_places", "_starts", "_counts", "_norm")
 
     return encode
 

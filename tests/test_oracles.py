@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 # Checked by brute force in the other tests: no SQL says what they give.
-NO_SQL = {"text_encode", "search_vector_kmeans"}
+NO_SQL = {"search_vector_kmeans"}
 
 
 @pytest.fixture(scope="module")

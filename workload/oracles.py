@@ -43,6 +43,10 @@ def joined(x: str) -> str:
     return f"array_to_string({x}, '|')"
 
 
+def digest(x: str) -> str:
+    return f"md5(coalesce(array_to_string(list_transform({x}, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ','), ''))"
+
+
 WORD = lit(r"[\p{L}\p{N}]+")
 STOP = "(" + ", ".join(lit(w) for w in C.STOP_WORDS) + ")"
 
@@ -62,6 +66,20 @@ def stem(w: str) -> str:
     )
 
 
+def encoded(rows: str, key: str, text: str, dim: int) -> str:
+    """Hashed term counts of unit length; texts without terms have no row."""
+    return f"""places AS (
+  SELECT key, ('0x' || left(md5({stem("w")}), 8))::BIGINT % {dim} AS place, count(*) AS n
+  FROM (SELECT {key} AS key, unnest({words(text)}) AS w FROM {rows}) WHERE w NOT IN {STOP} GROUP BY ALL),
+encoded AS (
+  SELECT key, list_transform(range({dim}), lambda i: (coalesce(counts[i], 0) / norm)::FLOAT) AS vector
+  FROM (SELECT key, map(list(place), list(n)) AS counts, sqrt(sum(n * n)) AS norm FROM places GROUP BY key))"""
+
+
+def zeros(dim: int) -> str:
+    return f"list_transform(range({dim}), lambda i: 0::FLOAT)"
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -89,7 +107,7 @@ CATALOG = """catalog AS (
 MINUTES = "TRY_CAST(regexp_replace(duration, '[^0-9]', '', 'g') AS INTEGER)"
 
 FLAT = f"""id, name, url, {joined("test_types")} AS test_types, md5(description) AS description_md5, duration,
-  {joined("job_levels")} AS job_levels, remote_testing, adaptive, coalesce(len(embedding), 0) AS n_dims"""
+  {joined("job_levels")} AS job_levels, remote_testing, adaptive, {digest("embedding")} AS embedding_md5"""
 FLAT_FULL = FLAT.replace("duration,", "coalesce(duration, '') AS duration,").replace(
     joined("job_levels"), f"coalesce({joined('job_levels')}, '')"
 )
@@ -220,6 +238,13 @@ def chats(copies: int = 1) -> str:
   FROM ({said}), range({copies}) r(copy) WHERE copy = 0 OR role = 'user')"""
 
 
+PROBE_CHATS = f"""chats AS (
+  SELECT conv_id, unnest(range(CASE WHEN kind = {len(views.PROBES) - 1} THEN {views.LONG_TALK} ELSE 1 END)) AS turn,
+    'user' AS role, {texts(p for _, p, _ in views.PROBES)}[kind + 1] || ' ' || text AS text
+  FROM (SELECT conv_id, conv_id % {len(views.PROBES)} AS kind, arg_min(text, turn) AS text FROM conversations
+    WHERE role = 'user' GROUP BY conv_id))"""
+
+
 MARKS = " OR ".join(f"contains(lower(text), {lit(m)})" for m in (*C.PRIOR_MARKERS, *views.SITE))
 LEVELS = ", ".join(f"CASE WHEN {found('f', p)} THEN {lit(level)} END" for level, p in C.LEVEL_RULES)
 
@@ -262,12 +287,13 @@ CHAT_QUERIES = f"""asking AS (
     CASE WHEN route = 'CLARIFY' THEN {C.CLARIFY_TOP_K} ELSE {C.RETRIEVAL_TOP_K} END AS k FROM valid
   WHERE route IN ('RECOMMEND', 'REFINE', 'COMPARE')
     OR (route = 'CLARIFY' AND length(search_query) > {C.CLARIFY_MIN_QUERY_CHARS})),
+{encoded("asking", "conv_id", "search_query", views.CHAT_DIM)},
 q AS (
-  SELECT conv_id AS query_id, search_query AS text, embedding AS vector, NULL::VARCHAR[] AS f_type,
+  SELECT conv_id AS query_id, search_query AS text, vector, NULL::VARCHAR[] AS f_type,
     CASE WHEN route IN ('RECOMMEND', 'REFINE') THEN levels END AS f_level, NULL::BOOLEAN AS f_remote,
     CASE WHEN route IN ('RECOMMEND', 'REFINE') THEN asking.adaptive END AS f_adaptive,
     CASE WHEN route IN ('RECOMMEND', 'REFINE') THEN duration_max END AS f_minutes
-  FROM asking JOIN embeddings ON vec_id = conv_id % {views.N_CHAT_VECTORS})"""
+  FROM asking LEFT JOIN encoded ON key = conv_id)"""
 
 CODES = "array_to_string(test_types, ', ')"
 CHAT_HITS = f"""hits AS (
@@ -278,9 +304,9 @@ retrieved AS (
   FROM hits WHERE rank <= {C.MAX_RECOMMENDATIONS} GROUP BY query_id)"""
 
 
-def chat_search(copies: int = 1) -> list[str]:
+def chat_search(talks: str = chats()) -> list[str]:
     return [
-        CATALOG, INDEX, chats(copies), FACTS, CHAT_QUERIES, ELIGIBLE, RAW, SCORED,
+        CATALOG, INDEX, talks, FACTS, CHAT_QUERIES, ELIGIBLE, RAW, SCORED,
         fused(k=C.RETRIEVAL_TOP_K), CHAT_HITS,
     ]
 
@@ -307,7 +333,7 @@ RAW_TEXTS = r"""raw_texts AS (
     WHEN 4 THEN replace(body, '], ', ',], ') WHEN 5 THEN '  No list for ' || conv_id || ' today. '
     WHEN 6 THEN '{"response": "Other ' || conv_id || '", "assessments": [{"name": "' || name || '", "url": "' || url
       || '", "test_types": "P"}], "end": true}'
-    WHEN 7 THEN '{"reply": "", "recommendations": null, "end_of_conversation": "false"}'
+    WHEN 7 THEN '{"reply": "' || CASE WHEN conv_id % 20 = 17 THEN ' ' ELSE '' END || '", "recommendations": null, "end_of_conversation": "false"}'
     WHEN 8 THEN head || array_to_string(list_transform(range(12), lambda n: CASE WHEN n IN (3, 7) THEN '{"name": "No url"}'
       ELSE '{"name": "' || name || ' #' || n || '", "url": "' || url || '", "test_type": "K"}' END), ', ') || tail
     ELSE head || '{"name": "' || upper(name) || '", "url": "https://wrong.example.com/x", "test_type": "K"}' || tail
@@ -404,7 +430,7 @@ ITEM_ERRORS = "\n".join(
   FROM entries WHERE json_type(item) = 'OBJECT' AND NOT json_exists(item, '{key}')"""
     for n, key in enumerate(("name", "url", "test_type"))
 )
-SCHEMA_ERRORS = f"""docs AS (SELECT conv_id, doc FROM parsed WHERE attempt IS NOT NULL),
+SCHEMA_ERRORS = f"""docs AS (SELECT conv_id, coalesce(doc, '{{}}'::JSON) AS doc FROM parsed),
 entries AS (
   SELECT conv_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM (
     SELECT conv_id, doc->'$.recommendations[*]' AS items FROM docs WHERE json_type(doc, 'recommendations') = 'ARRAY')),
@@ -430,12 +456,24 @@ def given_errors() -> str:
   WHERE url != '' AND url NOT IN (SELECT url FROM catalog))"""
 
 
+def summary(answers: str) -> str:
+    """Errors and recall of answers whose recommendations are one text."""
+    return f"""SELECT count(*) AS n_traces, (count(*) FILTER (trim(reply) = ''))::BIGINT AS n_schema_errors,
+  coalesce(sum(n_wrong), 0)::BIGINT AS n_url_errors, {r6("avg(recall)")} AS mean_recall FROM (
+  SELECT a.reply, (SELECT count(*) FROM (SELECT split_part(unnest(string_split(nullif(a.recommendations, ''), '|')), '~', 2) AS url)
+      WHERE url NOT IN (SELECT url FROM catalog)) AS n_wrong,
+    CASE WHEN c.url IS NULL THEN 1.0 WHEN contains(a.recommendations || '|', '~' || c.url || '~') THEN 1.0 ELSE 0.0 END AS recall
+  FROM {answers} a LEFT JOIN catalog c ON c.id = a.conv_id * {views.ITEM_STEP})"""
+
+
 TYPES = texts(COMBINED["test_type"])
 JOB_LEVELS = texts(COMBINED["job_level"])
 
 ORACLES = {
     "catalog_scan": with_(CATALOG) + f"SELECT {FLAT} FROM catalog",
-    "catalog_ingest": with_(CATALOG) + f"SELECT {FLAT_FULL} FROM catalog",
+    "catalog_ingest": with_(CATALOG, encoded("catalog", "id", "name || ' ' || description", views.CHAT_DIM))
+    + f"""SELECT {FLAT_FULL} FROM (SELECT * REPLACE (CASE WHEN id % 3 != 0 AND embedding IS NOT NULL THEN embedding
+    ELSE coalesce(vector, {zeros(views.CHAT_DIM)}) END AS embedding) FROM catalog LEFT JOIN encoded ON key = id)""",
     "conversation_fold": with_(chats())
     + """SELECT conv_id, count(*) AS n, md5(string_agg(role || '~' || text, '|' ORDER BY turn)) AS messages_md5
 FROM chats GROUP BY conv_id""",
@@ -474,6 +512,9 @@ GROUP BY q.query_id""",
   SELECT vec_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS u FROM (
     SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM (
       SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3)) AS v FROM embeddings))))""",
+    "text_encode": with_(encoded("documents", "doc_id", "text", C.EMBEDDING_DIM))
+    + f"""SELECT doc_id AS query_id, {digest(f"coalesce(vector, {zeros(C.EMBEDDING_DIM)})")} AS vector_md5
+FROM documents LEFT JOIN encoded ON key = doc_id""",
     "vector_cosine": f"""SELECT a.vec_id, {r6("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])")} AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "search_vector": nearest(bench()),
@@ -569,14 +610,12 @@ FROM docs d LEFT JOIN errors e ON e.conv_id = d.conv_id GROUP BY d.conv_id""",
     "eval_hits": JUDGED + "SELECT query_id, url FROM hit_table WHERE hit",
     "eval_misses": JUDGED + "SELECT query_id, url FROM hit_table WHERE NOT hit",
     "eval_hit_table": JUDGED + "SELECT * FROM hit_table",
-    "eval_probes": with_(*chat_search(3), PLAIN_ANSWERS)
-    + """SELECT lower(route) AS probe, count(*) FILTER (CASE WHEN route = 'LIMIT' THEN end_of_conversation
-  WHEN route IN ('RECOMMEND', 'REFINE') THEN n > 0 ELSE n = 0 END) AS n_passed, count(*) AS n_total FROM answers GROUP BY 1""",
-    "eval_summary": with_(*chat_search(), *ANSWERED, TRUTH)
-    + f"""SELECT count(*) AS n_traces, 0 AS n_schema_errors, 0 AS n_url_errors, {r6("avg(recall)")} AS mean_recall FROM (
-  SELECT conv_id, CASE WHEN count(t.url) = 0 THEN 1.0 ELSE
-    (count(*) FILTER (contains('|' || recommendations || '|', '~' || t.url || '~')))::DOUBLE / count(t.url) END AS recall
-  FROM answers LEFT JOIN truth t ON t.query_id = conv_id GROUP BY conv_id)""",
+    "eval_probes": with_(*chat_search(PROBE_CHATS), PLAIN_ANSWERS)
+    + f"""SELECT {texts(n for n, _, _ in views.PROBES)}[kind + 1] AS probe, count(*) FILTER (CASE {texts(r for _, _, r in views.PROBES)}[kind + 1]
+  WHEN 'ended' THEN end_of_conversation WHEN 'some_recommendations' THEN n > 0 ELSE n = 0 END) AS n_passed, count(*) AS n_total
+FROM (SELECT *, conv_id % {len(views.PROBES)} AS kind FROM answers) GROUP BY 1""",
+    "eval_summary": with_(*chat_search(), *ANSWERED) + summary("answers"),
+    "eval_summary_unrepaired": CLEAN + summary("shown"),
 }
 
 _PAIRS = (

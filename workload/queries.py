@@ -41,8 +41,14 @@ def joined(values: Column | str, mark: str = "|") -> Column:
     return F.array_join(values, mark)
 
 
+def digest(vector: Column | str) -> Column:
+    """Digest of all components in millionths; of nothing, if there is no vector."""
+    parts = F.transform(vector, lambda x: F.round(x.cast("double") * 1e6).cast("long"))
+    return F.md5(F.coalesce(joined(parts, ","), F.lit("")))
+
+
 def flat_items(rows: DataFrame) -> DataFrame:
-    """Catalog rows with lists as texts and without the vector."""
+    """Catalog rows with lists as texts and the vector as its digest."""
     return rows.select(
         "id",
         "name",
@@ -53,7 +59,7 @@ def flat_items(rows: DataFrame) -> DataFrame:
         joined("job_levels").alias("job_levels"),
         "remote_testing",
         "adaptive",
-        F.coalesce(F.size("embedding"), F.lit(0)).alias("n_dims"),
+        digest("embedding").alias("embedding_md5"),
     )
 
 
@@ -70,8 +76,12 @@ def catalog_scan(spark, sf):
 
 
 def catalog_ingest(spark, sf):
-    raw = views.catalog(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
-    return flat_items(cat.ingest_catalog(raw))
+    """JSON lines to a stored catalog and back; every third item has its text encoded."""
+    folder = os.path.join(shared_folder(spark), f"catalog-{uuid.uuid4().hex}")
+    vector = F.when(F.col("id") % 3 != 0, F.col("embedding"))
+    views.catalog(spark, sf).withColumn("embedding", vector).write.json(f"{folder}/lines")
+    cat.write_catalog(cat.ingest_catalog(spark.read.text(f"{folder}/lines"), views.chat_encoder()), f"{folder}/items")
+    return flat_items(cat.read_catalog(spark, f"{folder}/items"))
 
 
 def conversation_fold(spark, sf):
@@ -197,7 +207,7 @@ def vector_normalize(spark, sf):
 
 def text_encode(spark, sf):
     texts = views.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    return vec.hashing_encoder()(texts).select("query_id", "vector")
+    return vec.hashing_encoder()(texts).select("query_id", digest("vector").alias("vector_md5"))
 
 
 def vector_cosine(spark, sf):
@@ -452,7 +462,7 @@ def extract_filters_long(spark, sf):
 
 def _processed(spark, sf, copies=1, responses=None):
     return plan.process_turns(
-        _facts(spark, sf, copies, True), views.index(spark, sf), views.chat_encoder(spark, sf), responses
+        _facts(spark, sf, copies, True), views.index(spark, sf), views.chat_encoder(), responses
     )
 
 
@@ -484,7 +494,7 @@ def route_counts(spark, sf):
 
 def _contexts(spark, sf):
     routed = plan.route_conversations(_facts(spark, sf))
-    items = plan.retrieve(routed, views.index(spark, sf), views.chat_encoder(spark, sf))
+    items = plan.retrieve(routed, views.index(spark, sf), views.chat_encoder())
     return plan.turn_contexts(routed, items)
 
 
@@ -534,8 +544,8 @@ def _recalls(spark, sf):
 
 
 def eval_schema_errors(spark, sf):
-    rows = rsp.recover_json(views.raw_responses(spark, sf)).where(F.col("parsed").isNotNull())
-    found = ev.schema_errors(rows.select("conv_id", F.col("parsed").alias("response")))
+    rows = rsp.recover_json(views.raw_responses(spark, sf))
+    found = ev.schema_errors(rows.select("conv_id", F.coalesce("parsed", "raw").alias("response")))
     return found.select("conv_id", joined("errors").alias("errors"))
 
 
@@ -564,27 +574,23 @@ def eval_hit_table(spark, sf):
     return ev.hit_table(_predicted(spark, sf), views.truth(spark, sf))
 
 
-def _probes(state: DataFrame) -> DataFrame:
-    """What each conversation must lead to, by its route."""
-    route = F.col("route")
-    rule = (
-        F.when(route == "LIMIT", "ended")
-        .when(route.isin("RECOMMEND", "REFINE"), "some_recommendations")
-        .otherwise("no_recommendations")
-    )
-    return state.select("conv_id", F.lower("route").alias("probe"), rule.alias("rule"))
+def eval_probes(spark, sf):
+    facts = conv.facts_from_turns(views.probe_chats(spark, sf), views.SITE)
+    rows = plan.process_turns(facts, views.index(spark, sf), views.chat_encoder())
+    return ev.run_probes(rows, views.probes(spark, sf))
 
 
-def eval_probes(spark, sf):
-    rows = materialize(_processed(spark, sf, 3))
-    return ev.run_probes(rows, _probes(rows.select("conv_id", "route")))
+def _summary(spark, sf, rows):
+    result = evaluate(materialize(rows), views.chat_truth(spark, sf), views.catalog(spark, sf))
+    return result.withColumn("mean_recall", r6("mean_recall"))
 
 
 def eval_summary(spark, sf):
-    rows = materialize(_processed(spark, sf, responses=views.raw_responses(spark, sf)))
-    wanted = views.truth(spark, sf)
-    result = evaluate(rows, wanted, views.catalog(spark, sf))
-    return result.withColumn("mean_recall", r6("mean_recall"))
+    return _summary(spark, sf, _processed(spark, sf, responses=views.raw_responses(spark, sf)))
+
+
+def eval_summary_unrepaired(spark, sf):
+    return _summary(spark, sf, rsp.clean_responses(views.raw_responses(spark, sf)))
 
 
 # --- streaming --------------------------------------------------------------
@@ -597,7 +603,7 @@ def stream_process_turns(spark, sf):
     process_stream(
         src.stream_requests(spark, f"{base}/requests"),
         views.index(spark, sf),
-        views.chat_encoder(spark, sf),
+        views.chat_encoder(),
         f"{base}/answers",
         f"{base}/state",
         views.SITE,
@@ -685,6 +691,7 @@ QUERIES = {
         eval_hit_table,
         eval_probes,
         eval_summary,
+        eval_summary_unrepaired,
         stream_process_turns,
     )
 }

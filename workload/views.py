@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from shortlist.schemas import FILTERS
 from shortlist.operators.index import CatalogIndex, build_index, filter_rows, open_index
+from shortlist.operators.vector_search import hashing_encoder
 
 SITE = ("catalog.example.com/view",)
-N_CHAT_VECTORS = 500
+# As many components as the stored vectors have.
+CHAT_DIM = 64
 # Model texts name every ninth item: all over the catalog, each item once.
 ITEM_STEP = 9
 INSTRUCTION = "Answer from the catalog only. Reply with one JSON object."
@@ -243,17 +245,56 @@ def chats(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
     )
 
 
-def chat_encoder(spark: SparkSession, sf_dir: str):
-    """Encoder that gives each conversation one of the stored vectors."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("_vec"), F.col("embedding").alias("vector")
+def chat_encoder():
+    """Encoder of what the conversations search for."""
+    return hashing_encoder(CHAT_DIM)
+
+
+# What a conversation must lead to, by what its user says.
+PROBES = (
+    ("off topic", "Write me a poem about hiring.", "no_recommendations"),
+    ("vague", "Hello.", "no_recommendations"),
+    ("detailed", "We are hiring a Java developer, mid-level, cognitive test, max 40 minutes.", "some_recommendations"),
+    ("too long", "Hello.", "ended"),
+)
+LONG_TALK = 9
+
+
+def probe_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first user text of each conversation with a probe's phrase in front.
+
+    The texts of the last probe are said ``LONG_TALK`` times.
+    """
+    kind = (F.col("conv_id") % len(PROBES)).cast("int")
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id")
+    said = said.agg(F.min_by("text", "turn").alias("text"))
+    phrase = F.get(F.array(*[F.lit(p) for _, p, _ in PROBES]), kind)
+    last = F.when(kind == len(PROBES) - 1, LONG_TALK - 1).otherwise(0)
+    return said.select(
+        "conv_id",
+        F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("turn"),
+        F.lit("user").alias("role"),
+        F.concat(phrase, F.lit(" "), "text").alias("text"),
+    )
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, probe, rule): what each conversation of ``probe_chats`` must lead to."""
+    kind = (F.col("conv_id") % len(PROBES)).cast("int")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id").distinct()
+    return rows.select(
+        "conv_id",
+        F.get(F.array(*[F.lit(n) for n, _, _ in PROBES]), kind).alias("probe"),
+        F.get(F.array(*[F.lit(r) for _, _, r in PROBES]), kind).alias("rule"),
     )
 
-    def encode(texts: DataFrame) -> DataFrame:
-        chosen = texts.withColumn("_vec", F.col("query_id") % N_CHAT_VECTORS)
-        return chosen.join(vectors, "_vec").drop("_vec")
 
-    return encode
+def chat_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, url): the item that each conversation should be led to."""
+    urls = catalog(spark, sf_dir).select(F.col("id").alias("item"), "url")
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    rows = ids.withColumn("item", F.col("conv_id") * ITEM_STEP).join(urls, "item")
+    return rows.select(F.col("conv_id").alias("query_id"), "url")
 
 
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +355,9 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             (
                 kind == 7,
                 F.concat(
-                    F.lit('{"reply": "", "recommendations": null, "end_of_conversation": "false"}')
+                    F.lit('{"reply": "'),
+                    F.when(conv % 20 == 17, F.lit(" ")).otherwise(F.lit("")),
+                    F.lit('", "recommendations": null, "end_of_conversation": "false"}'),
                 ),
             ),
             (kind == 8, body(twelve)),
