@@ -2,8 +2,8 @@
 
 The one step that built-in operators cannot do well: scoring many items for many
 queries without making a row of each pair. A block of items (an Arrow batch)
-meets a block of queries as matrices and leaves at most k rows per query. Few queries are sent to every task and the items
-stay where they are; many queries meet the items on a grid of bounded cells.
+meets a block of queries as matrices and leaves at most k rows per query. The items
+stay where they are: few queries are sent to every task at once, many in bounded parts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from shortlist.constants import BM25_B, BM25_K1, RANK_DIGITS
 from shortlist.operators.index import META
-from shortlist.operators.queries import QueryTable
+from shortlist.operators.queries import MAX_SENT_QUERIES, QueryTable
+from shortlist.session import MAX_SENT_BYTES, materialize
 
 ITEM_COLUMNS = ("id", "embedding", *META)
 TEXT_COLUMNS = ("id", *META, "terms", "length")
@@ -39,16 +41,13 @@ class Scoring:
     """score = lexical * keyword score + vector * cosine.
 
     ``vectors_only`` leaves out items and queries without a vector; otherwise a
-    missing cosine counts as 0. ``terms`` says which items take part by their
-    terms: those with ``any`` or ``all`` terms of the query, or every item (None).
-    ``avg_length`` is needed where items bring terms.
+    missing cosine counts as 0. ``avg_length`` is needed where items bring terms.
     """
 
     k: int
     lexical: float = 0.0
     vector: float = 1.0
     vectors_only: bool = True
-    terms: str | None = None
     avg_length: float = 1.0
 
 
@@ -247,13 +246,10 @@ def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFr
             cosine = queries.vectors[rows] @ matrix[at].T
         bm25 = np.zeros_like(cosine)
         if postings:
-            raw, matched = (x[:, at] for x in postings.scores(rows))
+            raw = postings.scores(rows)[0][:, at]
             scaled = queries.low is not None
             bm25 = _scaled(raw, queries.low[rows], queries.high[rows]) if scaled else raw
         score = how.lexical * bm25 + how.vector * cosine
-        if how.terms:
-            wanted = queries.terms.n_terms[rows][:, None] if how.terms == "all" else 1
-            score = np.where((matched > 0) & (matched >= wanted), score, -np.inf)
         q, i = _candidates(score, by_id[at], how.k)
         found.append(
             pd.DataFrame(
@@ -354,22 +350,23 @@ def in_cells(items: DataFrame, queries: DataFrame, block: Block, schema: str) ->
     return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def _on_grid(items: DataFrame, table: QueryTable, block: Block, schema: str) -> DataFrame:
-    """A large query table: items and queries meet in cells of bounded size."""
-    parts = max(1, math.ceil(table.n / QUERIES_PER_CELL))
-    cells = max(1, math.ceil(items.select("id").count() / ITEMS_PER_CELL))
-    left = items.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
-    right = table.rows.drop("text").withColumn(
-        "part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
-    ).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return in_cells(left, right, block, schema)
+def _in_turns(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
+    """A large query table: bounded parts of it are sent to the items, each in a pass of its own.
+
+    The items are read once per part and never repeated or shuffled.
+    """
+    # Hashed parts differ in size, so they are planned half full.
+    parts = max(2, math.ceil(2 * table.n / MAX_SENT_QUERIES), math.ceil(2 * table.size / MAX_SENT_BYTES))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    rows = materialize(table.rows.withColumn("_part", part))
+    passes = (table.having(rows.where(F.col("_part") == p).drop("_part")) for p in range(parts))
+    return reduce(DataFrame.unionByName, [_against_sent(items, t, block, combine, schema) for t in passes])
 
 
 def _run(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
     if table.small:
         return _against_sent(items, table, block, combine, schema)
-    return _on_grid(items, table, block, schema)
+    return _in_turns(items, table, block, combine, schema)
 
 
 def _type_of(df: DataFrame, name: str) -> str:
@@ -388,9 +385,8 @@ def top_k_candidates(items: DataFrame, table: QueryTable, how: Scoring) -> DataF
     Keyword scores need ``terms`` and ``n_terms`` in the query table; they are
     scaled where it has ``low`` and ``high``.
     """
-    vector = ITEM_COLUMNS if how.terms is None else ()
     text = TEXT_COLUMNS if "terms" in table.rows.columns else ()
-    names = dict.fromkeys((*vector, *text))
+    names = dict.fromkeys((*ITEM_COLUMNS, *text))
     schema = candidates_schema(items, table.rows)
     return _run(
         items.select(*names),

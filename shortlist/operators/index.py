@@ -110,6 +110,8 @@ def open_index(catalog: DataFrame, name: str) -> CatalogIndex:
 
 
 def drop_index(spark: SparkSession, name: str) -> None:
-    """Forget a stored index."""
+    """Forget a stored index and delete its files."""
     for part in ("items", "terms", "corpus"):
         spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

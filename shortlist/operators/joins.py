@@ -12,8 +12,10 @@ def spread_join(rows: DataFrame, unique: DataFrame, on: str, how: str = "left")
     """Join ``rows`` to ``unique`` on a key that may be hot in ``rows``.
 
     The rows of a key are spread over ``SALTS`` tasks by a hash of the whole row
-    (stable under retries), and ``unique`` is repeated that often. Reduce
-    ``unique`` to the keys of ``rows`` before.
+    (stable under retries), and ``unique`` is repeated that often. Equal rows share a
+    salt; a part that is still too large is split by adaptive execution, which can
+    split the left side of this join anywhere. Reduce ``unique`` to the keys of
+    ``rows`` before.
     """
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
     repeated = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

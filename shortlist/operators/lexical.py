@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shortlist.constants import BM25_B, BM25_K1, DEFAULT_TOP_K, RANK_DIGITS
 from shortlist.functions.filters import permits
-from shortlist.operators.blocks import Scoring, top_k_candidates
 from shortlist.operators.index import META, CatalogIndex
 from shortlist.operators.queries import Limits, QueryTable, query_table, query_terms
 
@@ -53,8 +52,7 @@ def average_length(index: CatalogIndex) -> float:
 def lexical_hits(table: QueryTable, index: CatalogIndex, require_all: bool = False) -> DataFrame:
     """(query_id, id, raw): every eligible item that shares a term with a query.
 
-    The result has a row for every hit; searches, which keep k rows per query, do
-    not take this way (see ``search_lexical``). With few queries their terms go to the postings, which stay where they are;
+    With few queries their terms go to the postings, which stay where they are;
     the sums group by id and reuse the partitioning of the index. With many
     queries both sides are shuffled on (term, salt), so a term that occurs in a
     large part of the catalog is spread over many tasks.
@@ -107,17 +105,9 @@ def search_lexical(
 ) -> DataFrame:
     """(query_id, rank, id, bm25_score): best items that contain the query terms.
 
-    Items are scored where they lie, block by block; at most k of each partition
-    and query leave it, however many items a term occurs in.
+    Hits are summed where the items lie, and Spark keeps the k best of each partition
+    and query before it shuffles for the rank.
     """
-    table = with_terms(query_table(queries, limits), index)
-    how = Scoring(
-        k=k,
-        lexical=1.0,
-        vector=0.0,
-        vectors_only=False,
-        terms="all" if require_all else "any",
-        avg_length=average_length(index),
-    )
-    found = ranked(top_k_candidates(index.items, table, how), "score", k)
-    return found.select("query_id", "rank", "id", F.col("bm25").alias("bm25_score"))
+    hits = lexical_hits(query_table(queries, limits), index, require_all)
+    found = ranked(hits.where(F.col("raw") > 0), "raw", k)
+    return found.select("query_id", "rank", "id", F.col("raw").alias("bm25_score"))

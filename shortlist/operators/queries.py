@@ -2,7 +2,7 @@
 
 A query table has ``query_id``, ``text``, and optionally ``vector`` and
 ``filters`` (see ``schemas.FILTERS``). One measuring job decides whether it is
-small enough to be sent to every task; larger tables take the shuffled plans.
+small enough to be sent to every task at once; larger tables are sent in parts or shuffled.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from shortlist.functions.text import terms
 from shortlist.schemas import FILTERS
+from shortlist.session import MAX_SENT_BYTES
 
 MAX_SENT_QUERIES = 4096
-MAX_SENT_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class QueryTable:
     rows: DataFrame
     n: int
     n_filtered: int
+    size: int
     small: bool
 
     def having(self, rows: DataFrame) -> QueryTable:
@@ -70,7 +71,7 @@ def query_table(queries: DataFrame, limits: Limits = Limits()) -> QueryTable:
     n, n_filtered, size = rows.agg(
         F.count(F.lit(1)), F.count("filters"), F.coalesce(F.sum(width), F.lit(0))
     ).first()
-    return QueryTable(rows, n, n_filtered, n <= limits.queries and size <= limits.bytes)
+    return QueryTable(rows, n, n_filtered, size, n <= limits.queries and size <= limits.bytes)
 
 
 def query_terms(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MAX_SENT_BYTES = 32 << 20
+
 
 def local_session(cpus: int | str = "*", app: str = "shortlist") -> SparkSession:
     """A local session; on a cluster the caller brings the session."""
@@ -47,6 +49,14 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).agg(F.count(F.lit(1))).first()[0] <= rows
 
 
-def sent_if_few(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a narrow table if a count shows that it has at most ``rows`` rows."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def sent_if_few(df: DataFrame, rows: int, size: int = MAX_SENT_BYTES) -> DataFrame:
+    """Broadcast a table if it is measured to have at most ``rows`` rows and ``size`` bytes."""
+
+    def width(name: str, kind: str):
+        if kind == "string":
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) if "<" in kind else F.lit(16)
+
+    total = sum((width(*column) for column in df.dtypes), F.lit(0)).cast("long")
+    n, used = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and used <= size else df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ from shortlist.functions.filters import minutes, permits
 from shortlist.functions.vectors import cosine, l2_normalize
 from shortlist.operators import blocks, filters, hybrid, lexical
 from shortlist.operators import vector_search as vec
-from shortlist.operators.index import META, build_index, filter_rows
+from shortlist.operators.index import META, build_index, drop_index, filter_rows
 from shortlist.operators.queries import Limits, query_table
 from shortlist.schemas import CATALOG, FILTERS
 from tests.conftest import ITEMS
@@ -287,3 +288,29 @@ def test_ties_leave_k_rows_a_query():
     by_id = np.arange(4000)[::-1]
     q, i = _candidates(score, by_id, 3)
     assert len(q) == 150 and i[:3].tolist() == [7, 3999, 3998]
+
+
+def test_dropped_index_leaves_no_files(spark, catalog):
+    where = build_index(catalog, "gone").items.inputFiles()[0]
+    assert os.path.exists(where.removeprefix("file://"))
+    drop_index(spark, "gone")
+    assert not os.path.exists(where.removeprefix("file://"))
+    assert not spark.catalog.tableExists("gone_items")
+
+
+def test_many_queries_are_sent_in_parts(spark, index):
+    rows = [(q, "java sales", [1.0, float(q), 0.0], None) for q in range(50)]
+    queries = spark.createDataFrame(rows, QUERY)
+    for search in (lambda limits: hybrid.search_hybrid(queries, index, limits=limits), lambda limits: vec.search_vector(queries, index.items, limits=limits)):
+        few, many = (sorted(map(str, search(limits).collect())) for limits in (Limits(), Limits(queries=0, bytes=0)))
+        assert few == many and len(few) > 50
+
+
+def test_wide_tables_are_not_sent(spark):
+    from shortlist.session import sent_if_few
+
+    rows = spark.createDataFrame([("x" * 1000,), (None,)], "name string")
+    other = spark.createDataFrame([("y",)], "name string")
+    plan = lambda df: other.join(df, "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(sent_if_few(rows, 10))
+    assert "broadcast" not in plan(sent_if_few(rows, 1)) and "broadcast" not in plan(sent_if_few(rows, 10, 500))
