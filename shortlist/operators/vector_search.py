@@ -36,21 +36,26 @@ def hashing_encoder(dim: int = EMBEDDING_DIM):
     """
 
     def place(term: Column) -> Column:
-        return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int").cast("string")
+        return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
     def encode(texts: DataFrame) -> DataFrame:
         known = F.array_sort(F.transform(terms(F.coalesce("text", F.lit(""))), place))
         rows = texts.withColumn("_places", known)
         rows = rows.withColumn("_starts", run_starts(F.col("_places")))
         runs = run_lengths(F.col("_places"), F.col("_starts"))
-        rows = rows.withColumn("_counts", F.map_from_entries(runs))
-        squares = F.aggregate(F.map_values("_counts"), F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
-        rows = rows.withColumn("_norm", F.sqrt(F.greatest(squares, F.lit(1))))
-        places = F.array(*[F.lit(str(i)) for i in range(dim)])
-        share = F.transform(
-            places, lambda i: (F.coalesce(F.try_element_at("_counts", i), F.lit(0)) / F.col("_norm")).cast("float")
-        )
-        return rows.withColumn("vector", share).drop("_places", "_starts", "_counts", "_norm")
+        rows = rows.withColumn("_runs", runs)
+        squares = F.aggregate("_runs.tf", F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
+        norm = F.sqrt(F.greatest(squares, F.lit(1)))
+        held = F.struct(F.map_from_entries("_runs").alias("counts"), norm.alias("norm"))
+        places = F.sequence(F.lit(0), F.lit(dim - 1))
+
+        def vector(h: Column) -> Column:
+            return F.transform(
+                places, lambda i: (F.coalesce(F.try_element_at(h["counts"], i), F.lit(0)) / h["norm"]).cast("float")
+            )
+
+        # Bound by a lambda, so that counts and norm are computed once per text.
+        return rows.withColumn("vector", F.transform(F.array(held), vector)[0]).drop("_places", "_starts", "_runs")
 
     return encode
 
