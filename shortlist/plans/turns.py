@@ -55,11 +55,10 @@ def retrieve(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Ranked items, with details, of every conversation that searches."""
-    queries = retrieval_queries(routed)
+    # Stored, as the search reads its queries several times: each text is encoded once.
+    queries = materialize(encoder(retrieval_queries(routed)))
     depth = queries.select("query_id", "k")
-    found = search_hybrid(
-        encoder(queries), index, k=C.RETRIEVAL_TOP_K, alpha=alpha, limits=limits
-    )
+    found = search_hybrid(queries, index, k=C.RETRIEVAL_TOP_K, alpha=alpha, limits=limits)
     kept = found.join(depth, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
     few = at_most(depth, limits.queries)
     return with_details(kept, coerce_nulls(index.catalog), few)
