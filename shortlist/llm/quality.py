@@ -2,13 +2,15 @@
 
 Each document gets a few measures; fixed base rules come first. Beyond them, rules with
 a cutoff (share of symbols, of repeated lines and words, mean word length) may reject a
-document. A cutoff may be used in a stratum only if an exact binomial test on the
-labelled good documents there shows that it rejects less than its part of ``risk`` of
-them. Cutoffs of a rule are tested from lax to strict and testing stops at the first
-that fails, so the grid needs no correction; strata and rules are corrected by
-Bonferroni. With probability ``1 - delta``, in every stratum the rules together reject
-less than ``risk`` of the good documents. Among certified cutoffs the one is taken that
-rejects the most bad documents for its good ones; the laxest of equals.
+document. In each stratum the rules become stricter along one path, cutoff by cutoff;
+the stratum's bad documents alone give the order, so the good ones are fresh for the
+test. For each point of the path an exact binomial test asks whether all rules together
+reject less than ``risk`` of the good documents; testing stops at the first point that
+fails, so the path needs no correction, and strata are corrected by Bonferroni. With
+probability ``1 - delta``, in every stratum the rules together reject less than ``risk``
+of the good documents. Laxer cutoffs than those of the last point that passed reject no
+more; among them each rule takes the one that rejects the most further bad documents
+for its good ones; the laxest of equals.
 
 Nulls: a null text has no words; a null stratum column is a stratum of its own; labels
 that are null, or of unknown documents, are ignored, and a document with several labels
@@ -122,21 +124,50 @@ def certified(good_above: list[int], n_good: int, risk: float, delta: float) ->
     return len(good_above)
 
 
+def bad_path(at, n) -> list[list[int]]:
+    """Numbers of usable cutoffs of each rule, from lax to strict.
+
+    ``at``: the laxest cutoff of each rule that rejects a bad document; ``n``: how many
+    such documents. Each step goes on to the next cutoff that rejects any further
+    document, in the rule where these are most.
+    """
+    now, path = [0] * len(GRIDS), []
+    sizes = [len(grid) for grid in GRIDS.values()]
+    while len(at):
+        nexts = [min(int(column.min()), size) for column, size in zip(at.T, sizes)]
+        gains = [int(n[at[:, r] == c].sum()) if c < sizes[r] else 0 for r, c in enumerate(nexts)]
+        r = gains.index(max(gains))
+        if not gains[r]:
+            break
+        now = [*now[:r], nexts[r] + 1, *now[r + 1 :]]
+        path.append(now)
+        left = at[:, r] > nexts[r]
+        at, n = at[left], n[left]
+    return path
+
+
 def _choose(risk: float, delta: float):
     def choose(hist):
+        import numpy as np
         import pandas as pd
 
-        out = {"quality_stratum": hist["quality_stratum"].iloc[0], "n_good": 0}
-        for rule, grid in GRIDS.items():
-            rows = hist[hist["rule"] == rule]
-            n_good = int(rows.loc[rows["good"], "n"].sum())
-            above = lambda good, j: int(rows.loc[(rows["good"] == good) & (rows["level"] > j), "n"].sum())
-            good = [above(True, j) for j in range(len(grid))]
-            bad = [above(False, j) for j in range(len(grid))]
-            usable = range(certified(good, n_good, risk, delta))
-            best = max(usable, key=lambda j: (bad[j] - GOOD_COST * good[j], -j), default=None)
-            takes = best is not None and bad[best] > GOOD_COST * good[best]
-            out |= {"n_good": n_good, rule: grid[best] if takes else None}
+        at, n, is_good = (hist[c].to_numpy() for c in (list(GRIDS), "n", "good"))
+        good, n_good, bad, n_bad = at[is_good], n[is_good], at[~is_good], n[~is_good]
+        path = bad_path(bad, n_bad)
+        rejected = [int(n_good[(good < np.array(point)).any(1)].sum()) for point in path]
+        path = path[: certified(rejected, int(n_good.sum()), risk, delta)]
+        out = {"quality_stratum": hist["quality_stratum"].iloc[0], "n_good": int(n_good.sum())} | dict.fromkeys(GRIDS)
+        # Rules in the order in which the path came to them.
+        for r in sorted(range(len(GRIDS)), key=lambda r: sum(not point[r] for point in path)):
+            rule, grid = list(GRIDS.items())[r]
+            gain = [
+                int(n_bad[bad[:, r] <= j].sum()) - GOOD_COST * int(n_good[good[:, r] <= j].sum())
+                for j in range(path[-1][r] if path else 0)
+            ]
+            if gain and max(gain) > 0:
+                j = gain.index(max(gain))
+                out[rule] = grid[j]
+                good, n_good, bad, n_bad = good[s := good[:, r] > j], n_good[s], bad[t := bad[:, r] > j], n_bad[t]
         return pd.DataFrame([out]).astype({r: "float64" for r in GRIDS})
 
     return choose
@@ -148,18 +179,15 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delt
     known = known.groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
     m = F.col("quality_measures")
     rows = measured.where(~base_failed(m)).select("doc_id", "quality_stratum", "quality_measures").join(known, "doc_id")
-    levels = [
-        F.struct(
-            F.lit(rule).alias("rule"),
-            sum(((score > cut).cast("int") for cut in GRIDS[rule]), F.lit(0)).alias("level"),
-        )
+    # The laxest cutoff of each rule that rejects the document; their number if none does.
+    at = [
+        sum(((score <= cut).cast("int") for cut in GRIDS[rule]), F.lit(0)).alias(rule)
         for rule, score in rule_scores(m).items()
     ]
-    rows = rows.select("quality_stratum", "good", F.explode(F.array(*levels)).alias("at"))
-    # At most rules x cutoffs x 2 rows per stratum.
-    hist = rows.groupBy("quality_stratum", "at.rule", "at.level", "good").agg(F.count("*").alias("n"))
+    # At most 33,660 rows per stratum: a mean word length is at most too long or too short.
+    hist = rows.select("quality_stratum", "good", *at).groupBy("quality_stratum", "good", *GRIDS).agg(F.count("*").alias("n"))
     n_strata = rows.select("quality_stratum").distinct().count()
-    part = risk / len(GRIDS), delta / (max(n_strata, 1) * len(GRIDS))
+    part = risk, delta / max(n_strata, 1)
     schema = "quality_stratum string, n_good long, " + ", ".join(f"{r} double" for r in GRIDS)
     return hist.groupBy("quality_stratum").applyInPandas(_choose(*part), schema), n_strata
 

@@ -92,6 +92,30 @@ def test_cutoffs_reject_bad_and_spare_good(spark):
     assert all(kept[i] for i in kept if i % 50 == 0)
 
 
+def test_all_rules_share_one_test(spark):
+    rows, labels = [], []
+    for i in range(900):
+        good = i % 3 > 0
+        words = [f"w{i}x{j}" for j in range(100)]
+        n = 45 if not good else 6 if i % 30 == 1 else 0
+        rows.append((i, " ".join(["#" + w for w in words[:n]] + words[n:]), "ab"[i % 2]))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = quality.store(quality.with_measures(docs, ["lang"]))
+    cutoffs, n = quality.fit_cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int"))
+    # 300 good labels a stratum: enough for one test with the whole risk, not for five.
+    assert n == 2 and [(r.n_good, r.symbols, r.repeats) for r in cutoffs.collect()] == [(300, 0.4, None)] * 2
+    assert {r.doc_id for r in quality.judge(measured, cutoffs, n).where("kept").collect()} == {i for i in range(900) if i % 3}
+
+
+def test_path_follows_bad_documents():
+    none = [len(g) for g in quality.GRIDS.values()]
+    at = np.array([[4, *none[1:]], [9, *none[1:]], [none[0], 2, *none[2:]], none])
+    path = quality.bad_path(at, np.array([5, 1, 3, 7]))
+    assert path == [[5, 0, 0, 0, 0], [5, 3, 0, 0, 0], [10, 3, 0, 0, 0]]
+    assert quality.bad_path(at[:0], np.array([])) == []
+
+
 def test_quality_of_odd_rows(spark, odd):
     docs = odd.withColumn("kept", F.lit("clash")).withColumn("quality_measures", F.lit(1))
     measured = quality.store(quality.with_measures(docs, ["lang"]))
