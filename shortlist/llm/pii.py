@@ -6,7 +6,10 @@ card and phone. Tokens of base spans are observed. A node's potential comes from
 shape and, with those of neighbouring tokens, is fitted on a bounded sample. Tokens that
 repeat each other (same text without marks, same digits, an address and its name) are
 joined however far apart they are, through one hub per group, so a group of any size
-costs one edge a token. Loopy message passing gives each token's label; a token counts
+costs one edge a token. Numbers written in groups are compared by their joined digits,
+with and without country code: the hub of a phone or card that a base span shows has
+that span's label, and takes in the tokens of each run of number tokens with its digits.
+Loopy message passing gives each token's label; a token counts
 as found if its label is likely and is that of an observed token of its group, or if it
 continues such a token. Found tokens become spans beside the base spans.
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 SAMPLE_DOCS = 4000
 SKIP, LIKELY, ROUNDS = 5.0, 0.8, 12
+# Seven equal digits in a row or more are the same number, as surely as a base span is one.
+SAME_NUMBER, LEAST_DIGITS, MOST_DIGITS = 30.0, 7, 19
 
 # The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +45,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile("[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _MARKS = "\"'.,;:!?()[]{}<>"
+_DIGITS = re.compile("[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -136,6 +143,54 @@ def keys_of(token: str) -> list[str]:
     return keys
 
 
+def number_keys(kind: int, number: str) -> set[str]:
+    """Digits, without leading zeros, that a repeat of an observed phone or card may have."""
+    groups = _DIGITS.findall(number)
+    whole = "".join(groups)
+    if KINDS[kind] == "card":
+        return {whole.lstrip("0")}
+    if len(groups[0]) <= 3:
+        code, tails = groups[0], ["".join(groups[i:]) for i in range(1, len(groups))]
+        tails.append(code + tails[0].lstrip("0") if tails else "")  # without the zero of "+49 (0)30"
+    else:
+        tails = [whole[i:] for i in (1, 2, 3)]  # the code is written together with the rest
+    keys = {digits.lstrip("0") for digits in (whole, *tails)}
+    return {digits for digits in keys if len(digits) >= LEAST_DIGITS}
+
+
+def numbers_of(text: str, base, tokens) -> list[tuple[set[int], list[int]]]:
+    """Kinds and tokens of each observed phone or card that is met again in other tokens."""
+    kinds, members = defaultdict(set), defaultdict(set)
+    starts = [t[0] for t in tokens]
+    for at, kind, end in base:
+        if KINDS[kind] in ("card", "phone"):
+            inside = range(bisect_left(starts, at), bisect_left(starts, end))
+            for key in number_keys(kind, text[at:end]):
+                kinds[key].add(kind + 1)
+                members[key].update(inside)
+    if not kinds:
+        return []
+    # The digits of tokens that may be groups of a number; of others, and of observed ones, none.
+    digits, joined, met = [], [], set()
+    for i, (at, end, label) in enumerate(tokens):
+        token = text[at:end]
+        plain = not label and "@" not in token and not any(c.isalpha() for c in token)
+        digits.append("".join(_DIGITS.findall(token)) if plain else "")
+        joined.append(i > 0 and not text[tokens[i - 1][1] : at].strip(" \t\r\n\xa0()-./"))
+    for i in range(len(tokens)):
+        run, j = digits[i].lstrip("0"), i
+        # Each further token adds a digit or more, so a run has few tokens.
+        while run and len(run) <= MOST_DIGITS:
+            if run in kinds:
+                met.add(run)
+                members[run].update(range(i, j + 1))
+            j += 1
+            if j == len(tokens) or not joined[j] or not digits[j]:
+                break
+            run += digits[j]
+    return [(kinds[key], sorted(members[key])) for key in sorted(met)]
+
+
 def _counter(batches):
     """Counts of shapes by label, and of labels of neighbouring tokens."""
     import pyarrow as pa
@@ -171,19 +226,20 @@ def fit(docs: DataFrame) -> dict[str, list[float]]:
     return {k: [math.log(x / sum(v)) for x in v] for k, v in table.items()}
 
 
-def _messages(unary, chain, groups, pair):
+def _messages(unary, chain, groups, pair, hubs):
     """Label probabilities of all nodes by loopy message passing.
 
-    ``chain``: pairs of neighbours with potentials ``pair``; ``groups``: (node, hub).
+    ``chain``: pairs of neighbours with potentials ``pair``; ``groups``: (node, hub,
+    strength); ``hubs``: the hubs' own potentials.
     """
     import numpy as np
 
-    n, hubs = len(unary), 1 + max((h for _, h in groups), default=-1)
-    belief0 = np.concatenate([unary, np.zeros((hubs, 5))])
-    same = np.eye(5) * SKIP
-    a = np.array([i for i, _ in chain] + [i for i, _ in groups], np.int64)
-    b = np.array([j for _, j in chain] + [n + h for _, h in groups], np.int64)
-    pots = np.stack([pair] * len(chain) + [same] * len(groups)) if len(a) else np.zeros((0, 5, 5))
+    n = len(unary)
+    belief0 = np.concatenate([unary, hubs])
+    same = np.eye(5)
+    a = np.array([i for i, _ in chain] + [i for i, _, _ in groups], np.int64)
+    b = np.array([j for _, j in chain] + [n + h for _, h, _ in groups], np.int64)
+    pots = np.stack([pair] * len(chain) + [same * x for _, _, x in groups]) if len(a) else np.zeros((0, 5, 5))
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
     pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -214,7 +270,8 @@ def added_spans(text: str, base, model: dict) -> list[tuple[int, int, int]]:
             members[key].append(i)
     labels = [t[2] for t in tokens]
     shared = [m for m in members.values() if any(labels[i] for i in m) and not all(labels[i] for i in m)]
-    if not shared:
+    numbers = numbers_of(text, base, tokens)
+    if not shared and not numbers:
         return []
     flat = [math.log(0.96)] + [math.log(0.01)] * 4
     unary = np.array([model.get("s" + shape(text[a:b]), flat) for a, b, _ in tokens])
@@ -223,11 +280,14 @@ def added_spans(text: str, base, model: dict) -> list[tuple[int, int, int]]:
     unary[seen, np.array(labels)[seen]] = 0
     chain = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i][0] - tokens[i - 1][1] <= 1]
     pair = np.array([model.get(f"n{k}", flat) for k in range(5)])
-    groups = [(i, h) for h, m in enumerate(shared) for i in m]
-    p = _messages(unary, chain, groups, pair)
+    groups = [(i, h, SKIP) for h, m in enumerate(shared) for i in m]
+    groups += [(i, h, SAME_NUMBER) for h, (_, m) in enumerate(numbers, len(shared)) for i in m]
+    hubs = np.zeros((len(shared) + len(numbers), 5))
+    for hub, (kinds, _) in zip(hubs[len(shared) :], numbers):
+        hub[[k for k in range(5) if k not in kinds]] = -1e9  # however many repeats say otherwise
+    p = _messages(unary, chain, groups, pair, hubs)
     label = [0] * len(tokens)
-    for m in shared:
-        kinds = {labels[i] for i in m} - {0}
+    for kinds, m in [({labels[i] for i in m} - {0}, m) for m in shared] + numbers:
         for i in m:
             best = int(p[i].argmax())
             if not labels[i] and best in kinds and p[i, best] >= LIKELY:

@@ -84,6 +84,24 @@ def test_distant_repeats_get_the_same_label(spark, docs_of):
     assert pii.redact("a x@y.zz b", pii.base_spans("a x@y.zz b")) == "a <EMAIL> b"
 
 
+def test_numbers_in_groups_are_repeats(spark, docs_of):
+    model = fitted(spark, docs_of)
+    phone, card = "+1 (017) 555-7713", "4111 1111 1111 1111"
+    forms = ["017-555-7713", "(017)555-7713", "0175557713", "(017) 555 7713", "1 017 555 7713", "001 (017) 555-7713", "555 7713"]
+    forms = [(phone, "phone", f) for f in forms] + [("+49 (0)30 1234567", "phone", f) for f in ("030 1234567", "0049 30 1234567")]
+    forms += [("+10175557713", "phone", "(017) 555 7713"), (card, "card", card + " 12"), (card, "card", "4111-1111 1111 1111 12")]
+    for seen, kind, form in forms:
+        text = f"Ask for {seen} first. In 1999 room 42 had 9876543 or 12 34 56 78 things. " + f"Then {form}, it says. " * 40
+        added = pii.added_spans(text, pii.base_spans(text), model)
+        digits = lambda t: re.sub("[^0-9]", "", t)
+        want = digits(form).lstrip("0").removesuffix("12" if kind == "card" else "-")
+        found = [digits(text[a:b]) for a, k, b in added if pii.KINDS[k] == kind]
+        assert len(found) == len(added) == 40 and all(want in f for f in found), (form, found)
+    assert pii.number_keys(2, card) == {"4111111111111111"}
+    long = phone + " " + "1 " * 20_000 + "0 " * 20_000 + "5" * 20_000
+    assert pii.numbers_of(long, pii.base_spans(phone), pii.tokens_of(long, pii.base_spans(phone))) == []
+
+
 def test_odd_rows(spark, odd, docs_of):
     model = pii.fit(odd)
     rows = odd.withColumn("found", pii.personal_data(F.col("text"), model, with_text=True)).collect()
