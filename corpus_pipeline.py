@@ -24,14 +24,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the least ``doc_id``, or any of equal rows.
+    """One row of each class: that with the least ``doc_id`` and text hash, or any of equal rows.
 
     Rows without a ``doc_id`` belong to no class and stay.
     """
-    found = ngram_join.near_duplicates(docs)
-    firsts = found.where("doc_id = class_id").select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == firsts["first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    firsts = ngram_join.firsts(docs).select(F.col("doc_id").alias("first"), F.col("text_hash").alias("first_hash"))
+    rows = docs.withColumn("text_hash", ngram_join.text_hash(F.col("text")))
+    mine = (rows["doc_id"] == firsts["first"]) & (rows["text_hash"] == firsts["first_hash"])
+    kept = rows.join(firsts, mine, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.llm.graph import components
@@ -35,7 +35,7 @@ SIMILARITY, RECALL, MAX_HASHES = 0.8, 0.99, 256
 BLOCK = 1024
 BIN = 1024
 COLUMNS = 4096
-MARKS = "doc_id long, words binary, bands array<long>"
+MARKS = "doc_id long, text_hash long, words binary, bands array<long>"
 SETS = "cell long, blocks int, node long, weight long, shingles binary"
 FOUND = "node long, root long, n_links long"
 
@@ -94,12 +94,13 @@ def _marker(bands: int, rows: int):
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(done, len(run)),
+                        batch.column("text_hash").slice(done, len(run)),
                         pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel())
                         ),
                     ],
-                    names=["doc_id", "words", "bands"],
+                    names=["doc_id", "text_hash", "words", "bands"],
                 )
                 done += len(run)
 
@@ -201,26 +202,47 @@ def _verifier(similarity: float):
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
+    marks, per_text = _classified(docs, similarity, recall)
+    rows = marks.select("doc_id", "words").join(per_text.select("words", "class_id", "n_links"), "words", "left")
+    known = F.col("doc_id").isNotNull()
+    return rows.select(
+        "doc_id", F.when(known, F.col("class_id")).alias("class_id"),
+        F.when(known, F.col("n_links")).otherwise(0).alias("n_links"),
+    )
+
+
+def text_hash(text: Column) -> Column:
+    """Tells texts of one ``doc_id`` apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def firsts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id and text_hash of the row kept of each class: that with the least of both."""
+    _, per_text = _classified(docs, similarity, recall)
+    return per_text.where("is_first").select(F.col("first").alias("doc_id"), "text_hash")
+
+
+def _classified(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Marks of all rows, and the class of each distinct text."""
     spark = docs.sparkSession
     bands, band_rows = choose_bands(similarity, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     folder = new_folder(spark, "marks")
+    texts = texts.withColumn("text_hash", text_hash(F.col("text")))
     texts.mapInArrow(_marker(bands, band_rows), MARKS).write.parquet(folder)
+    texts = texts.drop("text_hash")
     marks = spark.read.schema(MARKS).parquet(folder)
     # One member per distinct text, numbered once it is stored.
     members = marks.where("doc_id is not null").groupBy("words")
-    members = members.agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
+    members = members.agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("weight"), F.first("bands").alias("bands")
+    )
+    members = members.select("words", F.col("least.doc_id").alias("first"), "least.text_hash", "weight", "bands")
     members = materialize(members.withColumn("node", F.monotonically_increasing_id()))
     cells = components(_band_edges(members))
     cells = materialize(cells.select("node", F.col("root").alias("cell")))
     found = materialize(_verify(texts, members, cells, similarity))
-    per_text = _classes(members.drop("bands"), found)
-    rows = marks.select("doc_id", "words").join(per_text, "words", "left")
-    known = F.col("doc_id").isNotNull()
-    return rows.select(
-        "doc_id", F.when(known, F.col("class_id")).alias("class_id"),
-        F.when(known, F.col("n_links")).otherwise(0).alias("n_links"),
-    )
+    return marks, _classes(members.drop("bands"), found)
 
 
 def _band_edges(members: DataFrame) -> DataFrame:
@@ -259,11 +281,15 @@ def _verify(texts: DataFrame, members: DataFrame, cells: DataFrame, similarity:
 
 
 def _classes(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(words, class_id, n_links) of each member: links summed over blocks, classes joined."""
+    """class_id, n_links, is_first of each member: links summed over blocks, classes joined."""
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked = members.join(roots, "node", "left").join(links, "node", "left")
     linked = linked.withColumn("root", F.coalesce("root", "node"))
-    least = linked.groupBy("root").agg(F.min("first").alias("class_id"))
+    mine = F.struct("first", "text_hash")
+    least = linked.groupBy("root").agg(F.min(mine).alias("least"))
     others = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1
-    return linked.join(least, "root", "left").select("words", "class_id", others.alias("n_links"))
+    return linked.join(least, "root", "left").select(
+        "words", "first", "text_hash", F.col("least.first").alias("class_id"), others.alias("n_links"),
+        (mine == F.col("least")).alias("is_first"),
+    )

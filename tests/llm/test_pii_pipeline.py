@@ -149,3 +149,13 @@ def test_pipeline_of_odd_rows(spark, odd, docs_of):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, SF)
             table = spark.createDataFrame(table.collect(), table.schema)
+
+
+def test_copies_under_a_repeated_id(spark, docs_of):
+    x, y, z = ("".join(f"{c}{i} " for i in range(50)) for c in "xyz")
+    rows = [(0, y), (1, x), (1, y), (2, z), (2, z), (2, x), (None, z), (None, z), (3, None)]
+    docs = docs_of(rows)
+    want = [(0, y), (1, x), (2, z), (3, None), (None, z), (None, z)]
+    for table in (docs, docs.orderBy(F.desc("text")), docs.repartition(5)):
+        kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()]
+        assert sorted(kept, key=str) == sorted(want, key=str)
