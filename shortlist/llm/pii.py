@@ -3,7 +3,7 @@
 Base spans come from fixed patterns. The tokens of a document that hold a digit or an
 ``@`` are then nodes of a conditional random field over the labels none, email, ip,
 card and phone. Tokens of base spans are observed. A node's potential comes from its
-shape and, with those of neighbouring tokens, is fitted on a bounded sample. Tokens that
+shape and, with those of neighbouring tokens, is counted over all texts. Tokens that
 repeat each other (same text without marks, same digits, an address and its name) are
 joined however far apart they are, through one hub per group, so a group of any size
 costs one edge a token. Numbers written in groups are compared by their joined digits,
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
-SAMPLE_DOCS = 4000
 SKIP, LIKELY, ROUNDS = 5.0, 0.8, 12
 # Seven equal digits in a row or more are the same number, as surely as a base span is one.
 SAME_NUMBER, LEAST_DIGITS, MOST_DIGITS = 30.0, 7, 19
@@ -212,12 +211,9 @@ def _counter(batches):
 
 
 def fit(docs: DataFrame) -> dict[str, list[float]]:
-    """Log-potentials by shape and by left label, fitted on at most ``SAMPLE_DOCS`` distinct texts."""
-    texts = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
-    # Hashes first, so that the chosen texts come together in no single task.
-    bound = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    sample = texts.where(F.col("h") <= F.lit(bound).cast("long")).groupBy("h").agg(F.min("text").alias("text"))
-    counted = sample.select("text").mapInArrow(_counter, "what string, label int, n long")
+    """Log-potentials by shape and by left label, fitted on all texts."""
+    texts = docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    counted = texts.mapInArrow(_counter, "what string, label int, n long")
     # A few hundred shapes times five labels.
     rows = counted.groupBy("what", "label").agg(F.sum("n").alias("n")).collect()
     table = defaultdict(lambda: [1.0, 0.2, 0.2, 0.2, 0.2])

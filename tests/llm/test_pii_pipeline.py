@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -102,6 +103,18 @@ def test_numbers_in_groups_are_repeats(spark, docs_of):
     assert pii.numbers_of(long, pii.base_spans(phone), pii.tokens_of(long, pii.base_spans(phone))) == []
 
 
+def test_field_counts_all_texts(spark, docs_of):
+    rows = [(i, f"x n{i}a y") for i in range(4500)] + [(i, "12345-67(89) rare") for i in range(4500, 4600)]
+    counts = defaultdict(int)
+    for _, text in rows:
+        for at, end, _ in pii.tokens_of(text, []):
+            counts[pii.shape(text[at:end])] += 1
+    model = pii.fit(docs_of(rows))
+    assert {k: round(math.exp(v[0]), 9) for k, v in model.items()} == {
+        "s" + k: round((1 + n) / (1.8 + n), 9) for k, n in counts.items()
+    }
+
+
 def test_odd_rows(spark, odd, docs_of):
     model = pii.fit(odd)
     rows = odd.withColumn("found", pii.personal_data(F.col("text"), model, with_text=True)).collect()
