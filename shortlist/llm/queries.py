@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shortlist.llm import ann, chat, ngram_join, pii, quality, url_filter, warc
+from shortlist.llm import ann, chat, ngram_join, pii, quality, spelling, url_filter, warc
 from shortlist.llm.bpe_documents import encode_documents
 from shortlist.llm.packing import pack_documents
 from shortlist.llm.storage import new_folder
@@ -107,7 +107,11 @@ def op10_packing(spark, sf):
     return pack_documents(_table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op7_pii, op8_quality, op9_ngram_join, op10_packing)}
+def op11_spelling(spark, sf):
+    return spelling.variants(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op7_pii, op8_quality, op9_ngram_join, op10_packing, op11_spelling)}
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP1 = f"""
