@@ -104,6 +104,17 @@ def ragged(starts, counts):
     return np.arange(counts.sum(), dtype=np.int64) + shift
 
 
+def distinct_of(strings: list[str]):
+    """(place of each string among the distinct ones, distinct strings).
+
+    By Arrow, as pandas takes strings with a NUL character for their part before it.
+    """
+    import pyarrow as pa
+
+    found = pa.array(strings, pa.large_string()).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
 class PieceStore:
     """Ids of distinct pieces, kept for one task; forgets all when it grows too large.
 
@@ -139,12 +150,10 @@ class PieceStore:
     def lookup(self, pieces: list[str]):
         """(flat ids, ids per piece) of a list of pieces."""
         import numpy as np
-        import pandas as pd
 
         if not pieces:
             return np.empty(0, np.uint32), np.zeros(0, np.int64)
-        codes, distinct = pd.factorize(np.array(pieces, dtype=object))
-        distinct = distinct.tolist()
+        codes, distinct = distinct_of(pieces)
         if len(self.index) > self.most or self.used > 16 * self.most:
             self._forget()
         unseen = [p for p in distinct if p not in self.index]

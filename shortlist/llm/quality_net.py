@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.pretokens import ragged, slices
+from shortlist.llm.pretokens import distinct_of, ragged, slices
 from shortlist.llm.shingles import mix
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -43,7 +43,6 @@ _CHARS = 1 << 20
 def token_buckets(texts: list[str]):
     """(bucket of every token, tokens per text)."""
     import numpy as np
-    import pandas as pd
     import xxhash
 
     tokens, sizes = [], []
@@ -54,7 +53,7 @@ def token_buckets(texts: list[str]):
     counts = np.array(sizes, np.int64)
     if not tokens:
         return np.zeros(0, np.int64), counts
-    codes, distinct = pd.factorize(np.array(tokens, dtype=object))
+    codes, distinct = distinct_of(tokens)
     buckets = np.fromiter((xxhash.xxh64_intdigest(t) % BUCKETS for t in distinct), np.int64, len(distinct))
     return buckets[codes], counts
 

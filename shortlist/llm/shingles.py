@@ -12,9 +12,10 @@ PAD = 0x9E3779B97F4A7C15
 def word_hashes(texts: list[str]):
     """(64-bit hashes of all words, words per text)."""
     import numpy as np
-    import pandas as pd
     import xxhash
 
+    from shortlist.llm.pretokens import distinct_of
+
     words, sizes = [], []
     for text in texts:
         got = WORD.findall(text)
@@ -23,7 +24,7 @@ def word_hashes(texts: list[str]):
     counts = np.array(sizes, np.int64)
     if not words:
         return np.empty(0, np.uint64), counts
-    codes, distinct = pd.factorize(np.array(words, dtype=object))
+    codes, distinct = distinct_of(words)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     return hashes[codes], counts
 

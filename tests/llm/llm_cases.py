@@ -11,4 +11,5 @@ ODD = [
     (8, "same text"),
     (8, "other text"),
     (9, "   "),
+    (10, "nul \x00 nul a\x00b a\x00c a nul \x00 nul a\x00b a\x00c a"),
 ]
