@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shortlist.llm import ann, chat, ngram_join, pii, quality, quality_net, spelling, url_filter, warc
+from shortlist.llm import alignment, ann, chat, ngram_join, pii, quality, quality_net, spelling, url_filter, warc
 from shortlist.llm.bpe_documents import encode_documents
 from shortlist.llm.packing import pack_documents
 from shortlist.llm.storage import new_folder
@@ -115,7 +115,14 @@ def op12_quality_net(spark, sf):
     return quality_net.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op7_pii, op8_quality, op9_ngram_join, op10_packing, op11_spelling, op12_quality_net)}
+def op13_alignment(spark, sf):
+    paths = _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")
+    aligned = alignment.align(_table(spark, sf, "documents"), *paths, with_groups=False)
+    rows = alignment.with_link_counts(aligned, len(alignment.Sizes.of(*paths).b))
+    return rows.drop("row").withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ann, op5_chat_views, op6_warc, op3_token_files, op4_bpe, op7_pii, op8_quality, op9_ngram_join, op10_packing, op11_spelling, op12_quality_net, op13_alignment)}
 
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP1 = f"""
