@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import islice
 
 LIMIT = 0x180
 # Starts a piece that is a whole text for the library; no pattern below yields it.
@@ -104,15 +105,18 @@ def ragged(starts, counts):
     return np.arange(counts.sum(), dtype=np.int64) + shift
 
 
-def distinct_of(strings: list[str]):
-    """(place of each string among the distinct ones, distinct strings).
+class Places(dict):
+    """Gives each distinct string the next number."""
 
-    By Arrow, as pandas takes strings with a NUL character for their part before it.
-    """
-    import pyarrow as pa
+    def __missing__(self, string: str) -> int:
+        self[string] = place = len(self)
+        return place
+
+    def of(self, strings):
+        """The number of each string."""
+        import numpy as np
 
-    found = pa.array(strings, pa.large_string()).dictionary_encode()
-    return found.indices.to_numpy(), found.dictionary.to_pylist()
+        return np.fromiter(map(self.__getitem__, strings), np.int64)
 
 
 class PieceStore:
@@ -128,14 +132,15 @@ class PieceStore:
     def _forget(self):
         import numpy as np
 
-        self.index, self.ids, self.used = {}, np.empty(1 << 20, np.uint32), 0
+        self.index, self.ids, self.used = Places(), np.empty(1 << 20, np.uint32), 0
         self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _add(self, pieces: list[str]):
+    def _add(self, old: int):
+        """Encodes the pieces that came to the index after the first ``old`` ones."""
         import numpy as np
 
-        flat, counts = self.encode(pieces)
-        old, new = len(self.index), len(self.index) + len(pieces)
+        new = len(self.index)
+        flat, counts = self.encode(list(islice(reversed(self.index), new - old))[::-1])
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while new > len(self.start):
@@ -145,21 +150,15 @@ class PieceStore:
         self.start[old:new] = self.used + np.cumsum(counts) - counts
         self.count[old:new] = counts
         self.used += len(flat)
-        self.index.update(zip(pieces, range(old, new)))
 
     def lookup(self, pieces: list[str]):
         """(flat ids, ids per piece) of a list of pieces."""
-        import numpy as np
-
-        if not pieces:
-            return np.empty(0, np.uint32), np.zeros(0, np.int64)
-        codes, distinct = distinct_of(pieces)
         if len(self.index) > self.most or self.used > 16 * self.most:
             self._forget()
-        unseen = [p for p in distinct if p not in self.index]
-        if unseen:
-            self._add(unseen)
-        rows = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[codes]
+        old = len(self.index)
+        rows = self.index.of(pieces)
+        if len(self.index) > old:
+            self._add(old)
         counts = self.count[rows]
         return self.ids[ragged(self.start[rows], counts)], counts
 

@@ -14,7 +14,7 @@ def word_hashes(texts: list[str]):
     import numpy as np
     import xxhash
 
-    from shortlist.llm.pretokens import distinct_of
+    from shortlist.llm.pretokens import Places
 
     words, sizes = [], []
     for text in texts:
@@ -24,7 +24,8 @@ def word_hashes(texts: list[str]):
     counts = np.array(sizes, np.int64)
     if not words:
         return np.empty(0, np.uint64), counts
-    codes, distinct = distinct_of(words)
+    distinct = Places()
+    codes = distinct.of(words)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     return hashes[codes], counts
 
