@@ -23,12 +23,14 @@ share of good ones. An empty table gives an empty one; other columns are ignored
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.pretokens import distinct_of, ragged, slices
+from shortlist.llm.pretokens import per_text, ragged, slices
 from shortlist.llm.shingles import mix
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -38,24 +40,41 @@ SAMPLE, HIDDEN, FOLDS = 20_000, 24, 5
 THRESHOLD = 0.3
 _TOKENS_AT_ONCE = 1 << 17
 _CHARS = 1 << 20
+_MOST_WORDS = 400_000
 
 
-def token_buckets(texts: list[str]):
-    """(bucket of every token, tokens per text)."""
-    import numpy as np
-    import xxhash
+class TokenBuckets(dict):
+    """Buckets of the tokens of distinct words, kept for one task; forgets all when it grows too large."""
+
+    def __init__(self):
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.flat, self.starts, self.counts = array("q"), array("q"), array("q")
 
-    tokens, sizes = [], []
-    for text in texts:
-        got = TOKEN.findall(text)
-        tokens += got
-        sizes.append(len(got))
-    counts = np.array(sizes, np.int64)
-    if not tokens:
-        return np.zeros(0, np.int64), counts
-    codes, distinct = distinct_of(tokens)
-    buckets = np.fromiter((xxhash.xxh64_intdigest(t) % BUCKETS for t in distinct), np.int64, len(distinct))
-    return buckets[codes], counts
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        got = [xxhash.xxh64_intdigest(t) % BUCKETS for t in TOKEN.findall(word)]
+        self[word] = place = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.counts.append(len(got))
+        self.flat.extend(got)
+        return place
+
+    def of(self, texts: list[str]):
+        """(bucket of every token, tokens per text). No token reaches over white space."""
+        import numpy as np
+
+        if len(self) > _MOST_WORDS:
+            self._forget()
+        words = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        flat, starts, counts = (np.array(x, np.int64) for x in (self.flat, self.starts, self.counts))
+        per_word = counts[places]
+        return flat[ragged(starts[places], per_word)], per_text(per_word, sizes)
 
 
 def index_vectors():
@@ -63,12 +82,12 @@ def index_vectors():
     import numpy as np
 
     x = mix(mix(np.arange(1, BUCKETS * DIM + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(8)
-    rows = ((x == 0).astype(np.int16) - (x == 1)).reshape(BUCKETS, DIM)
-    return np.vstack([rows, np.zeros((1, DIM), np.int16)]).astype(np.int16)
+    rows = ((x == 0).astype(np.int8) - (x == 1).astype(np.int8)).reshape(BUCKETS, DIM)
+    return np.vstack([rows, np.zeros((1, DIM), np.int8)])
 
 
 def add_contexts(table, counts, index, buckets, sizes) -> None:
-    """Adds the neighbours of every token of some texts to its bucket's row."""
+    """Adds the neighbours of every token of some texts to its bucket's column of ``table``."""
     import numpy as np
 
     # Rows of zeros between texts, so that no context reaches into another text.
@@ -79,25 +98,26 @@ def add_contexts(table, counts, index, buckets, sizes) -> None:
     counts += np.bincount(buckets, minlength=BUCKETS)
     for first in range(0, len(places), _TOKENS_AT_ONCE):
         at = places[first : first + _TOKENS_AT_ONCE]
-        order = np.argsort(spaced[at], kind="stable")
-        at = at[order]
-        context = index[spaced[at - 1]] + index[spaced[at + 1]]
-        for step in range(2, WINDOW + 1):
-            context += index[spaced[at - step]] + index[spaced[at + step]]
-        mine = spaced[at]
-        starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        table[mine[starts]] += np.add.reduceat(context, starts, axis=0, dtype=np.int64)
+        span = index[spaced[at[0] - WINDOW : at[-1] + WINDOW + 1]]
+        size = len(span) - 2 * WINDOW
+        context = np.zeros((size, DIM), np.int8)
+        for step in range(2 * WINDOW + 1):
+            if step != WINDOW:
+                context += span[step : step + size]
+        mine, columns = spaced[at], np.ascontiguousarray(context[at - at[0]].T)
+        for d in range(DIM):
+            table[d] += np.bincount(mine, columns[d], BUCKETS).astype(np.int64)
 
 
 def _context_task(batches):
     import numpy as np
 
-    index = index_vectors()
-    table, counts = np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, np.int64)
+    index, tokens = index_vectors(), TokenBuckets()
+    table, counts = np.zeros((DIM, BUCKETS), np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for run in slices(batch.column("text").to_pylist(), _CHARS):
-            add_contexts(table, counts, index, *token_buckets(run))
-    yield from _table_rows(table, counts)
+            add_contexts(table, counts, index, *tokens.of(run))
+    yield from _table_rows(table.T, counts)
 
 
 def _table_rows(table, counts):
@@ -157,32 +177,33 @@ class WordVectors:
         unit -= share @ unit
         return WordVectors(unit.astype(np.float32), (RARE / (RARE + share)).astype(np.float32))
 
-    def features(self, texts: list[str]):
+    def features(self, texts: list[str], tokens: TokenBuckets):
         """One row of features per text; zeros if it has no tokens."""
         import numpy as np
 
-        buckets, sizes = token_buckets(texts)
+        buckets, sizes = tokens.of(texts)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        plain, weighted = np.zeros((len(sizes), DIM)), np.zeros((len(sizes), DIM))
+        sums = np.zeros((len(sizes), 2, DIM))
         total, close, same = (np.zeros(len(sizes)) for _ in range(3))
         for first in range(0, len(buckets), _TOKENS_AT_ONCE):
             part = slice(first, first + _TOKENS_AT_ONCE)
-            mine, weight = owner[part], self.weights[buckets[part]]
-            starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            vectors = self.vectors[buckets[part]]
-            plain[mine[starts]] += np.add.reduceat(vectors, starts, axis=0)
-            weighted[mine[starts]] += np.add.reduceat(vectors * weight[:, None], starts, axis=0)
-            total[mine[starts]] += np.add.reduceat(weight, starts)
+            mine, vectors = owner[part], self.vectors[buckets[part]]
+            weight = np.stack([np.ones(len(mine), np.float32), self.weights[buckets[part]]])
+            edges = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1], [True]]))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                sums[mine[low]] += weight[:, low:high] @ vectors[low:high]
+            total += np.bincount(mine, weight[1], len(sizes))
             before = np.maximum(np.arange(first, first + len(mine)) - 1, 0)
             # The first token of a text has none before it.
             follows = (owner[before] == mine) & (np.arange(first, first + len(mine)) > 0)
             dots = np.einsum("ij,ij->i", vectors, self.vectors[buckets[before]])
             close += np.bincount(mine, dots * follows, len(sizes))
             same += np.bincount(mine, follows & (buckets[before] == buckets[part]), len(sizes))
-        distinct = np.bincount(np.unique(owner * BUCKETS + buckets) // BUCKETS, minlength=len(sizes))
+        places = np.sort(owner * BUCKETS + buckets)
+        first_of = np.concatenate([places[:1] >= 0, places[1:] != places[:-1]])
+        distinct = np.bincount(places[first_of] // BUCKETS, minlength=len(sizes))
         n = np.maximum(sizes, 1)
-        plain /= n[:, None]
-        weighted /= np.maximum(total, 1e-9)[:, None]
+        plain, weighted = sums[:, 0] / n[:, None], sums[:, 1] / np.maximum(total, 1e-9)[:, None]
         return np.hstack([plain, weighted, np.stack([close / n, same / n, distinct / n, np.log1p(sizes)], 1)])
 
 
@@ -263,10 +284,11 @@ def fold_of(doc_id: Column) -> Column:
 def _features(batches, sent):
     import pyarrow as pa
 
+    tokens = TokenBuckets()
     for batch in batches:
         done = 0
         for run in slices(batch.column("text").to_pylist(), _CHARS):
-            x = sent.value.features(run)
+            x = sent.value.features(run, tokens)
             columns = [c.slice(done, len(run)) for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
             rows = pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.record_batch([*columns, rows], names=["doc_id", "good", "x"])
@@ -277,11 +299,11 @@ def _scores(batches, sent):
     import numpy as np
     import pyarrow as pa
 
+    tokens, (words, network) = TokenBuckets(), sent.value
     for batch in batches:
         done = 0
-        words, network = sent.value
         for run in slices(batch.column("text").to_pylist(), _CHARS):
-            score = np.clip(network.scores(words.features(run)), 0.0, 1.0)
+            score = np.clip(network.scores(words.features(run, tokens)), 0.0, 1.0)
             yield pa.record_batch([batch.column("doc_id").slice(done, len(run)), pa.array(score)], names=["doc_id", "score"])
             done += len(run)
 

@@ -18,7 +18,7 @@ def contexts(texts):
     index = net.index_vectors()
     sums, n = {}, {}
     for text in texts:
-        buckets, _ = net.token_buckets([text or ""])
+        buckets, _ = net.TokenBuckets().of([text or ""])
         for t, b in enumerate(buckets.tolist()):
             near = [u for u in range(t - net.WINDOW, t + net.WINDOW + 1) if u != t and 0 <= u < len(buckets)]
             sums[b] = sums.get(b, np.zeros(net.DIM, np.int64)) + sum((index[buckets[u]].astype(np.int64) for u in near), np.zeros(net.DIM, np.int64))
@@ -45,11 +45,11 @@ def test_context_sums(spark, docs_of, monkeypatch):
 def test_features(spark, docs_of, monkeypatch):
     texts = [t or "" for t in texts_of(2)]
     words = net.WordVectors.of(net.context_table(docs_of(list(enumerate(texts)))))
-    whole = words.features(texts)
+    whole = words.features(texts, net.TokenBuckets())
     monkeypatch.setattr(net, "_TOKENS_AT_ONCE", 5)
-    assert np.allclose(words.features(texts), whole, atol=1e-5)
+    assert np.allclose(words.features(texts, net.TokenBuckets()), whole, atol=1e-5)
     for text, row in zip(texts, whole):
-        b, _ = net.token_buckets([text])
+        b, _ = net.TokenBuckets().of([text])
         if not len(b):
             assert not row.any()
             continue
