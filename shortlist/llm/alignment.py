@@ -148,24 +148,25 @@ class Sizes:
 
 
 class Joint:
-    """Two runs of tokens over the same bytes, given with the places where they end.
+    """Two runs of tokens over the same bytes, which begin and end together.
 
-    The runs begin and end together. ``last_a`` and ``last_b`` mark the tokens that end
-    a group. Between two ends there is one token of each side, so each stretch between
-    neighbouring ends is one link: ``pairs``, ending at ``link_ends``.
+    ``last_a`` and ``last_b`` mark the tokens that end a group. Between two ends there
+    is one token of each side, so each stretch between neighbouring ends is one link:
+    ``pairs``, ending at ``link_ends``.
     """
 
-    def __init__(self, ids_a, ends_a, ids_b, ends_b, size_b: int):
+    def __init__(self, ids_a, ids_b, sizes: Sizes):
         import numpy as np
 
         self.ids_a, self.ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
-        at = np.searchsorted(ends_b, ends_a)
-        self.last_a = ends_b[at] == ends_a
-        self.last_b = np.zeros(len(ends_b), bool)
-        self.last_b[at[self.last_a]] = True
-        self.link_ends = np.union1d(ends_a, ends_b)
-        token_a, token_b = (np.searchsorted(e, self.link_ends) for e in (ends_a, ends_b))
-        self.pairs = self.ids_a[token_a] * size_b + self.ids_b[token_b]
+        self.ends_a, ends_b = np.cumsum(sizes.a[self.ids_a]), np.cumsum(sizes.b[self.ids_b])
+        # Marks of the places where tokens end, by byte.
+        marks = np.zeros((2, int(self.ends_a[-1]) + 1), bool)
+        marks[0, self.ends_a] = marks[1, ends_b] = True
+        self.last_a, self.last_b = marks[1, self.ends_a], marks[0, ends_b]
+        self.link_ends = np.flatnonzero(marks[0] | marks[1])
+        token_a, token_b = (np.cumsum(m[self.link_ends]) - m[self.link_ends] for m in marks)
+        self.pairs = self.ids_a[token_a] * len(sizes.b) + self.ids_b[token_b]
 
     def text(self):
         """(bytes of ``a,a|b;`` for all groups, where the text of each group ends)."""
@@ -207,15 +208,13 @@ def _digits(n: int):
     return _DIGITS[key]
 
 
-def counted(owner, pairs, n_owners: int):
-    """Distinct pairs of each owner in order: (pairs, times, how many per owner)."""
+def counted(pairs):
+    """(distinct values in order, how often each occurs)."""
     import numpy as np
 
-    order = np.lexsort((pairs, owner)) if n_owners > 1 else np.argsort(pairs, kind="stable")
-    owner, pairs = owner[order], pairs[order]
-    first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])) if len(pairs) else np.zeros(0, np.int64)
-    times = np.diff(np.concatenate([first, [len(pairs)]]))
-    return pairs[first], times, np.bincount(owner[first], minlength=n_owners)
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.concatenate([pairs[:1] == pairs[:1], pairs[1:] != pairs[:-1]]))
+    return pairs[first], np.diff(np.concatenate([first, [len(pairs)]]))
 
 
 def _lists(values, counts, kind):
@@ -302,16 +301,17 @@ class Encoder:
         lists = {"pairs": _no_lists(len(here), np.int64), "times": _no_lists(len(here), np.int32)}
         if len(flat_a):
             # All texts one after another: each ends where tokens of both sides end.
-            joint = Joint(flat_a, np.cumsum(self.sizes.a[flat_a]), flat_b, np.cumsum(self.sizes.b[flat_b]), len(self.sizes.b))
+            joint = Joint(flat_a, flat_b, self.sizes)
             link_owner = np.searchsorted(stops, joint.link_ends)
-            groups_at = np.cumsum(self.sizes.a[flat_a])[joint.last_a]
-            n_groups = np.bincount(np.searchsorted(stops, groups_at), minlength=len(here))
+            n_groups = np.bincount(np.searchsorted(stops, joint.ends_a[joint.last_a]), minlength=len(here))
             n_links = np.bincount(link_owner, minlength=len(here))
             written, group_stops = joint.text()
             edges = np.concatenate([[0], group_stops])[np.concatenate([[0], np.cumsum(n_groups)])]
             raw = written.tobytes().decode("ascii")
             texts = [raw[s : max(s, e - 1)] for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            pairs, times, n = counted(link_owner, joint.pairs, len(here))
+            n_pairs = len(self.sizes.a) * len(self.sizes.b)
+            owned, times = counted(link_owner * n_pairs + joint.pairs)
+            n, pairs = np.bincount(owned // n_pairs, minlength=len(here)), owned % n_pairs
             lists = {"pairs": _lists(pairs, n, np.int64), "times": _lists(times, n, np.int32)}
         columns = {"row": rows[here], "doc_id": ids.take(pa.array(here)), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": texts}
         return _batch(f"{ALIGNED}, {CHUNKS}", columns | lists)
@@ -376,8 +376,8 @@ class Fragment:
 
         if not len(ids_a):
             return
-        joint = Joint(ids_a, np.cumsum(sizes.a[ids_a]), ids_b, np.cumsum(sizes.b[ids_b]), len(sizes.b))
-        pairs, times, _ = counted(np.zeros(len(joint.pairs), np.int64), joint.pairs, 1)
+        joint = Joint(ids_a, ids_b, sizes)
+        pairs, times = counted(joint.pairs)
         self.n_groups += int(joint.last_a.sum())
         self.n_links += len(joint.pairs)
         self.groups += joint.text()[0].tobytes().decode("ascii")
@@ -533,8 +533,8 @@ def _sum_pairs(batches):
     for batch in batches:
         pairs, times = batch.column("pairs").flatten().to_numpy(), batch.column("times").flatten().to_numpy()
         if len(pairs):
-            distinct, place = np.unique(pairs, return_inverse=True)
-            yield _batch("pair long, n long", {"pair": distinct, "n": np.bincount(place, times).astype(np.int64)})
+            distinct, n = counted(np.repeat(pairs, times))
+            yield _batch("pair long, n long", {"pair": distinct, "n": n})
 
 
 def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:

@@ -134,7 +134,7 @@ def test_fragments_compose_in_any_tree():
         total = rng.randint(1, 60)
         ids_a, ids_b = run(sizes.a, total), run(sizes.b, total)
         ends_a, ends_b = np.cumsum(sizes.a[ids_a]), np.cumsum(sizes.b[ids_b])
-        joint = Joint(ids_a, ends_a, ids_b, ends_b, 5)
+        joint = Joint(ids_a, ids_b, sizes)
         cuts = [0, *sorted(rng.sample(range(1, total), min(total - 1, rng.randint(0, 8)))), total]
         parts = []
         for low, high in zip(cuts, cuts[1:]):
