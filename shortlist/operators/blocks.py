@@ -1,18 +1,20 @@
 """Blocks of items against blocks of queries.
 
-The one step that built-in operators cannot do well: scoring many items for many
-queries without making a row of each pair. A block of items (an Arrow batch)
-meets a block of queries as matrices and leaves at most k rows per query. The items
-stay where they are: few queries are sent to every task at once, many in bounded parts.
+The one step that built-in operators cannot do well: the cosines of many items with many
+queries without making a row of each pair. A block of items (an Arrow batch) meets a
+block of queries as matrices and leaves at most k rows per query. The items stay where
+they are and are read once. Few queries are sent to every task; a larger table is
+stored in parts of bounded size that the tasks read one after the other, so it never
+passes through the driver. Which items a query's filters permit is computed by Spark
+(``filters.numbered``): items bring the numbers of the filter sets that they meet.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,16 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.constants import BM25_B, BM25_K1, RANK_DIGITS
-from shortlist.operators.index import META
+from shortlist.constants import RANK_DIGITS
 from shortlist.operators.queries import MAX_SENT_QUERIES, QueryTable
-from shortlist.session import MAX_SENT_BYTES, materialize
+from shortlist.session import MAX_SENT_BYTES, shared_folder
 
-ITEM_COLUMNS = ("id", "embedding", *META)
-TEXT_COLUMNS = ("id", *META, "terms", "length")
-QUERY_COLUMNS = ("query_id", "vector", "filters")
+ITEM_COLUMNS = ("id", "embedding", "allowed")
+QUERY_COLUMNS = ("query_id", "vector", "filter_no")
 ITEMS_PER_CELL = 50_000
 QUERIES_PER_CELL = 2_048
+# Queries without filters have this number.
+NO_FILTER = -1
 _SCORES_AT_ONCE = 4_000_000
 _ROWS_PENDING = 500_000
 _SLACK = 2 * 10.0**-RANK_DIGITS
@@ -38,114 +40,32 @@ _SLACK = 2 * 10.0**-RANK_DIGITS
 
 @dataclass(frozen=True)
 class Scoring:
-    """score = lexical * keyword score + vector * cosine.
+    """score = weight * cosine.
 
     ``vectors_only`` leaves out items and queries without a vector; otherwise a
-    missing cosine counts as 0. ``avg_length`` is needed where items bring terms.
+    missing cosine counts as 0.
     """
 
     k: int
-    lexical: float = 0.0
-    vector: float = 1.0
+    weight: float = 1.0
     vectors_only: bool = True
-    avg_length: float = 1.0
-
-
-@dataclass(frozen=True)
-class QueryTerms:
-    """Terms of a block of queries, ordered by query: row, term number, idf."""
-
-    vocabulary: pa.Array
-    row: np.ndarray
-    term: np.ndarray
-    idf: np.ndarray
-    n_terms: np.ndarray
-
-    @staticmethod
-    def of(table: pa.Table) -> QueryTerms:
-        lists = _whole(table["terms"])
-        flat = pc.list_flatten(lists)
-        words = pc.dictionary_encode(flat.field("term"))
-        return QueryTerms(
-            words.dictionary,
-            pc.list_parent_indices(lists).to_numpy(),
-            words.indices.to_numpy(zero_copy_only=False),
-            flat.field("idf").to_numpy(zero_copy_only=False),
-            table["n_terms"].to_pandas().fillna(0).to_numpy(),
-        )
 
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """Queries of one block: ids, unit vectors, terms, and rows by distinct filter."""
+    """Queries of one block: ids, unit vectors, and rows by distinct filter set."""
 
     ids: np.ndarray
     vectors: np.ndarray | None
     has_vector: np.ndarray
-    by_filter: list[tuple[dict | None, np.ndarray]]
-    terms: QueryTerms | None
-    low: np.ndarray | None
-    high: np.ndarray | None
+    by_filter: list[tuple[int, np.ndarray]]
 
     @staticmethod
     def of(table: pa.Table) -> QueryBlock:
         vectors, present = unit_rows(table["vector"])
-        keys = [json.dumps(f, sort_keys=True) for f in table["filters"].to_pylist()]
-        rows = pd.Series(np.arange(len(keys))).groupby(pd.Series(keys, dtype=object))
-        by_filter = [(json.loads(key), members.to_numpy()) for key, members in rows]
-        scales = [
-            table[c].to_pandas().fillna(0.0).to_numpy() if c in table.column_names else None
-            for c in ("low", "high")
-        ]
-        terms = QueryTerms.of(table) if "terms" in table.column_names else None
-        ids = table["query_id"].to_pandas().to_numpy()
-        return QueryBlock(ids, vectors, present, by_filter, terms, *scales)
-
-
-class Postings:
-    """The terms of a block of items that occur in a block of queries, by term."""
-
-    def __init__(self, items: pa.Table, queries: QueryTerms, avg_length: float):
-        lists = _whole(items["terms"])
-        flat = pc.list_flatten(lists)
-        number = pc.index_in(flat.field("term"), value_set=queries.vocabulary)
-        known = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
-        number = number.drop_null().to_numpy()
-        order = np.argsort(number, kind="stable")
-        self.item = pc.list_parent_indices(lists).to_numpy()[known][order]
-        tf = flat.field("tf").to_numpy(zero_copy_only=False)[known][order].astype(float)
-        length = _whole(items["length"]).to_numpy(zero_copy_only=False)[self.item]
-        damping = BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length)
-        self.weight = tf * (BM25_K1 + 1) / (tf + damping)
-        self.start = np.searchsorted(number[order], np.arange(len(queries.vocabulary) + 1))
-        self.n_items = items.num_rows
-        self.queries = queries
-
-    def scores(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keyword score and number of matched terms: queries x items."""
-        q = self.queries
-        place = np.full(len(q.n_terms), -1)
-        place[rows] = np.arange(len(rows))
-        asked = np.flatnonzero(place[q.row] >= 0)
-        first, counts = self.start[q.term[asked]], np.diff(self.start)[q.term[asked]]
-        size = len(rows) * self.n_items
-        score, matched = np.zeros(size), np.zeros(size, dtype=np.int32)
-        ends = np.cumsum(counts)
-        done = 0
-        while done < len(asked):
-            base = ends[done - 1] if done else 0
-            stop = max(done + 1, int(np.searchsorted(ends, base + _SCORES_AT_ONCE, side="right")))
-            part = slice(done, stop)
-            n = counts[part]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            posting = np.repeat(first[part], n) + step
-            entry = np.repeat(asked[part], n)
-            cell = place[q.row[entry]] * self.n_items + self.item[posting]
-            score += np.bincount(cell, q.idf[entry] * self.weight[posting], size)
-            matched += np.bincount(cell, minlength=size).astype(np.int32)
-            done = stop
-        shape = (len(rows), self.n_items)
-        return score.reshape(shape), matched.reshape(shape)
+        numbers = pc.fill_null(_whole(table["filter_no"]), NO_FILTER).to_numpy(zero_copy_only=False)
+        by_filter = [(int(f), np.flatnonzero(numbers == f)) for f in np.unique(numbers)]
+        return QueryBlock(table["query_id"].to_pandas().to_numpy(), vectors, present, by_filter)
 
 
 def _whole(column) -> pa.Array:
@@ -177,30 +97,6 @@ def unit_rows(column, dims: int | None = None) -> tuple[np.ndarray | None, np.nd
     return matrix, present
 
 
-def permitted(items: pa.Table, filters: dict | None) -> np.ndarray:
-    """Which items of a block meet a filter; the same rule as ``filters.permits``."""
-    keep = np.ones(items.num_rows, dtype=bool)
-    for name, wanted in (filters or {}).items():
-        if wanted is None:
-            continue
-        if name == "duration_max":
-            test = pc.less_equal(_whole(items["minutes"]), wanted)
-        elif name in ("remote_testing", "adaptive"):
-            test = pc.equal(_whole(items[name]), wanted)
-        else:
-            test = _shares(_whole(items[f"{name}s"]), wanted)
-        keep &= pc.fill_null(test, False).to_numpy(zero_copy_only=False)
-    return keep
-
-
-def _shares(column: pa.Array, wanted: list[str]) -> pa.Array:
-    hit = pc.is_in(pc.list_flatten(column), value_set=pa.array(wanted, pa.string()))
-    found = np.zeros(len(column), dtype=bool)
-    owner = pc.list_parent_indices(column).to_numpy()
-    found[owner[hit.to_numpy(zero_copy_only=False)]] = True
-    return pa.array(found)
-
-
 def best_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows per query by rounded score, then id."""
     ordered = rows.assign(_key=-np.round(rows["score"].astype(float), RANK_DIGITS)).sort_values(
@@ -210,10 +106,15 @@ def best_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _members(items: pa.Table, queries: QueryBlock, present: np.ndarray, how: Scoring):
-    """Rows of queries with the same filter, a few at a time, and their items."""
+    """Rows of queries with the same filter set, a few at a time, and their items."""
     step = max(1, _SCORES_AT_ONCE // max(1, items.num_rows))
-    for filters, members in queries.by_filter:
-        keep = permitted(items, filters)
+    allowed = _whole(items["allowed"])
+    numbers, owner = pc.list_flatten(allowed).to_numpy(zero_copy_only=False), pc.list_parent_indices(allowed).to_numpy()
+    for number, members in queries.by_filter:
+        keep = np.ones(items.num_rows, dtype=bool)
+        if number != NO_FILTER:
+            keep[:] = False
+            keep[owner[numbers == number]] = True
         if how.vectors_only:
             keep, members = keep & present, members[queries.has_vector[members]]
         at = np.flatnonzero(keep)
@@ -221,22 +122,11 @@ def _members(items: pa.Table, queries: QueryBlock, present: np.ndarray, how: Sco
             yield members[first : first + step], at
 
 
-def _scaled(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Min-max scaling per query; the same rule as ``hybrid.scaled``."""
-    low, high = low[:, None], high[:, None]
-    even = np.where(raw > 0, 1.0, 0.0)
-    spread = (raw - low) / np.where(high > low, high - low, 1.0)
-    return np.where(high == 0, 0.0, np.where(high == low, even, spread))
-
-
 def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFrame:
-    """Best rows of one block: query_id, id, bm25, cosine, score."""
+    """Best rows of one block: query_id, id, cosine, score."""
     ids = _whole(items["id"]).to_pandas().to_numpy()
-    matrix, present = None, np.zeros(len(ids), dtype=bool)
-    if "embedding" in items.column_names:
-        dims = None if queries.vectors is None else queries.vectors.shape[1]
-        matrix, present = unit_rows(items["embedding"], dims)
-    postings = Postings(items, queries.terms, how.avg_length) if queries.terms else None
+    dims = None if queries.vectors is None else queries.vectors.shape[1]
+    matrix, present = unit_rows(items["embedding"], dims)
     # Places in the order of ids, whatever their type.
     by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     found = []
@@ -244,26 +134,12 @@ def score_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFr
         cosine = np.zeros((len(rows), len(at)))
         if matrix is not None and queries.vectors is not None:
             cosine = queries.vectors[rows] @ matrix[at].T
-        bm25 = np.zeros_like(cosine)
-        if postings:
-            raw = postings.scores(rows)[0][:, at]
-            scaled = queries.low is not None
-            bm25 = _scaled(raw, queries.low[rows], queries.high[rows]) if scaled else raw
-        score = how.lexical * bm25 + how.vector * cosine
+        score = how.weight * cosine
         q, i = _candidates(score, by_id[at], how.k)
-        found.append(
-            pd.DataFrame(
-                {
-                    "query_id": queries.ids[rows[q]],
-                    "id": ids[at[i]],
-                    "bm25": bm25[q, i],
-                    "cosine": cosine[q, i],
-                    "score": score[q, i],
-                }
-            )
-        )
+        columns = {"query_id": queries.ids[rows[q]], "id": ids[at[i]], "cosine": cosine[q, i], "score": score[q, i]}
+        found.append(pd.DataFrame(columns))
     if not found:
-        return pd.DataFrame(columns=["query_id", "id", "bm25", "cosine", "score"])
+        return pd.DataFrame(columns=["query_id", "id", "cosine", "score"])
     return best_rows(pd.concat(found, ignore_index=True), how.k)
 
 
@@ -280,33 +156,7 @@ def _candidates(score: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarra
     return q[place < k], i[place < k]
 
 
-def bounds_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> pd.DataFrame:
-    """Per query of one block: eligible items, hits, highest and lowest hit."""
-    n = len(queries.ids)
-    eligible, hits = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    high, least = np.full(n, -np.inf), np.full(n, np.inf)
-    postings = Postings(items, queries.terms, how.avg_length)
-    for rows, at in _members(items, queries, np.zeros(items.num_rows, dtype=bool), how):
-        raw, matched = (x[:, at] for x in postings.scores(rows))
-        hit = matched > 0
-        eligible[rows], hits[rows] = len(at), hit.sum(axis=1)
-        high[rows] = np.where(hit, raw, -np.inf).max(axis=1)
-        least[rows] = np.where(hit, raw, np.inf).min(axis=1)
-    return pd.DataFrame(
-        {"query_id": queries.ids, "n_eligible": eligible, "n_hits": hits, "high": high, "least": least}
-    )
-
-
-def count_block(items: pa.Table, queries: QueryBlock) -> pd.DataFrame:
-    """Eligible items per query of one block."""
-    counts = np.zeros(len(queries.ids), dtype=np.int64)
-    for filters, members in queries.by_filter:
-        counts[members] = permitted(items, filters).sum()
-    return pd.DataFrame({"query_id": queries.ids, "n_eligible": counts})
-
-
 Block = Callable[[pa.Table, QueryBlock], pd.DataFrame]
-Combine = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def _key_types(items: pa.Table, queries: pa.Table) -> dict[str, pa.DataType]:
@@ -314,14 +164,13 @@ def _key_types(items: pa.Table, queries: pa.Table) -> dict[str, pa.DataType]:
 
 
 def _to_arrow(frame: pd.DataFrame, keys: dict[str, pa.DataType]) -> pa.Table:
-    fallback = {"n_eligible": pa.int64(), "n_hits": pa.int64()}
-    fields = [(c, keys.get(c) or fallback.get(c) or pa.float64()) for c in frame.columns]
+    fields = [(c, keys.get(c) or pa.float64()) for c in frame.columns]
     return pa.Table.from_pandas(frame, schema=pa.schema(fields), preserve_index=False)
 
 
-def _against_sent(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
+def _against_sent(items: DataFrame, table: QueryTable, how: Scoring, schema: str) -> DataFrame:
     """Every item partition against the whole (small) query table."""
-    sent = items.sparkSession.sparkContext.broadcast(table.rows.drop("text").toArrow())
+    sent = items.sparkSession.sparkContext.broadcast(table.rows.select(*QUERY_COLUMNS).toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, pending, size, keys = None, [], 0, {}
@@ -329,44 +178,68 @@ def _against_sent(items: DataFrame, table: QueryTable, block: Block, combine: Co
             part = pa.Table.from_batches([batch])
             if queries is None:
                 queries, keys = QueryBlock.of(sent.value), _key_types(part, sent.value)
-            pending.append(block(part, queries))
+            pending.append(score_block(part, queries, how))
             size += len(pending[-1])
             if size > _ROWS_PENDING:
-                pending = [combine(pd.concat(pending, ignore_index=True))]
+                pending = [best_rows(pd.concat(pending, ignore_index=True), how.k)]
                 size = 0
         if pending:
-            yield from _to_arrow(combine(pd.concat(pending, ignore_index=True)), keys).to_batches()
+            yield from _to_arrow(best_rows(pd.concat(pending, ignore_index=True), how.k), keys).to_batches()
 
     return items.mapInArrow(run, schema)
 
 
-def in_cells(items: DataFrame, queries: DataFrame, block: Block, schema: str) -> DataFrame:
-    """Items against the queries of the same (cell, part); both sides are bounded."""
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _to_arrow(block(left, QueryBlock.of(right)), _key_types(left, right))
 
-    keys = ("cell", "part")
-    return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, schema)
+def _stored_parts(folder: str) -> Iterator[pa.Table]:
+    """The parts of a stored query table, one at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    for file in sorted(f.path for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.path.endswith(".parquet")):
+        with system.open_input_file(file) as source:
+            yield pq.ParquetFile(source).read()
 
 
-def _in_turns(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
-    """A large query table: bounded parts of it are sent to the items, each in a pass of its own.
+def _against_stored(items: DataFrame, table: QueryTable, how: Scoring, schema: str) -> DataFrame:
+    """Every block of items against a large query table, stored in bounded parts.
 
-    The items are read once per part and never repeated or shuffled.
+    Items are read once and never repeated or shuffled; a task holds one part at a time.
     """
     # Hashed parts differ in size, so they are planned half full.
-    parts = max(2, math.ceil(2 * table.n / MAX_SENT_QUERIES), math.ceil(2 * table.size / MAX_SENT_BYTES))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    rows = materialize(table.rows.withColumn("_part", part))
-    passes = (table.having(rows.where(F.col("_part") == p).drop("_part")) for p in range(parts))
-    return reduce(DataFrame.unionByName, [_against_sent(items, t, block, combine, schema) for t in passes])
+    parts = max(1, math.ceil(2 * table.n / MAX_SENT_QUERIES), math.ceil(2 * table.size / MAX_SENT_BYTES))
+    folder = f"{shared_folder(items.sparkSession).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    table.rows.select(*QUERY_COLUMNS).repartition(parts, "query_id").write.parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, ITEMS_PER_CELL):
+            for part in _stored_parts(folder):
+                if part.num_rows:
+                    yield from _to_arrow(score_block(block, QueryBlock.of(part), how), _key_types(block, part)).to_batches()
+
+    return items.mapInArrow(run, schema)
 
 
-def _run(items: DataFrame, table: QueryTable, block: Block, combine: Combine, schema: str) -> DataFrame:
-    if table.small:
-        return _against_sent(items, table, block, combine, schema)
-    return _in_turns(items, table, block, combine, schema)
+def in_cells(items: DataFrame, queries: DataFrame, block: Block, schema: str) -> DataFrame:
+    """Items against the queries of the same (cell, part); both sides are bounded."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _to_arrow(block(left, QueryBlock.of(right)), _key_types(left, right))
+
+    keys = ("cell", "part")
+    return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _type_of(df: DataFrame, name: str) -> str:
@@ -375,56 +248,13 @@ def _type_of(df: DataFrame, name: str) -> str:
 
 def candidates_schema(items: DataFrame, queries: DataFrame) -> str:
     """Schema of the rows that ``score_block`` leaves."""
-    keys = f"query_id {_type_of(queries, 'query_id')}, id {_type_of(items, 'id')}"
-    return f"{keys}, bm25 double, cosine double, score double"
+    return f"query_id {_type_of(queries, 'query_id')}, id {_type_of(items, 'id')}, cosine double, score double"
 
 
 def top_k_candidates(items: DataFrame, table: QueryTable, how: Scoring) -> DataFrame:
     """Rows that contain the k best items of every query; the caller ranks them.
 
-    Keyword scores need ``terms`` and ``n_terms`` in the query table; they are
-    scaled where it has ``low`` and ``high``.
+    ``items`` and ``table`` come from ``filters.numbered``.
     """
-    text = TEXT_COLUMNS if "terms" in table.rows.columns else ()
-    names = dict.fromkeys((*ITEM_COLUMNS, *text))
-    schema = candidates_schema(items, table.rows)
-    return _run(
-        items.select(*names),
-        table,
-        lambda i, q: score_block(i, q, how),
-        lambda f: best_rows(f, how.k),
-        schema,
-    )
-
-
-def lexical_bounds(items: DataFrame, table: QueryTable, avg_length: float) -> DataFrame:
-    """(query_id, n_eligible, n_hits, high, least) of the raw keyword scores."""
-    how = Scoring(k=0, vectors_only=False, avg_length=avg_length)
-    key = f"query_id {_type_of(table.rows, 'query_id')}"
-    merge = {"n_eligible": "sum", "n_hits": "sum", "high": "max", "least": "min"}
-    parts = _run(
-        items.select(*TEXT_COLUMNS),
-        table,
-        lambda i, q: bounds_block(i, q, how),
-        lambda f: f.groupby("query_id", as_index=False).agg(merge),
-        f"{key}, n_eligible bigint, n_hits bigint, high double, least double",
-    )
-    return parts.groupBy("query_id").agg(
-        F.sum("n_eligible").alias("n_eligible"),
-        F.sum("n_hits").alias("n_hits"),
-        F.max("high").alias("high"),
-        F.min("least").alias("least"),
-    )
-
-
-def count_eligible(items: DataFrame, table: QueryTable) -> DataFrame:
-    """(query_id, n_eligible): items that meet the filters of each query."""
-    schema = f"query_id {_type_of(table.rows, 'query_id')}, n_eligible bigint"
-    counts = _run(
-        items.select("id", *META),
-        table,
-        count_block,
-        lambda f: f.groupby("query_id", as_index=False).sum(),
-        schema,
-    )
-    return counts.groupBy("query_id").agg(F.sum("n_eligible").alias("n_eligible"))
+    against = _against_sent if table.small else _against_stored
+    return against(items.select(*ITEM_COLUMNS), table, how, candidates_schema(items, table.rows))

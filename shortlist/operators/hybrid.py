@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.constants import DEFAULT_TOP_K, LEXICAL_WEIGHT
-from shortlist.operators.blocks import (
-    Scoring,
-    count_eligible,
-    lexical_bounds,
-    top_k_candidates,
-)
+from shortlist.constants import DEFAULT_TOP_K, LEXICAL_WEIGHT, RANK_DIGITS
+from shortlist.functions.vectors import cosine
+from shortlist.operators.blocks import Scoring, top_k_candidates
+from shortlist.operators.filters import count_eligible, numbered
 from shortlist.operators.index import CatalogIndex
-from shortlist.operators.lexical import average_length, ranked, with_terms
+from shortlist.operators.lexical import lexical_hits, ranked
 from shortlist.operators.queries import Limits, QueryTable, query_table
+from shortlist.session import materialize
+
+KEYS = ["query_id", "id"]
+# So many times k items of both lists get full scores before the bound is set.
+DEPTH = 10
+_SLACK = 4 * 10.0**-RANK_DIGITS
 
 
 def scaled(value: Column, low: Column, high: Column) -> Column:
@@ -44,24 +47,13 @@ def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame
     else:
         counted = bounds.withColumn("n_eligible", index.corpus.select("n_items").scalar())
     low = _low(F.col("n_hits"), F.col("n_eligible"), F.col("least"))
-    known = counted.select("query_id", "high", low.alias("low"))
+    # One row per query; stored, as a search scales its hits more than once.
+    known = materialize(counted.select("query_id", "high", low.alias("low")))
     return hits.join(table.send(known), "query_id").select(
         "query_id", "id", scaled(F.col("raw"), F.col("low"), F.col("high")).alias("value")
     )
 
 
-def with_scale(table: QueryTable, index: CatalogIndex, avg_length: float) -> QueryTable:
-    """Adds ``low`` and ``high`` of the keyword scores over all eligible items.
-
-    Queries without a hit get neither, which scales everything to 0.
-    """
-    bounds = lexical_bounds(index.items, table, avg_length).where(F.col("n_hits") > 0)
-    low = _low(F.col("n_hits"), F.col("n_eligible"), F.col("least"))
-    return table.having(
-        table.rows.join(bounds.select("query_id", low.alias("low"), "high"), "query_id", "left")
-    )
-
-
 def join_scores(pairs: DataFrame, lexical: DataFrame, vector: DataFrame) -> DataFrame:
     """Both scores of (query_id, id) pairs; missing scores are 0."""
     keys = ["query_id", "id"]
@@ -83,6 +75,14 @@ def fuse(scores: DataFrame, alpha: float | None = None) -> DataFrame:
     )
 
 
+def _with_cosines(pairs: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
+    """Adds ``cosine`` to (query_id, id) pairs; 0 where a vector is missing."""
+    queries = table.rows.select("query_id", "vector")
+    rows = pairs.join(table.send(queries), "query_id").join(index.items.select("id", "embedding"), "id")
+    value = F.nanvl(cosine(F.col("vector"), F.col("embedding")), F.lit(0.0))
+    return rows.select(*pairs.columns, F.coalesce(value, F.lit(0.0)).alias("cosine"))
+
+
 def search_hybrid(
     queries: DataFrame,
     index: CatalogIndex,
@@ -92,27 +92,56 @@ def search_hybrid(
 ) -> DataFrame:
     """(query_id, rank, id, score, bm25_score, cosine_score) of the k best items.
 
-    Two passes over the items where they lie: one for the range of the keyword
-    scores of each query, one for the fused score. Only ranges, and then the k
-    best of each partition, leave a task; hits and pairs never become rows.
+    The items that share no term with a query get no row, but for the nearest ones: an
+    item that is not among the k nearest has k others before it by vector, and those
+    cannot lose rank by their keyword scores, so without a hit it is not among the k
+    best. Hits (an equi-join on terms) and the nearest are therefore complete. The
+    ``DEPTH`` * k best of both lists get full scores; the k-th best of these is a bound.
+    Any other hit has at most the vector part of the last of the nearest, so only hits
+    that could reach the bound with that get their cosines and are ranked.
     """
     weight = LEXICAL_WEIGHT if alpha is None else alpha
-    avg_length = average_length(index)
-    table = with_scale(with_terms(query_table(queries, limits), index), index, avg_length)
-    how = Scoring(
-        k=k, lexical=weight, vector=1.0 - weight, vectors_only=False, avg_length=avg_length
-    )
-    found = ranked(top_k_candidates(index.items, table, how), "score", k)
-    return found.select(
-        "query_id",
-        "rank",
-        "id",
-        "score",
-        F.col("bm25").alias("bm25_score"),
-        F.col("cosine").alias("cosine_score"),
+    table = query_table(queries, limits)
+    marked, asked = numbered(index.items, table)
+    deep = DEPTH * k
+    nearest = ranked(top_k_candidates(marked, asked, Scoring(deep, 1.0 - weight, vectors_only=False)), "score", deep)
+    nearest = materialize(nearest.select(*KEYS, "cosine", F.col("score").alias("part"), F.col("rank").alias("place")))
+    scaled = minmax(materialize(lexical_hits(table, index)), table, index)
+    if weight > 0:
+        words = ranked(scaled, "value", deep).select(*KEYS)
+        others = _with_cosines(words.join(nearest, KEYS, "left_anti"), table, index)
+        known = nearest.select(*KEYS, "cosine").unionByName(others)
+    else:
+        known = nearest.select(*KEYS, "cosine")
+    known = materialize(_fused(known.join(scaled, KEYS, "left").na.fill(0.0, ["value"]), weight))
+    if weight > 0:
+        known = known.unionByName(_reaching(known, nearest, scaled, table, index, k, weight))
+    return ranked(known, "score", k).select(
+        "query_id", "rank", "id", "score", F.col("value").alias("bm25_score"), F.col("cosine").alias("cosine_score")
     )
 
 
+def _fused(rows: DataFrame, weight: float) -> DataFrame:
+    """(query_id, id, value, cosine, score) of rows with both parts."""
+    score = weight * F.col("value") + (1.0 - weight) * F.col("cosine")
+    return rows.select(*KEYS, "value", "cosine", score.alias("score"))
+
+
+def _reaching(
+    known: DataFrame, nearest: DataFrame, scaled: DataFrame, table: QueryTable, index: CatalogIndex, k: int, weight: float
+) -> DataFrame:
+    """The other hits that could be among the k best, with their scores.
+
+    A query with fewer than ``DEPTH`` * k nearest items has no others.
+    """
+    bound = ranked(known, "score", k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    part = nearest.where(F.col("place") == DEPTH * k).select("query_id", "part")
+    limit = materialize(bound.join(part, "query_id"))
+    open_hits = scaled.join(table.send(limit), "query_id")
+    open_hits = open_hits.where(weight * F.col("value") + F.col("part") >= F.col("bound") - _SLACK).select(*KEYS, "value")
+    return _fused(_with_cosines(open_hits.join(known.select(*KEYS), KEYS, "left_anti"), table, index), weight)
+
+
 def with_details(hits: DataFrame, catalog: DataFrame, few: bool = False) -> DataFrame:
     """Adds the descriptive columns of the items.
 

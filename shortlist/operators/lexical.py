@@ -30,25 +30,6 @@ def weighted_terms(table: QueryTable, index: CatalogIndex) -> DataFrame:
     return known.select("query_id", "n_terms", "term", idf(F.col("df"), n_items).alias("idf"))
 
 
-def with_terms(table: QueryTable, index: CatalogIndex) -> QueryTable:
-    """Adds ``terms`` (array of term, idf) and ``n_terms`` to the queries.
-
-    The list of a query is as long as its own text at most. Terms unknown to the
-    index count in ``n_terms``, so that no item can match all of them.
-    """
-    lists = (
-        weighted_terms(table, index)
-        .groupBy("query_id")
-        .agg(F.max("n_terms").alias("n_terms"), F.collect_list(F.struct("term", "idf")).alias("terms"))
-    )
-    return table.having(table.rows.drop("text").join(lists, "query_id", "left"))
-
-
-def average_length(index: CatalogIndex) -> float:
-    """Mean number of terms per item: one number, read from a one-row table."""
-    return float(index.corpus.select("avg_length").first()[0] or 1.0)
-
-
 def lexical_hits(table: QueryTable, index: CatalogIndex, require_all: bool = False) -> DataFrame:
     """(query_id, id, raw): every eligible item that shares a term with a query.
 

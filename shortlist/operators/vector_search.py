@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shortlist.constants import DEFAULT_TOP_K, EMBEDDING_DIM
 from shortlist.functions.text import run_lengths, run_starts, terms
 from shortlist.operators.blocks import (
+    ITEM_COLUMNS,
     ITEMS_PER_CELL,
     QUERIES_PER_CELL,
     QUERY_COLUMNS,
@@ -20,7 +21,7 @@ from shortlist.operators.blocks import (
     score_block,
     top_k_candidates,
 )
-from shortlist.operators.index import META
+from shortlist.operators.filters import numbered
 from shortlist.operators.lexical import ranked
 from shortlist.operators.queries import Limits, query_table
 from shortlist.session import materialize, sent_if_few
@@ -68,8 +69,8 @@ def search_vector(
     ``items`` needs id, embedding and the filter columns, as in an index. Items
     and queries without a (non-zero) vector do not take part.
     """
-    table = query_table(queries, limits)
-    found = ranked(top_k_candidates(items, table, Scoring(k=k)), "cosine", k)
+    marked, table = numbered(items, query_table(queries, limits))
+    found = ranked(top_k_candidates(marked, table, Scoring(k=k)), "cosine", k)
     return found.select("query_id", "rank", "id", F.col("cosine").alias("cosine_score"))
 
 
@@ -116,12 +117,12 @@ def search_cells(
     A large cell is cut into parts of bounded size by a hash of the id, and the
     queries that probe it are cut likewise, so no task holds a whole hot cell.
     """
-    table = query_table(queries, limits)
+    marked, table = numbered(items, query_table(queries, limits))
     plain = queries.select("query_id", "vector")
     probes = search_vector(plain, _as_items(centroids), n_probe, limits)
     probes = materialize(probes.select("query_id", F.col("id").alias("cell")))
     asked = probes.join(table.rows, "query_id")
-    here = items.where(F.col("embedding").isNotNull())
+    here = marked.where(F.col("embedding").isNotNull())
     blocks = _cuts(here, "cell", ITEMS_PER_CELL).join(
         _cuts(probes, "cell", QUERIES_PER_CELL).withColumnRenamed("cuts", "query_cuts"),
         "cell",
@@ -130,9 +131,7 @@ def search_cells(
     blocks = sent_if_few(materialize(blocks), MAX_CELLS_SENT)
     key = F.struct("cell", "cut").alias("cell")
     left = here.join(blocks, "cell").select(
-        "id",
-        "embedding",
-        *META,
+        *ITEM_COLUMNS,
         F.struct("cell", _cut("id", "cuts")).alias("cell"),
         F.explode(F.sequence(F.lit(0), F.col("query_cuts") - 1)).alias("part"),
     )

@@ -246,15 +246,62 @@ def test_filters_reach_the_scan(spark, catalog, tmp_path):
     assert "ReadSchema: struct<id:bigint,remote_testing:boolean>" in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_moves_only_its_best_rows(spark, index):
     queries = spark.createDataFrame(QUERIES, QUERY)
-    found = hybrid.search_hybrid(queries, index)
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    for limits in (Limits(), NOTHING):
+        plan = plan_of(vec.search_vector(queries, index.items, limits=limits))
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        before = plan[: plan.index("MapInArrow")]
+        assert before.count("Exchange hashpartitioning(query_id") == 1 and "WindowGroupLimit" in before
+        # Nothing is exchanged by id, and the items are scanned once.
+        assert "Exchange hashpartitioning(id" not in plan
+        assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1
+    plan = plan_of(hybrid.search_hybrid(queries, index))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    before = plan[: plan.index("MapInArrow")]
-    assert before.count("Exchange hashpartitioning(query_id") == 1 and "WindowGroupLimit" in before
-    # Nothing is exchanged by id: the index is bucketed by it.
-    assert "Exchange hashpartitioning(id" not in plan
+
+
+def test_large_query_tables_stay_off_the_driver(spark, index, monkeypatch):
+    """No query row comes to the driver, and items are scanned once for all parts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(q, "java sales", [1.0, float(q % 7), 0.0], (["K"], None, None, None, None) if q % 2 else None) for q in range(10_000)]
+    queries = spark.createDataFrame(rows, QUERY)
+    few = {q: [r for r in vec.search_vector(queries.where(F.col("query_id") == q), index.items).collect()] for q in (0, 1, 9_999)}
+    collected = []
+    for name in ("collect", "toArrow", "toPandas"):
+        whole = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, whole=whole: collected.append(whole(self)) or collected[-1])
+    found = vec.search_vector(queries, index.items)
+    assert plan_of(found).count("FileScan") == 1
+    assert sum(len(c) for c in collected) < 100
+    monkeypatch.undo()
+    got = found.where(F.col("query_id").isin(*few)).collect()
+    for q, want in few.items():
+        assert sorted(r for r in got if r.query_id == q) == sorted(want)
+    assert found.select("query_id").distinct().count() == 10_000
+
+
+def test_only_hits_that_reach_the_bound_are_scored(spark, monkeypatch):
+    """Rows that get a cosine: the k best by keywords and those that could beat the bound."""
+    items, _ = random_case(n_items=3000, seed=11)
+    rng = random.Random(4)
+    items = [(*i[:9], [rng.gauss(0, 1) for _ in range(16)]) for i in items]
+    index = build_index(spark.createDataFrame(items, CATALOG))
+    texts = ["java sales", "people coding verbal", "drive test"]
+    asked = [(q, text, [rng.gauss(0, 1) for _ in range(16)], None) for q, text in enumerate(texts)]
+    queries = spark.createDataFrame(asked, QUERY)
+    scored = []
+    whole = hybrid._with_cosines
+    monkeypatch.setattr(hybrid, "_with_cosines", lambda pairs, *more: scored.append(pairs.count()) or whole(pairs, *more))
+    got = rows_of(hybrid.search_hybrid(queries, index, k=3))
+    hits = lexical.lexical_hits(query_table(queries), index).count()
+    assert 0 < sum(scored) < hits / 2, (scored, hits)
+    for q in asked:
+        assert got[q[0]] == [tuple(round(x, 6) for x in r) for r in dense(items, q, 0.4)[:3]]
 
 
 def test_measure(spark):
