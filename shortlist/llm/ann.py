@@ -188,11 +188,17 @@ def _search(k: int):
         queries = np.stack(right["vector"].to_numpy()).astype(np.float64)
         rotated_queries = (_unit(queries) @ turn).astype(np.float32)
         asked = right["query_id"].to_numpy()
-        # One more than asked: the query's own row does not count.
+        # Each id is once in a layer, so that one with many vectors fills one place of each
+        # layer's k; an id that is among the k best at all is so in the layer of its best vector.
+        layer = left.groupby("vec_id").cumcount().to_numpy()
+        order = np.argsort(layer, kind="stable")
+        layers = np.split(order, np.cumsum(np.bincount(layer))[:-1])
         out = []
         for first in range(0, len(asked), QUERIES_AT_ONCE):
             some = slice(first, first + QUERIES_AT_ONCE)
-            q, r = scan(rotated, rotated_queries[some], k + 1)
+            # One more than asked: the query's own id does not count.
+            met = [(q, members[r]) for members in layers for q, r in [scan(rotated[members], rotated_queries[some], k + 1)]]
+            q, r = (np.concatenate(x) for x in zip(*met))
             q += first
             other = ids[r] != asked[q]
             q, r = q[other], r[other]
@@ -257,7 +263,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float =
     # One row per list, at most MAX_LISTS.
     chunks = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     chunks = F.broadcast(chunks)
-    chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
+    # By id and vector, so that an id with very many vectors is spread as well.
+    chunk = F.pmod(F.xxhash64("vec_id", "vector"), F.col("chunks")).cast("int")
     items = placed.join(chunks, "list").select("list", chunk.alias("chunk"), "vec_id", "vector")
     asked = clean(queries).where(F.size("vector") == dims).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     probes = min(lists, max(8, probes_for(sample, centres, k, target)))

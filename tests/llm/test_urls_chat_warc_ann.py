@@ -175,6 +175,26 @@ def test_neighbours(spark):
     assert ann.nearest(few, few.where("vec_id = 50"), k=5).count() == 2
 
 
+def test_an_id_with_many_near_vectors_hides_no_other(spark):
+    """One id with 300 vectors near all queries; once another id, once the query's own."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=16)
+    rows = [(1, [float(x) for x in middle + 0.01 * rng.normal(size=16)]) for _ in range(300)]
+    rows += [(i, [float(x) for x in middle + 0.3 * rng.normal(size=16)]) for i in range(2, 202)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, rows[0][1]), (2, rows[300][1])], "vec_id long, embedding array<double>")
+    # Every list that holds a neighbour of the sample is visited.
+    got = ann.nearest(table, queries, k=5, target=1.0).orderBy("query_id", "rank").collect()
+    for q, vector in ((1, rows[0][1]), (2, rows[300][1])):
+        best = {}
+        for i, v in rows:
+            a, b = np.array(v), np.array(vector)
+            c = float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+            best[i] = max(best.get(i, -2), c)
+        want = sorted((i for i in best if i != q), key=lambda i: -best[i])[:5]
+        assert [r.vec_id for r in got if r.query_id == q] == want
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(4)
     rows = rng.normal(size=(5000, 64)).astype(np.float32)
