@@ -14,7 +14,8 @@ for its good ones; the laxest of equals.
 
 Nulls: a null text has no words; a null stratum column is a stratum of its own; labels
 that are null, or of unknown documents, are ignored, and a document with several labels
-is good if all say so. Rows that repeat a document are judged one by one. Without
+is good if all say so. Rows that repeat a document are judged one by one, but count once
+in the test (the row with the least stratum and measures past the base rules). Without
 labels only the base rules reject. An empty table gives an empty one.
 """
 
@@ -179,6 +180,9 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delt
     known = known.groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
     m = F.col("quality_measures")
     rows = measured.where(~base_failed(m)).select("doc_id", "quality_stratum", "quality_measures").join(known, "doc_id")
+    # The binomial test needs each labelled document once.
+    once = rows.groupBy("doc_id", "good").agg(F.min(F.struct("quality_stratum", "quality_measures")).alias("row"))
+    rows = once.select("doc_id", "good", "row.*")
     # The laxest cutoff of each rule that rejects the document; their number if none does.
     at = [
         sum(((score <= cut).cast("int") for cut in GRIDS[rule]), F.lit(0)).alias(rule)

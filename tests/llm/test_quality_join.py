@@ -92,6 +92,17 @@ def test_cutoffs_reject_bad_and_spare_good(spark):
     assert all(kept[i] for i in kept if i % 50 == 0)
 
 
+def test_repeated_rows_count_once(spark):
+    """A table repeated 300 times certifies what the table alone does."""
+    docs, labels = labelled(spark, 150)
+    many = docs.crossJoin(spark.range(300).select(F.lit(1).alias("copy")))
+    got = []
+    for table in (docs, many):
+        measured = quality.store(quality.with_measures(table, ["lang"]).drop("text"))
+        got.append(sorted(map(str, quality.fit_cutoffs(measured, labels)[0].collect())))
+    assert got[0] == got[1] and "n_good=98" in str(got[0])
+
+
 def test_all_rules_share_one_test(spark):
     rows, labels = [], []
     for i in range(900):
