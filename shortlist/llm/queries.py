@@ -36,7 +36,8 @@ def op1_url_filter(spark, sf):
     toxic = _table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
     listed = pages.join(toxic, "page_id", "left_semi")
     listed = listed.select(url_filter.canonical_url(F.col("url")).alias("canonical"))
-    return url_filter.filter_urls(pages, RULES, listed)
+    judged = url_filter.filter_urls(pages, RULES, listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
 def op2_ann(spark, sf):
@@ -55,7 +56,8 @@ def op5_chat_views(spark, sf):
 def op6_warc(spark, sf):
     folder = new_folder(spark, "warc")
     index = warc.write_bundles(warc.plan_records(_table(spark, sf, "pages")), folder)
-    return warc.read_bundles(index, folder).drop("url", "payload")
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_bundles(index, folder).select(*names)
 
 
 def op3_token_files(spark, sf):
