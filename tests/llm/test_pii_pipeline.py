@@ -158,10 +158,21 @@ def test_pipeline(spark):
 
 def test_pipeline_of_odd_rows(spark, odd, docs_of):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(docs_of([(i, " ".join(f"w{i}n{j}" for j in range(30))) for i in range(20, 23)]).select(*docs.columns))
+    clashing = ("kept", "base_failed", "text_hash", "redacted", "first", "first_hash", "quality_measures", "whole_row")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in clashing})
     for table in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+        some = table.limit(1).count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             table = stage(spark, table, SF)
-            table = spark.createDataFrame(table.collect(), table.schema)
+            rows = table.collect()
+            assert table.columns == docs.columns
+            for r in rows:
+                assert all(r[c] == (None if r.doc_id is None else f"{c} of {r.doc_id}") for c in clashing)
+            assert {20, 21, 22} <= {r.doc_id for r in rows} or not some
+            table = spark.createDataFrame(rows, table.schema)
+        pieces = corpus_pipeline.pack(spark, table, SF).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in rows}
 
 
 def test_copies_under_a_repeated_id(spark, docs_of):
