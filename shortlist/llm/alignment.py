@@ -37,7 +37,7 @@ from shortlist.llm.quality import store
 CHUNK_BYTES = 1 << 16
 FAN = 8
 SENT_PAIRS = 1 << 20
-_CHARS = 1 << 20
+_CHARS = 1 << 19
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
     "pairs array<long>, times array<int>"
