@@ -76,6 +76,9 @@ class WordBpe:
                 self.inner[token] = i
                 key = token[:2]
                 self.longest[key] = max(self.longest.get(key, 1), len(token))
+        if any(c not in self.inner or c not in self.whole for c in self.chars.values()):
+            raise ValueError("the vocabulary lacks a byte")
+        self.longest_whole = max(map(len, self.whole))
         self.store = PieceStore(self._encode)
 
     def _find_sound_tokens(self, made):
@@ -129,7 +132,8 @@ class WordBpe:
         """Longest tokens from the left; the last one carries the word end."""
         out, at, n = [], 0, len(word)
         while True:
-            i = self.whole.get(word[at:])
+            # A rest longer than any token is no token, and hashing it would cost its length.
+            i = self.whole.get(word[at:]) if n - at <= self.longest_whole else None
             if i is not None:
                 out.append(i)
                 return out

@@ -68,6 +68,18 @@ def test_bpe_accepts_only_what_exact_merging_gives():
     assert any(bpe.propose(w) != m for w, m in zip(words, want))
 
 
+def test_proposals_take_time_in_proportion_to_a_word():
+    import time
+
+    bpe, times = WordBpe(WORD), []
+    for n in (100_000, 1_000_000):
+        start = time.perf_counter()
+        ids = bpe.propose("ab" * (n // 2))
+        times.append(time.perf_counter() - start)
+        assert "".join(bpe.strings[i] for i in ids).removesuffix("</w>") == "ab" * (n // 2)
+    assert times[1] < 40 * times[0] and times[1] < 20
+
+
 def test_bpe_documents(odd, docs_of):
     tok = Tokenizer.from_file(WORD)
     got = sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), r.decoded) for r in encode_documents(odd, WORD).collect())
