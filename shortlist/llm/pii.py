@@ -24,6 +24,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import defaultdict
+from itertools import chain as chained
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,34 +224,47 @@ def fit(docs: DataFrame) -> dict[str, list[float]]:
 
 
 def _messages(unary, chain, groups, pair, hubs):
-    """Label probabilities of all nodes by loopy message passing.
+    """Label probabilities of all nodes by loopy message passing, ``ROUNDS`` damped rounds.
 
-    ``chain``: pairs of neighbours with potentials ``pair``; ``groups``: (node, hub,
-    strength); ``hubs``: the hubs' own potentials.
+    ``chain``: the right nodes of neighbours (i - 1, i) with potentials ``pair``;
+    ``groups``: arrays of node, hub and strength; ``hubs``: the hubs' own potentials.
+    All neighbours share one matrix, and an edge to a hub only favours equal labels, so a
+    message costs five numbers and no edge has a matrix of its own.
     """
     import numpy as np
 
-    n = len(unary)
-    belief0 = np.concatenate([unary, hubs])
-    same = np.eye(5)
-    a = np.array([i for i, _ in chain] + [i for i, _, _ in groups], np.int64)
-    b = np.array([j for _, j in chain] + [n + h for _, h, _ in groups], np.int64)
-    pots = np.stack([pair] * len(chain) + [same * x for _, _, x in groups]) if len(a) else np.zeros((0, 5, 5))
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-    msg = np.zeros((len(src), 5))
-    belief = belief0
+    def scaled(cavity):
+        return np.exp(cavity - cavity.max(1, keepdims=True))
+
+    def passed(cavity, kernel):
+        out = np.log(scaled(cavity) @ kernel)
+        return out - out.max(1, keepdims=True)
+
+    def agreed(cavity):
+        p = scaled(cavity)
+        out = np.log(p.sum(1, keepdims=True) + p * gain)
+        return out - out.max(1, keepdims=True)
+
+    def summed(at, messages, n):
+        return np.stack([np.bincount(at, m, n) for m in messages.T], 1)
+
+    node, hub, strength = groups
+    gain, kernel = np.expm1(strength)[:, None], np.exp(pair)
+    right, left, up, down = (np.zeros((len(at), 5)) for at in (chain, chain, node, node))
+    belief, held = unary, hubs
     for _ in range(ROUNDS):
-        out = (belief[src] - msg[back])[:, :, None] + pots
-        top = out.max(1, keepdims=True)
-        new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        msg = 0.5 * msg + 0.5 * new
-        belief = belief0.copy()
-        np.add.at(belief, dst, msg)
-    p = np.exp(belief - belief.max(1, keepdims=True))
-    return (p / p.sum(1, keepdims=True))[:n]
+        right, left, up, down = (
+            0.5 * right + 0.5 * passed(belief[chain - 1] - left, kernel),
+            0.5 * left + 0.5 * passed(belief[chain] - right, kernel.T),
+            0.5 * up + 0.5 * agreed(belief[node] - down),
+            0.5 * down + 0.5 * agreed(held[hub] - up),
+        )
+        belief = unary + summed(node, down, len(unary))
+        belief[chain] += right
+        belief[chain - 1] += left
+        held = hubs + summed(hub, up, len(hubs))
+    p = scaled(belief)
+    return p / p.sum(1, keepdims=True)
 
 
 def added_spans(text: str, base, model: dict) -> list[tuple[int, int, int]]:
@@ -274,10 +288,13 @@ def added_spans(text: str, base, model: dict) -> list[tuple[int, int, int]]:
     seen = np.array(labels) > 0
     unary[seen] = -30
     unary[seen, np.array(labels)[seen]] = 0
-    chain = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i][0] - tokens[i - 1][1] <= 1]
+    chain = np.array([i for i in range(1, len(tokens)) if tokens[i][0] - tokens[i - 1][1] <= 1], np.int64)
     pair = np.array([model.get(f"n{k}", flat) for k in range(5)])
-    groups = [(i, h, SKIP) for h, m in enumerate(shared) for i in m]
-    groups += [(i, h, SAME_NUMBER) for h, (_, m) in enumerate(numbers, len(shared)) for i in m]
+    met = [*shared, *(m for _, m in numbers)]
+    sizes = np.array([len(m) for m in met], np.int64)
+    strengths = np.repeat([SKIP, SAME_NUMBER], [len(shared), len(numbers)])
+    node = np.fromiter(chained.from_iterable(met), np.int64, int(sizes.sum()))
+    groups = node, np.repeat(np.arange(len(met)), sizes), np.repeat(strengths, sizes)
     hubs = np.zeros((len(shared) + len(numbers), 5))
     for hub, (kinds, _) in zip(hubs[len(shared) :], numbers):
         hub[[k for k in range(5) if k not in kinds]] = -1e9  # however many repeats say otherwise
@@ -289,7 +306,8 @@ def added_spans(text: str, base, model: dict) -> list[tuple[int, int, int]]:
             if not labels[i] and best in kinds and p[i, best] >= LIKELY:
                 label[i] = best
     # Neighbours continue a found token if the field says so.
-    for i, j in [*reversed([(j, i) for i, j in chain]), *chain]:
+    leftwards = ((j, j - 1) for j in chain[::-1].tolist())
+    for i, j in chained(leftwards, ((i - 1, i) for i in chain.tolist())):
         if label[i] and not label[j] and not labels[j] and p[j].argmax() == label[i] and p[j, label[i]] >= LIKELY:
             label[j] = label[i]
     out = []

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from llm_cases import ODD
 from pyspark.sql import functions as F
@@ -183,3 +186,36 @@ def test_copies_under_a_repeated_id(spark, docs_of):
     for table in (docs, docs.orderBy(F.desc("text")), docs.repartition(5)):
         kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()]
         assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_messages_against_exact_sums():
+    """On a field without loops the messages give the exact label probabilities."""
+    rng = np.random.default_rng(4)
+    unary, pair, hubs = rng.normal(size=(5, 5)), rng.normal(size=(5, 5)), rng.normal(size=(2, 5))
+    # 0-1-2 and 3-4 are neighbours; the hubs join 0 and 3, and 4 alone.
+    edges, groups = [1, 2, 4], [(0, 0, pii.SKIP), (3, 0, pii.SKIP), (4, 1, 2.0)]
+    total = np.zeros((5, 5))
+    for labels in itertools.product(range(5), repeat=7):
+        score = sum(unary[i, labels[i]] for i in range(5)) + sum(hubs[h, labels[5 + h]] for h in range(2))
+        score += sum(pair[labels[i - 1], labels[i]] for i in edges)
+        score += sum(x for i, h, x in groups if labels[i] == labels[5 + h])
+        for i in range(5):
+            total[i, labels[i]] += math.exp(score)
+    node, hub, strength = (np.array(c) for c in zip(*groups))
+    found = pii._messages(unary, np.array(edges), (node, hub, strength), pair, hubs)
+    assert np.abs(found - total / total.sum(1, keepdims=True)).max() < 0.01
+
+
+def test_memory_of_a_text_with_many_repeats():
+    """A text with 120,000 repeats takes less than 200 MB."""
+    part = "jo.smith1@x jo.smith +1 (017) 555-7713, 0175557713, "
+    text = "jo.smith@mail.example.org " + part * 30_000
+    base = pii.base_spans(text)
+    model = {"s10": [math.log(0.2)] * 5, "s0.a": [math.log(0.2)] * 5}
+    tracemalloc.start()
+    added = pii.added_spans(text, base, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 1_400_000 and peak < 200 << 20
+    kinds = [pii.KINDS[k] for _, k, _ in added]
+    assert kinds.count("phone") >= 30_000
