@@ -159,11 +159,11 @@ def _candidates(score: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarra
 Block = Callable[[pa.Table, QueryBlock], pd.DataFrame]
 
 
-def _key_types(items: pa.Table, queries: pa.Table) -> dict[str, pa.DataType]:
+def key_types(items: pa.Table, queries: pa.Table) -> dict[str, pa.DataType]:
     return {"query_id": queries.schema.field("query_id").type, "id": items.schema.field("id").type}
 
 
-def _to_arrow(frame: pd.DataFrame, keys: dict[str, pa.DataType]) -> pa.Table:
+def to_arrow(frame: pd.DataFrame, keys: dict[str, pa.DataType]) -> pa.Table:
     fields = [(c, keys.get(c) or pa.float64()) for c in frame.columns]
     return pa.Table.from_pandas(frame, schema=pa.schema(fields), preserve_index=False)
 
@@ -177,14 +177,14 @@ def _against_sent(items: DataFrame, table: QueryTable, how: Scoring, schema: str
         for batch in batches:
             part = pa.Table.from_batches([batch])
             if queries is None:
-                queries, keys = QueryBlock.of(sent.value), _key_types(part, sent.value)
+                queries, keys = QueryBlock.of(sent.value), key_types(part, sent.value)
             pending.append(score_block(part, queries, how))
             size += len(pending[-1])
             if size > _ROWS_PENDING:
                 pending = [best_rows(pd.concat(pending, ignore_index=True), how.k)]
                 size = 0
         if pending:
-            yield from _to_arrow(best_rows(pd.concat(pending, ignore_index=True), how.k), keys).to_batches()
+            yield from to_arrow(best_rows(pd.concat(pending, ignore_index=True), how.k), keys).to_batches()
 
     return items.mapInArrow(run, schema)
 
@@ -227,7 +227,7 @@ def _against_stored(items: DataFrame, table: QueryTable, how: Scoring, schema: s
         for block in _blocks(batches, ITEMS_PER_CELL):
             for part in _stored_parts(folder):
                 if part.num_rows:
-                    yield from _to_arrow(score_block(block, QueryBlock.of(part), how), _key_types(block, part)).to_batches()
+                    yield from to_arrow(score_block(block, QueryBlock.of(part), how), key_types(block, part)).to_batches()
 
     return items.mapInArrow(run, schema)
 
@@ -236,7 +236,7 @@ def in_cells(items: DataFrame, queries: DataFrame, block: Block, schema: str) ->
     """Items against the queries of the same (cell, part); both sides are bounded."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _to_arrow(block(left, QueryBlock.of(right)), _key_types(left, right))
+        return to_arrow(block(left, QueryBlock.of(right)), key_types(left, right))
 
     keys = ("cell", "part")
     return items.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shortlist.functions.filters import minutes
 from shortlist.functions.text import run_lengths, run_starts, terms
-from shortlist.session import shared_folder
+from shortlist.session import delete_folder, shared_folder
 
 META = ("test_types", "job_levels", "remote_testing", "adaptive", "minutes")
 
@@ -113,5 +113,4 @@ def drop_index(spark: SparkSession, name: str) -> None:
     """Forget a stored index and delete its files."""
     for part in ("items", "terms", "corpus"):
         spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, f"{shared_folder(spark)}/{name}")

@@ -57,10 +57,10 @@ def lexical_hits(table: QueryTable, index: CatalogIndex, require_all: bool = Fal
     )
     if require_all:
         sums = sums.where(F.col("matched") == F.col("n_terms"))
-    return _eligible(sums, table, index).select("query_id", "id", "raw")
+    return eligible(sums, table, index).select("query_id", "id", "raw")
 
 
-def _eligible(scores: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
+def eligible(scores: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
     """Keep the pairs that meet the filters of their query."""
     if not table.n_filtered:
         return scores

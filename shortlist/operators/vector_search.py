@@ -104,6 +104,13 @@ def build_cells(items: DataFrame, n_cells: int, seed: int = 1) -> tuple[DataFram
     return model.transform(data).drop("_v"), centroids
 
 
+def probed_cells(queries: DataFrame, centroids: DataFrame, n_probe: int, limits: Limits = Limits()) -> DataFrame:
+    """(query_id, cell): the ``n_probe`` cells nearest to each query, stored."""
+    plain = queries.select("query_id", "vector")
+    found = search_vector(plain, _as_items(centroids), n_probe, limits)
+    return materialize(found.select("query_id", F.col("id").alias("cell")))
+
+
 def search_cells(
     queries: DataFrame,
     items: DataFrame,
@@ -118,9 +125,7 @@ def search_cells(
     queries that probe it are cut likewise, so no task holds a whole hot cell.
     """
     marked, table = numbered(items, query_table(queries, limits))
-    plain = queries.select("query_id", "vector")
-    probes = search_vector(plain, _as_items(centroids), n_probe, limits)
-    probes = materialize(probes.select("query_id", F.col("id").alias("cell")))
+    probes = probed_cells(queries, centroids, n_probe, limits)
     asked = probes.join(table.rows, "query_id")
     here = marked.where(F.col("embedding").isNotNull())
     blocks = _cuts(here, "cell", ITEMS_PER_CELL).join(

@@ -38,6 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)

@@ -181,6 +181,15 @@ def hybrid(q: str) -> str:
     return with_(CATALOG, INDEX, q, ELIGIBLE, RAW, SCORED, fused())
 
 
+def best_words(where: str) -> str:
+    return (
+        with_(CATALOG, INDEX, bench(FILTERS), ELIGIBLE, RAW)
+        + f"""SELECT query_id, rank, id, {r6("raw")} AS bm25_score FROM (
+  SELECT query_id, id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank
+  FROM raw JOIN n_terms USING (query_id) JOIN eligible USING (query_id, id) WHERE {where}) WHERE rank <= 10"""
+    )
+
+
 def nearest(q: str, extra: str = "", where: str = "true") -> str:
     return (
         with_(CATALOG, q, ELIGIBLE, *([extra] if extra else []))
@@ -502,10 +511,9 @@ GROUP BY q.query_id""",
     "lexical_score": with_(CATALOG, INDEX, bench(), RAW) + f"SELECT query_id, id, {r6('raw')} AS raw FROM raw",
     "lexical_match_all": with_(CATALOG, INDEX, bench(), RAW)
     + f"SELECT query_id, id, {r6('raw')} AS raw FROM raw JOIN n_terms USING (query_id) WHERE matched = n",
-    "search_lexical": with_(CATALOG, INDEX, bench(FILTERS), ELIGIBLE, RAW)
-    + f"""SELECT query_id, rank, id, {r6("raw")} AS bm25_score FROM (
-  SELECT query_id, id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank
-  FROM raw JOIN n_terms USING (query_id) JOIN eligible USING (query_id, id) WHERE matched = n) WHERE rank <= 10""",
+    "search_lexical": best_words("matched = n"),
+    "search_lexical_stored": best_words("matched = n"),
+    "search_lexical_any": best_words("true"),
     "vector_normalize": f"""SELECT vec_id, place, {r6("x")} AS x, {r6("norm")} AS norm FROM (
   SELECT vec_id, unnest(u) AS x, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS place,
     sqrt(list_inner_product(u, u)) AS norm FROM (
@@ -521,6 +529,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "search_vector_filtered": nearest(bench(FILTERS)),
     "search_vector_grid": nearest(bench(FILTERS)),
     "search_vector_cells": nearest(bench(FILTERS), CELLS, IN_PROBED),
+    "search_vector_stored_cells": nearest(bench(FILTERS), CELLS, IN_PROBED),
     "hybrid_minmax": with_(CATALOG, INDEX, bench(FILTERS), ELIGIBLE, RAW, SCORED)
     + f"SELECT query_id, id, {r6('bm25')} AS bm25_score FROM scored WHERE raw > 0",
     "search_hybrid": hybrid(bench()) + f"SELECT {HYBRID_OUT} FROM ranked",

@@ -14,7 +14,7 @@ from shortlist.operators import context as ctx
 from shortlist.operators import conversations as conv
 from shortlist.operators import evaluation as ev
 from shortlist.operators import filters as flt
-from shortlist.operators import hybrid, lexical, lookup
+from shortlist.operators import hybrid, lexical, lookup, postings, stored_cells
 from shortlist.operators import responses as rsp
 from shortlist.operators import vector_search as vec
 from shortlist.operators.joins import spread_join
@@ -194,6 +194,18 @@ def search_lexical(spark, sf):
     return found.withColumn("bm25_score", r6("bm25_score"))
 
 
+def search_lexical_stored(spark, sf):
+    queries = views.search_queries(spark, sf, filtered=True)
+    found = postings.search_postings(queries, views.postings(spark, sf))
+    return found.withColumn("bm25_score", r6("bm25_score"))
+
+
+def search_lexical_any(spark, sf):
+    queries = views.search_queries(spark, sf, filtered=True)
+    found = postings.search_postings(queries, views.postings(spark, sf), require_all=False)
+    return found.withColumn("bm25_score", r6("bm25_score"))
+
+
 # --- vectors ----------------------------------------------------------------
 
 
@@ -236,21 +248,21 @@ def search_vector_grid(spark, sf):
     return _vector_result(vec.search_vector(queries, views.items(spark, sf), limits=NOTHING_SENT))
 
 
-def _labelled(spark, sf):
-    labels = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cell"))
-    return views.items(spark, sf).join(labels, "id")
-
-
 def search_vector_cells(spark, sf):
-    items = _labelled(spark, sf)
+    items = views.labelled_items(spark, sf)
     queries = views.search_queries(spark, sf, filtered=True)
     return _vector_result(vec.search_cells(queries, items, vec.cell_centroids(items), n_probe=3))
 
 
 def search_vector_kmeans(spark, sf):
-    cells, centroids = vec.build_cells(views.items(spark, sf), 16)
+    cells, centroids = vec.build_cells(views.items(spark, sf), views.KMEANS_CELLS)
     queries = views.search_queries(spark, sf)
-    return _vector_result(vec.search_cells(queries, cells, centroids, n_probe=4))
+    return _vector_result(vec.search_cells(queries, cells, centroids, n_probe=views.KMEANS_PROBES))
+
+
+def search_vector_stored_cells(spark, sf):
+    queries = views.search_queries(spark, sf, filtered=True)
+    return _vector_result(stored_cells.search_stored_cells(queries, views.cells(spark, sf), n_probe=3))
 
 
 # --- fusion -----------------------------------------------------------------
@@ -635,6 +647,8 @@ QUERIES = {
         lexical_term_stats,
         lexical_score,
         search_lexical,
+        search_lexical_stored,
+        search_lexical_any,
         vector_normalize,
         text_encode,
         vector_cosine,
@@ -643,6 +657,7 @@ QUERIES = {
         search_vector_grid,
         search_vector_cells,
         search_vector_kmeans,
+        search_vector_stored_cells,
         hybrid_minmax,
         hybrid_join,
         hybrid_fuse,

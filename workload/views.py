@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from shortlist.schemas import FILTERS
 from shortlist.operators.index import CatalogIndex, build_index, filter_rows, open_index
-from shortlist.operators.vector_search import hashing_encoder
+from shortlist.operators.postings import TermPostings, open_postings, store_postings
+from shortlist.operators.stored_cells import StoredCells, open_cells, store_cells
+from shortlist.operators.vector_search import cell_centroids, hashing_encoder
 
 SITE = ("catalog.example.com/view",)
 # As many components as the stored vectors have.
@@ -154,7 +156,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+# The vectors hardly cluster: recall 0.59 with 4 probes, 0.92 with 12 (10 nearest, sf0.01).
+KMEANS_CELLS, KMEANS_PROBES = 16, 12
+
+_STORED: dict[tuple[str, ...], str] = {}
 
 
 def new_index(spark: SparkSession, sf_dir: str) -> CatalogIndex:
@@ -177,6 +182,33 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_rows(catalog(spark, sf_dir))
 
 
+def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item rows with the label of their vector as ``cell``."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cell"))
+    return items(spark, sf_dir).join(labels, "id")
+
+
+def postings(spark: SparkSession, sf_dir: str) -> TermPostings:
+    """Postings of the catalog by term; a session stores them once per folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "postings")
+    if key not in _STORED:
+        name = f"postings_{uuid.uuid4().hex}"
+        store_postings(index(spark, sf_dir), name)
+        _STORED[key] = name
+    return open_postings(index(spark, sf_dir), _STORED[key])
+
+
+def cells(spark: SparkSession, sf_dir: str) -> StoredCells:
+    """Catalog items by label; a session stores them once per folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cells")
+    if key not in _STORED:
+        name = f"cells_{uuid.uuid4().hex}"
+        labelled = labelled_items(spark, sf_dir)
+        store_cells(labelled, cell_centroids(labelled), name)
+        _STORED[key] = name
+    return open_cells(spark, _STORED[key])
+
+
 def search_queries(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
     """Benchmark passages as queries, with a vector and, if asked, filters."""
     vectors = table(spark, sf_dir, "embeddings").select(
