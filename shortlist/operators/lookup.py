@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shortlist.constants import MAX_RECOMMENDATIONS
 from shortlist.functions.text import strip
 from shortlist.operators.joins import SALTS, spread_join
+from shortlist.operators.names import StoredNames, resolve_stored
 from shortlist.schemas import RECOMMENDATION
 from shortlist.session import materialize, sent_if_few
 from shortlist.sources.catalog import coerce_nulls, type_codes
@@ -111,11 +112,16 @@ def exact_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     return _equal_names(names, catalog).where(F.col("id").isNotNull()).select(F.col("key").alias("needle"), "id")
 
 
-def lookup_by_name(names: DataFrame, catalog: DataFrame) -> DataFrame:
+def _resolved(names: DataFrame, catalog: DataFrame, stored: StoredNames | None) -> DataFrame:
+    """(needle, id) from the stored names if given, else from the catalog."""
+    return resolve_names(names, catalog) if stored is None else resolve_stored(names, stored)
+
+
+def lookup_by_name(names: DataFrame, catalog: DataFrame, stored: StoredNames | None = None) -> DataFrame:
     """Catalog row of each distinct (lower-case) name; NULL columns if not found."""
     asked = names.select(F.lower("name").alias("needle")).distinct()
     rows = coerce_nulls(catalog).drop("embedding")
-    found = resolve_names(names, catalog).join(rows, "id")
+    found = rows.join(sent_if_few(materialize(_resolved(names, catalog, stored)), SENT_KEYS), "id")
     return asked.join(found, "needle", "left")
 
 
@@ -139,11 +145,15 @@ def valid_recommendations(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def repair_recommendations(
-    responses: DataFrame, catalog: DataFrame, most: int = MAX_RECOMMENDATIONS
+    responses: DataFrame,
+    catalog: DataFrame,
+    most: int = MAX_RECOMMENDATIONS,
+    stored: StoredNames | None = None,
 ) -> DataFrame:
     """(conv_id, recommendations): each item with a catalog url stays as it is,
     else it is replaced by the item its name leads to, else dropped; in order,
-    at most ``most``. Every conversation keeps its row."""
+    at most ``most``. Every conversation keeps its row. Names are looked up in the
+    stored names if they are given."""
     items = responses.select("conv_id", F.posexplode("recommendations").alias("pos", "item"))
     rows = materialize(
         items.select(
@@ -157,7 +167,7 @@ def repair_recommendations(
     valid = _checked(rows, catalog, "left_semi").withColumn("valid", F.lit(True))
     marked = spread_join(rows, valid, "url")
     wrong = marked.where(F.col("valid").isNull()).select(F.col("item.name").alias("name"))
-    found = resolve_names(wrong, catalog).join(
+    found = _resolved(wrong, catalog, stored).join(
         catalog.select("id", "name", "url", type_codes().alias("test_type")), "id"
     )
     named = found.select("needle", F.struct("name", "url", "test_type").cast(RECOMMENDATION).alias("other"))

@@ -645,3 +645,6 @@ ORACLES["hybrid_join"] = (
     _PAIRS + f"SELECT query_id, id, {r6('bm25')} AS bm25_score, {r6('cosine')} AS cosine_score FROM pairs"
 )
 ORACLES["hybrid_fuse"] = _PAIRS + f"SELECT query_id, id, {r6('0.4 * bm25 + 0.6 * cosine')} AS score FROM pairs"
+# The same lookups from stored names.
+ORACLES["lookup_name_stored"] = ORACLES["lookup_name"]
+ORACLES["repair_recommendations_stored"] = ORACLES["repair_recommendations"]

@@ -360,11 +360,19 @@ def lookup_name_exact(spark, sf):
     return lookup.exact_names(_asked_items(spark, sf), views.catalog(spark, sf))
 
 
-def lookup_name(spark, sf):
-    rows = lookup.lookup_by_name(_asked_items(spark, sf), views.catalog(spark, sf))
+def _named(rows: DataFrame) -> DataFrame:
     return rows.select("needle", "id", "name", "url", joined("test_types").alias("test_types"))
 
 
+def lookup_name(spark, sf):
+    return _named(lookup.lookup_by_name(_asked_items(spark, sf), views.catalog(spark, sf)))
+
+
+def lookup_name_stored(spark, sf):
+    asked, stored = _asked_items(spark, sf), views.names(spark, sf)
+    return _named(lookup.lookup_by_name(asked, views.catalog(spark, sf), stored))
+
+
 def invalid_urls(spark, sf):
     return lookup.invalid_urls(_asked_items(spark, sf).select("ref", "url"), views.catalog(spark, sf))
 
@@ -373,10 +381,19 @@ def valid_urls(spark, sf):
     return lookup.valid_recommendations(_asked_items(spark, sf).select("ref", "url"), views.catalog(spark, sf))
 
 
+def _repaired(rows: DataFrame) -> DataFrame:
+    return rows.select("conv_id", F.size("recommendations").alias("n"), recs_text().alias("recommendations"))
+
+
 def repair_recommendations(spark, sf):
     given = rsp.clean_responses(views.raw_responses(spark, sf))
-    rows = lookup.repair_recommendations(given, views.catalog(spark, sf))
-    return rows.select("conv_id", F.size("recommendations").alias("n"), recs_text().alias("recommendations"))
+    return _repaired(lookup.repair_recommendations(given, views.catalog(spark, sf)))
+
+
+def repair_recommendations_stored(spark, sf):
+    given = rsp.clean_responses(views.raw_responses(spark, sf))
+    stored = views.names(spark, sf)
+    return _repaired(lookup.repair_recommendations(given, views.catalog(spark, sf), stored=stored))
 
 
 # --- conversations ----------------------------------------------------------
@@ -668,9 +685,11 @@ QUERIES = {
         lookup_url,
         lookup_name_exact,
         lookup_name,
+        lookup_name_stored,
         invalid_urls,
         valid_urls,
         repair_recommendations,
+        repair_recommendations_stored,
         conversation_validate,
         latest_user_message,
         user_context,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shortlist.schemas import FILTERS
 from shortlist.operators.index import CatalogIndex, build_index, filter_rows, open_index
+from shortlist.operators.names import StoredNames, open_names, store_names
 from shortlist.operators.postings import TermPostings, open_postings, store_postings
 from shortlist.operators.stored_cells import StoredCells, open_cells, store_cells
 from shortlist.operators.vector_search import cell_centroids, hashing_encoder
@@ -198,6 +199,16 @@ def postings(spark: SparkSession, sf_dir: str) -> TermPostings:
     return open_postings(index(spark, sf_dir), _STORED[key])
 
 
+def names(spark: SparkSession, sf_dir: str) -> StoredNames:
+    """Names of the catalog with their grams; a session stores them once per folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "names")
+    if key not in _STORED:
+        name = f"names_{uuid.uuid4().hex}"
+        store_names(catalog(spark, sf_dir), name)
+        _STORED[key] = name
+    return open_names(spark, _STORED[key])
+
+
 def cells(spark: SparkSession, sf_dir: str) -> StoredCells:
     """Catalog items by label; a session stores them once per folder."""
     key = (spark.sparkContext.applicationId, sf_dir, "cells")
