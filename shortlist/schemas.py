@@ -55,6 +55,17 @@ REQUESTS = T.StructType(
     ]
 )
 
+# Requests and model texts of a stream, with the times at which they were made.
+TIMED_REQUESTS = T.StructType([*REQUESTS.fields, T.StructField("asked_at", T.TimestampType())])
+TIMED_RESPONSES = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("asked_at", T.TimestampType()),
+        T.StructField("raw", T.StringType()),
+        T.StructField("given_at", T.TimestampType()),
+    ]
+)
+
 RECOMMENDATION = T.StructType(
     [
         T.StructField("name", T.StringType()),

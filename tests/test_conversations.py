@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,9 +12,15 @@ from shortlist.operators import context as ctx
 from shortlist.operators import conversations as conv
 from shortlist.plans.evaluation import evaluate
 from shortlist.plans.turns import process_turns, retrieve, route_conversations, turn_contexts
-from shortlist.schemas import TURNS
-from shortlist.sources.conversations import fold_conversations, stream_requests, unfold_requests
-from shortlist.streaming.turns import process_stream, route_stream
+from shortlist.schemas import TIMED_REQUESTS, TIMED_RESPONSES, TURNS
+from shortlist.sources.conversations import (
+    fold_conversations,
+    stream_requests,
+    stream_responses,
+    stream_timed_requests,
+    unfold_requests,
+)
+from shortlist.streaming.turns import await_responses, process_answered_stream, process_stream, route_stream
 
 PRIOR = ("assistant", "Here are two tests.")
 ASK = ("assistant", "What role?")
@@ -191,3 +199,50 @@ def test_routes_on_the_stream_itself(spark, turns, tmp_path):
     routed = route_stream(stream_requests(spark, str(tmp_path / "in"))).select("conv_id", "route")
     routed.writeStream.format("memory").queryName("routes").trigger(availableNow=True).start().awaitTermination()
     assert {r.conv_id: r.route for r in spark.table("routes").collect()} == ROUTES
+
+
+def at(second):
+    return datetime.fromtimestamp(10_000 + second, UTC)
+
+
+def test_model_texts_as_a_second_stream(spark, turns, index, tmp_path):
+    """Texts in time, in a later start, too late, twice, for an older history, or never."""
+    talks = {r.conv_id: r.messages for r in fold_conversations(turns).collect()}
+    raw = {c: f'{{"reply": "R{c}", "recommendations": [], "end_of_conversation": true}}' for c in TALKS}
+    requests = [(c, talks[c], at(c)) for c in TALKS if c != 8]
+    responses = [(c, at(c), raw[c], at(c + 2)) for c in (1, 2, 3, 4, 5, 12)]
+    parts = [
+        (requests + [requests[0]], responses + [responses[0]]),
+        (
+            [(8, talks[8], at(50)), (4, talks[6], at(51))],
+            [(6, at(6), raw[6], at(36)), (7, at(7), raw[7], at(38)), (9, at(8), "other request", at(9)),
+             (8, at(50), raw[8], at(49)), (4, at(51), "second", at(60)), (None, at(1), "nobody", at(9)),
+             (13, None, "no time", at(14)), (14, at(14), "no time", None)],
+        ),
+        ([(None, None, at(1000))], [(None, None, None, at(1000))]),
+    ]
+    for asked, given in parts:
+        spark.createDataFrame(asked, TIMED_REQUESTS).write.mode("append").parquet(str(tmp_path / "asked"))
+        spark.createDataFrame(given, TIMED_RESPONSES).write.mode("append").parquet(str(tmp_path / "given"))
+        process_answered_stream(
+            stream_timed_requests(spark, str(tmp_path / "asked")),
+            stream_responses(spark, str(tmp_path / "given")),
+            index, encoder, str(tmp_path / "out"), str(tmp_path / "state"),
+        ).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    got = {(r.conv_id, r.asked_at.timestamp() - 10_000): r for r in rows.collect()}
+    assert rows.count() == len(got) == len(ROUTES) + 1
+    replies = {c: got[c, 50 if c == 8 else c].reply for c in ROUTES}
+    heard = {c: f"R{c}" for c in (1, 2, 3, 4, 6, 12)} | {5: C.LIMIT_REPLY}
+    assert replies == {c: heard.get(c, C.APOLOGY_REPLY) for c in ROUTES}
+    assert (got[4, 51].reply, got[4, 51].route) == ("second", C.REFINE)
+    want = process_turns(conv.facts_from_turns(turns), index, encoder, spark.createDataFrame([(c, raw[c]) for c in (1, 2, 3, 4, 5, 6, 12)], "conv_id long, raw string"))
+    one = rows.where("asked_at != timestamp_seconds(10051)").select(want.columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, want.collect()))
+
+
+def test_times_of_the_second_stream(spark, tmp_path):
+    asked = spark.readStream.schema(TIMED_REQUESTS).parquet(str(tmp_path))
+    given = spark.readStream.schema(TIMED_RESPONSES).parquet(str(tmp_path))
+    with pytest.raises(ValueError, match="patience"):
+        await_responses(asked, given, patience=61, lateness=60)

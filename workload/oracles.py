@@ -648,3 +648,10 @@ ORACLES["hybrid_fuse"] = _PAIRS + f"SELECT query_id, id, {r6('0.4 * bm25 + 0.6 *
 # The same lookups from stored names.
 ORACLES["lookup_name_stored"] = ORACLES["lookup_name"]
 ORACLES["repair_recommendations_stored"] = ORACLES["repair_recommendations"]
+
+# Of each 13 model texts one never comes and one comes too late.
+ORACLES["stream_process_turns_answered"] = (
+    with_(*chat_search(), PLAIN_ANSWERS.replace("answers AS", "unheard AS"), *ANSWERED)
+    + """SELECT * FROM answers WHERE conv_id % 13 > 1
+UNION ALL BY NAME SELECT * FROM unheard WHERE conv_id % 13 <= 1"""
+)

@@ -24,7 +24,7 @@ from shortlist.plans.evaluation import evaluate
 from shortlist.session import materialize, shared_folder
 from shortlist.sources import catalog as cat
 from shortlist.sources import conversations as src
-from shortlist.streaming.turns import process_stream
+from shortlist.streaming.turns import process_answered_stream, process_stream
 from workload import views
 
 # Sends nothing to every task: forces the plans for large query tables.
@@ -640,6 +640,33 @@ def stream_process_turns(spark, sf):
     return _answers(spark.read.parquet(f"{base}/answers"))
 
 
+def stream_process_turns_answered(spark, sf):
+    """Two starts of the stream; some texts come in the second for requests of the first."""
+    base = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    events = {"requests": views.timed_requests(spark, sf), "responses": views.timed_responses(spark, sf)}
+    first, last = views.table(spark, sf, "conversations").agg(F.min("conv_id"), F.max("conv_id")).first()
+    times = {"requests": "asked_at", "responses": "given_at"}
+    cut = views.made_at(F.lit((first + last) // 2))
+    beat = spark.range(1).select(views.made_at(F.lit(last + 86400)).alias("asked_at"))
+    beats = {"requests": beat, "responses": beat.select(F.col("asked_at").alias("given_at"))}
+    for part in range(2):
+        for name, rows in events.items():
+            here = rows.where(F.col(times[name]) < cut if part == 0 else F.col(times[name]) >= cut)
+            if part:
+                here = here.unionByName(beats[name], allowMissingColumns=True)
+            here.write.mode("append").parquet(f"{base}/{name}")
+        process_answered_stream(
+            src.stream_timed_requests(spark, f"{base}/requests"),
+            src.stream_responses(spark, f"{base}/responses"),
+            views.index(spark, sf),
+            views.chat_encoder(),
+            f"{base}/answers",
+            f"{base}/state",
+            views.SITE,
+        ).awaitTermination()
+    return _answers(spark.read.parquet(f"{base}/answers"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -727,6 +754,7 @@ QUERIES = {
         eval_summary,
         eval_summary_unrepaired,
         stream_process_turns,
+        stream_process_turns_answered,
     )
 }
 QUERIES.update({f"flag_{n}": _flag(n) for n in ("refuse", "compare", "refine", "confirm")})

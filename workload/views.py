@@ -13,6 +13,7 @@ from shortlist.operators.names import StoredNames, open_names, store_names
 from shortlist.operators.postings import TermPostings, open_postings, store_postings
 from shortlist.operators.stored_cells import StoredCells, open_cells, store_cells
 from shortlist.operators.vector_search import cell_centroids, hashing_encoder
+from shortlist.sources.conversations import fold_conversations
 
 SITE = ("catalog.example.com/view",)
 # As many components as the stored vectors have.
@@ -340,6 +341,29 @@ def chat_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("query_id"), "url")
 
 
+def made_at(second: Column) -> Column:
+    """Time of an event; a watermark starts at 1970, and what is not after it is late."""
+    return F.timestamp_seconds(second + 1_000_000_000)
+
+
+def timed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, messages, asked_at): one request per conversation, a second apart."""
+    folded = fold_conversations(chats(spark, sf_dir))
+    return folded.select("conv_id", "messages", made_at(F.col("conv_id")).alias("asked_at"))
+
+
+def timed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, asked_at, raw, given_at): within 20 seconds; of each 13, one is late and one lacks."""
+    asked, late = F.col("conv_id"), F.col("conv_id") % 13 == 0
+    wait = F.when(late, 300).otherwise(asked % 20)
+    return raw_responses(spark, sf_dir).where(asked % 13 != 1).select(
+        "conv_id",
+        made_at(asked).alias("asked_at"),
+        "raw",
+        made_at(asked + wait).alias("given_at"),
+    )
+
+
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, raw): one model text per conversation, in ten shapes."""
     conv = F.col("conv_id")
