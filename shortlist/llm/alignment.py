@@ -38,6 +38,8 @@ CHUNK_BYTES = 1 << 16
 FAN = 8
 SENT_PAIRS = 1 << 20
 _CHARS = 1 << 19
+# Distinct pieces that a task keeps for each side; beyond that it forgets and starts anew.
+KEPT_PIECES = 1 << 17
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
     "pairs array<long>, times array<int>"
@@ -70,7 +72,7 @@ class PieceCoder:
         as_given = b"\x0a\x08identity" in self.model.serialized_model_proto()
         starts = self.model.encode("a\n")[:1] == self.model.encode("a") and self.model.encode("\n")[:1] == [self.model.piece_to_id("▁")]
         self.unit = re.compile("(?: +|\n)[^ \n]*") if free and by_byte and as_given and starts else None
-        self.store = PieceStore(self._encode)
+        self.store = PieceStore(self._encode, KEPT_PIECES)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id; of control pieces their names."""
@@ -114,6 +116,7 @@ class ByteCoder:
     def __init__(self, path: str):
         self.coder = LibraryCoder(path)
         self.coder.tokenizer.encode_special_tokens = True
+        self.coder.store.most = KEPT_PIECES
         self.size = self.coder.size
 
     def token_bytes(self) -> list[bytes]:
