@@ -56,7 +56,10 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def sent_if_few(df: DataFrame, rows: int, size: int = MAX_SENT_BYTES) -> DataFrame:
-    """Broadcast a table if it is measured to have at most ``rows`` rows and ``size`` bytes."""
+    """Broadcast a table if it is measured to have at most ``rows`` rows and ``size`` bytes.
+
+    A larger one is not broadcast, whatever Spark's estimate of its size is.
+    """
 
     def width(name: str, kind: str):
         if kind == "string":
@@ -65,4 +68,4 @@ def sent_if_few(df: DataFrame, rows: int, size: int = MAX_SENT_BYTES) -> DataFra
 
     total = sum((width(*column) for column in df.dtypes), F.lit(0)).cast("long")
     n, used = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and used <= size else df
+    return F.broadcast(df) if n <= rows and used <= size else df.hint("merge")

@@ -85,3 +85,20 @@ def test_hot_keys_are_spread(spark):
     one = spark.createDataFrame([("hot", 1)], "k string, v int")
     assert spread_join(rows, one, "k").where("v = 1").count() == 4000
     assert spread_join(rows, one, "k", "left_anti").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_keys_are_not_broadcast_by_estimate(spark):
+    """The estimate of a table does not count the repeats; a measured one is final."""
+    from shortlist.operators.joins import spread_join
+    from shortlist.session import sent_if_few
+
+    rows, one = spark.range(4000).selectExpr("id", "id % 7 AS k"), spark.range(5).selectExpr("id AS k", "id AS v")
+    for how in ("left", "left_semi", "left_anti", "inner"):
+        assert "Broadcast" not in plan_of(spread_join(rows, one, "k", how)), how
+    assert spread_join(rows, one, "k", "left_semi").count() == 4000 - 2 * 571
+    assert "Broadcast" not in plan_of(rows.join(sent_if_few(one, 4), "k"))
+    assert "BroadcastHashJoin" in plan_of(rows.join(sent_if_few(one, 5), "k"))
