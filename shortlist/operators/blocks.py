@@ -1,8 +1,9 @@
 """Blocks of items against blocks of queries.
 
-The one step that built-in operators cannot do well: the cosines of many items with many
-queries without making a row of each pair. A block of items (an Arrow batch) meets a
-block of queries as matrices and leaves at most k rows per query. The items stay where
+The one step that built-in operators cannot do well: the scores of many items with many
+queries without storing a row of each pair. A block of items (an Arrow batch) meets a
+block of queries as matrices (vectors dense, weighted words sparse) and leaves its hits,
+or one range or at most k rows per query. The items stay where
 they are and are read once. Few queries are sent to every task; a larger table is
 stored in parts of bounded size that the tasks read one after the other, so it never
 passes through the driver. Which items a query's filters permit is computed by Spark
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.constants import RANK_DIGITS
@@ -29,11 +30,17 @@ from shortlist.session import MAX_SENT_BYTES, shared_folder
 
 ITEM_COLUMNS = ("id", "embedding", "allowed")
 QUERY_COLUMNS = ("query_id", "vector", "filter_no")
+# Items with the weights of their words, queries with the idf of theirs.
+ITEM_WORDS = ("id", "allowed", "words", "weights")
+QUERY_WORDS = ("query_id", "filter_no", "words", "idfs", "n_terms")
 ITEMS_PER_CELL = 50_000
+# Items with their words are larger.
+ITEMS_WITH_WORDS = 10_000
 QUERIES_PER_CELL = 2_048
 # Queries without filters have this number.
 NO_FILTER = -1
 _SCORES_AT_ONCE = 4_000_000
+_WORD_SCORES_AT_ONCE = 1_000_000
 _ROWS_PENDING = 500_000
 _SLACK = 2 * 10.0**-RANK_DIGITS
 
@@ -53,19 +60,25 @@ class Scoring:
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """Queries of one block: ids, unit vectors, and rows by distinct filter set."""
+    """Queries of one block: ids, unit vectors, rows by distinct filter set, all columns."""
 
     ids: np.ndarray
     vectors: np.ndarray | None
     has_vector: np.ndarray
     by_filter: list[tuple[int, np.ndarray]]
+    table: pa.Table
 
     @staticmethod
     def of(table: pa.Table) -> QueryBlock:
-        vectors, present = unit_rows(table["vector"])
+        none = None, np.zeros(table.num_rows, dtype=bool)
+        vectors, present = unit_rows(table["vector"]) if "vector" in table.column_names else none
         numbers = pc.fill_null(_whole(table["filter_no"]), NO_FILTER).to_numpy(zero_copy_only=False)
         by_filter = [(int(f), np.flatnonzero(numbers == f)) for f in np.unique(numbers)]
-        return QueryBlock(table["query_id"].to_pandas().to_numpy(), vectors, present, by_filter)
+        return QueryBlock(table["query_id"].to_pandas().to_numpy(), vectors, present, by_filter, table)
+
+    def numbers(self, name: str) -> np.ndarray:
+        """A numeric column; 0 where it is NULL."""
+        return pc.fill_null(_whole(self.table[name]), 0).to_numpy(zero_copy_only=False)
 
 
 def _whole(column) -> pa.Array:
@@ -105,9 +118,9 @@ def best_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("query_id").cumcount() < k].drop(columns="_key")
 
 
-def _members(items: pa.Table, queries: QueryBlock, present: np.ndarray, how: Scoring):
+def _members(items: pa.Table, queries: QueryBlock, present: np.ndarray, how: Scoring, most: int = _SCORES_AT_ONCE):
     """Rows of queries with the same filter set, a few at a time, and their items."""
-    step = max(1, _SCORES_AT_ONCE // max(1, items.num_rows))
+    step = max(1, most // max(1, items.num_rows))
     allowed = _whole(items["allowed"])
     numbers, owner = pc.list_flatten(allowed).to_numpy(zero_copy_only=False), pc.list_parent_indices(allowed).to_numpy()
     for number, members in queries.by_filter:
@@ -156,6 +169,96 @@ def _candidates(score: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarra
     return q[place < k], i[place < k]
 
 
+class WordScores:
+    """Sums of products of the weights of items and the idfs of queries, by common words."""
+
+    def __init__(self, items: pa.Table, queries: QueryBlock):
+        words, asked = _whole(items["words"]), _whole(queries.table["words"])
+        coded = pc.list_flatten(words).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        self._item = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)[order]
+        self._weight = pc.list_flatten(_whole(items["weights"])).to_numpy(zero_copy_only=False)[order]
+        starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        code = pc.index_in(pc.list_flatten(asked), value_set=coded.dictionary)
+        met = code.is_valid().to_numpy(zero_copy_only=False)
+        code = code.drop_null().to_numpy(zero_copy_only=False)
+        owner = pc.list_parent_indices(asked).to_numpy(zero_copy_only=False)[met]
+        self._idf = pc.list_flatten(_whole(queries.table["idfs"])).to_numpy(zero_copy_only=False)[met]
+        self._first, self._count = starts[code], starts[code + 1] - starts[code]
+        self._bounds = np.searchsorted(owner, np.arange(len(queries.ids) + 1))
+        self._items = items.num_rows
+
+    def of(self, rows: np.ndarray, at: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sums of some queries with some items, and if asked the numbers of common words."""
+        sizes = self._bounds[rows + 1] - self._bounds[rows]
+        asked = _ranges(self._bounds[rows], sizes)
+        count = self._count[asked]
+        each = _ranges(self._first[asked], count)
+        cell = np.repeat(np.repeat(np.arange(len(rows)) * self._items, sizes), count) + self._item[each]
+        shape = len(rows), self._items
+        product = np.repeat(self._idf[asked], count) * self._weight[each]
+        sums = np.bincount(cell, product, shape[0] * shape[1]).reshape(shape)
+        common = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape) if counted else None
+        if len(at) == self._items:
+            return sums, common
+        return sums[:, at], None if common is None else common[:, at]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of ranges one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_EVERY = Scoring(k=0, vectors_only=False)
+
+
+def word_hits(items: pa.Table, queries: QueryBlock, require_all: bool = False) -> Iterator[pd.DataFrame]:
+    """query_id, id, raw of the permitted items that share a word (or all) with a query."""
+    ids, words, wanted = _whole(items["id"]).to_pandas().to_numpy(), WordScores(items, queries), queries.numbers("n_terms")
+    present = np.ones(items.num_rows, dtype=bool)
+    for rows, at in _members(items, queries, present, _EVERY, _WORD_SCORES_AT_ONCE):
+        raw, common = words.of(rows, at, require_all)
+        q, i = np.nonzero((common == wanted[rows, None]) & (common > 0) if require_all else raw)
+        yield pd.DataFrame({"query_id": queries.ids[rows[q]], "id": ids[at[i]], "raw": raw[q, i]})
+
+
+def word_ranges(items: pa.Table, queries: QueryBlock) -> Iterator[pd.DataFrame]:
+    """query_id, high, least, n_hits of the hits of each query in one block."""
+    words, present = WordScores(items, queries), np.ones(items.num_rows, dtype=bool)
+    for rows, at in _members(items, queries, present, _EVERY, _WORD_SCORES_AT_ONCE):
+        raw, _ = words.of(rows, at)
+        hit = raw > 0
+        frame = {
+            "query_id": queries.ids[rows],
+            "high": raw.max(axis=1),
+            "least": np.where(hit, raw, np.inf).min(axis=1),
+            "n_hits": hit.sum(axis=1).astype(float),
+        }
+        yield pd.DataFrame(frame)[hit.any(axis=1)]
+
+
+def fused_block(items: pa.Table, queries: QueryBlock, how: Scoring) -> Iterator[pd.DataFrame]:
+    """query_id, id, value, score: the k best of each query in one block.
+
+    Queries bring ``low`` and ``span`` of their keyword scores; without a span all hits have 1.
+    """
+    ids = _whole(items["id"]).to_pandas().to_numpy()
+    matrix, present = unit_rows(items["embedding"], None if queries.vectors is None else queries.vectors.shape[1])
+    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    words, low, span = WordScores(items, queries), queries.numbers("low"), queries.numbers("span")
+    for rows, at in _members(items, queries, present, how, _WORD_SCORES_AT_ONCE):
+        value, _ = words.of(rows, at)
+        hit, wide = value > 0, span[rows, None]
+        value = np.where(hit, np.where(wide > 0, (value - low[rows, None]) / np.where(wide > 0, wide, 1.0), 1.0), 0.0)
+        score = how.weight * value
+        if matrix is not None and queries.vectors is not None:
+            score += (1.0 - how.weight) * (queries.vectors[rows] @ matrix[at].T)
+        q, i = _candidates(score, by_id[at], how.k)
+        yield pd.DataFrame({"query_id": queries.ids[rows[q]], "id": ids[at[i]], "value": value[q, i], "score": score[q, i]})
+
+
 Block = Callable[[pa.Table, QueryBlock], pd.DataFrame]
 
 
@@ -213,15 +316,21 @@ def _stored_parts(folder: str) -> Iterator[pa.Table]:
             yield pq.ParquetFile(source).read()
 
 
+def _store_parts(spark: SparkSession, rows: DataFrame, table: QueryTable) -> str:
+    """Folder of a large query table in parts of bounded size."""
+    # Hashed parts differ in size, so they are planned half full.
+    parts = max(1, math.ceil(2 * table.n / MAX_SENT_QUERIES), math.ceil(2 * table.size / MAX_SENT_BYTES))
+    folder = f"{shared_folder(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    rows.repartition(parts, "query_id").write.parquet(folder)
+    return folder
+
+
 def _against_stored(items: DataFrame, table: QueryTable, how: Scoring, schema: str) -> DataFrame:
     """Every block of items against a large query table, stored in bounded parts.
 
     Items are read once and never repeated or shuffled; a task holds one part at a time.
     """
-    # Hashed parts differ in size, so they are planned half full.
-    parts = max(1, math.ceil(2 * table.n / MAX_SENT_QUERIES), math.ceil(2 * table.size / MAX_SENT_BYTES))
-    folder = f"{shared_folder(items.sparkSession).rstrip('/')}/queries-{uuid.uuid4().hex}"
-    table.rows.select(*QUERY_COLUMNS).repartition(parts, "query_id").write.parquet(folder)
+    folder = _store_parts(items.sparkSession, table.rows.select(*QUERY_COLUMNS), table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, ITEMS_PER_CELL):
@@ -251,6 +360,37 @@ def candidates_schema(items: DataFrame, queries: DataFrame) -> str:
     return f"query_id {_type_of(queries, 'query_id')}, id {_type_of(items, 'id')}, cosine double, score double"
 
 
+def each_block(
+    items: DataFrame,
+    table: QueryTable,
+    step: Callable[[pa.Table, QueryBlock], Iterator[pd.DataFrame]],
+    item_columns: tuple[str, ...],
+    query_columns: tuple[str, ...],
+    made: tuple[str, ...],
+) -> DataFrame:
+    """What ``step`` makes of every block of items and of queries; ``made`` are its columns.
+
+    Rows leave a task as they are made. Items and queries have words (``lexical.with_words``).
+    """
+    spark, rows = items.sparkSession, table.rows.select(*query_columns)
+    items = items.select(*item_columns)
+    if table.small:
+        sent, folder = spark.sparkContext.broadcast(rows.toArrow()), None
+    else:
+        sent, folder = None, _store_parts(spark, rows, table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, ITEMS_WITH_WORDS):
+            for part in _stored_parts(folder) if sent is None else [sent.value]:
+                if part.num_rows:
+                    keys = key_types(block, part)
+                    for frame in step(block, QueryBlock.of(part)):
+                        yield from to_arrow(frame, {c: keys[c] for c in frame.columns if c in keys}).to_batches()
+
+    kinds = {"query_id": _type_of(rows, "query_id"), "id": _type_of(items, "id")}
+    return items.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in made))
+
+
 def top_k_candidates(items: DataFrame, table: QueryTable, how: Scoring) -> DataFrame:
     """Rows that contain the k best items of every query; the caller ranks them.
 

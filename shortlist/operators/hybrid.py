@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from shortlist.constants import DEFAULT_TOP_K, LEXICAL_WEIGHT, RANK_DIGITS
 from shortlist.functions.vectors import cosine
-from shortlist.operators.blocks import Scoring, top_k_candidates
+from shortlist.operators.blocks import (
+    ITEM_WORDS,
+    QUERY_WORDS,
+    Scoring,
+    each_block,
+    fused_block,
+    top_k_candidates,
+    word_ranges,
+)
 from shortlist.operators.filters import count_eligible, numbered
 from shortlist.operators.index import CatalogIndex
-from shortlist.operators.lexical import lexical_hits, ranked
+from shortlist.operators.lexical import lexical_hits, ranked, with_words
 from shortlist.operators.queries import Limits, QueryTable, query_table
-from shortlist.session import materialize
+from shortlist.session import materialize, sent_if_few
 
 KEYS = ["query_id", "id"]
 # So many times k items of both lists get full scores before the bound is set.
 DEPTH = 10
+# Most (query_id, id) pairs that are sent to every task.
+SENT_PAIRS = 100_000
 _SLACK = 4 * 10.0**-RANK_DIGITS
 
 
@@ -34,6 +44,19 @@ def _low(n_hits: Column, n_eligible: Column, least: Column) -> Column:
     return F.when(n_hits < n_eligible, F.lit(0.0)).otherwise(least)
 
 
+def _scales(bounds: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
+    """(query_id, high, low): the ends of the scale of each query that has hits.
+
+    One row per query; stored, as a search scales its hits more than once.
+    """
+    if table.n_filtered:
+        counted = bounds.join(table.send(count_eligible(index.items, table)), "query_id")
+    else:
+        counted = bounds.withColumn("n_eligible", index.corpus.select("n_items").scalar())
+    low = _low(F.col("n_hits"), F.col("n_eligible"), F.col("least"))
+    return materialize(counted.select("query_id", "high", low.alias("low")))
+
+
 def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
     """(query_id, id, value): lexical scores scaled over all eligible items.
 
@@ -42,22 +65,20 @@ def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame
     bounds = hits.groupBy("query_id").agg(
         F.max("raw").alias("high"), F.min("raw").alias("least"), F.count(F.lit(1)).alias("n_hits")
     )
-    if table.n_filtered:
-        counted = bounds.join(table.send(count_eligible(index.items, table)), "query_id")
-    else:
-        counted = bounds.withColumn("n_eligible", index.corpus.select("n_items").scalar())
-    low = _low(F.col("n_hits"), F.col("n_eligible"), F.col("least"))
-    # One row per query; stored, as a search scales its hits more than once.
-    known = materialize(counted.select("query_id", "high", low.alias("low")))
+    known = _scales(bounds, table, index)
     return hits.join(table.send(known), "query_id").select(
         "query_id", "id", scaled(F.col("raw"), F.col("low"), F.col("high")).alias("value")
     )
 
 
 def join_scores(pairs: DataFrame, lexical: DataFrame, vector: DataFrame) -> DataFrame:
-    """Both scores of (query_id, id) pairs; missing scores are 0."""
+    """Both scores of (query_id, id) pairs; missing scores are 0.
+
+    Scores of other pairs are dropped before the join.
+    """
     keys = ["query_id", "id"]
-    bm25 = lexical.select(*keys, F.col("value").alias("bm25_score"))
+    asked = sent_if_few(pairs.select(*keys), SENT_PAIRS)
+    bm25 = lexical.select(*keys, F.col("value").alias("bm25_score")).join(asked, keys, "left_semi")
     cosine = vector.select(*keys, "cosine_score")
     return (
         pairs.select(*keys)
@@ -92,6 +113,37 @@ def search_hybrid(
 ) -> DataFrame:
     """(query_id, rank, id, score, bm25_score, cosine_score) of the k best items.
 
+    Items stay where they lie and are read twice: first for the range of the keyword scores
+    of each query, a row per query and block, then for the k best of each block by full
+    score. No hit is stored; only the k best of a query get rows with a cosine of their own.
+    Ids that repeat are searched by ``_joined_search``.
+    """
+    weight = LEXICAL_WEIGHT if alpha is None else alpha
+    table = query_table(queries, limits)
+    if not (table.unique and index.unique):
+        return _joined_search(table, index, k, weight)
+    items, asked = with_words(*numbered(index.items, table), index)
+    bounds = each_block(items, asked, word_ranges, ITEM_WORDS, QUERY_WORDS, ("query_id", "high", "least", "n_hits"))
+    bounds = bounds.groupBy("query_id").agg(F.max("high").alias("high"), F.min("least").alias("least"), F.sum("n_hits").alias("n_hits"))
+    scales = _scales(bounds, table, index).select("query_id", "low", (F.col("high") - F.col("low")).alias("span"))
+    scaled_queries = asked.having(asked.rows.join(table.send(scales), "query_id", "left"))
+    how = Scoring(k, weight, vectors_only=False)
+
+    def step(items, queries):
+        return fused_block(items, queries, how)
+
+    columns = (*ITEM_WORDS, "embedding"), (*QUERY_WORDS, "vector", "low", "span")
+    found = each_block(items, scaled_queries, step, *columns, ("query_id", "id", "value", "score"))
+    # Stored, as it is small and the items are not to be read again for it.
+    best = materialize(ranked(found, "score", k).select(*KEYS, "value"))
+    return ranked(_fused(_with_cosines(best, table, index), weight), "score", k).select(
+        "query_id", "rank", "id", "score", F.col("value").alias("bm25_score"), F.col("cosine").alias("cosine_score")
+    )
+
+
+def _joined_search(table: QueryTable, index: CatalogIndex, k: int, weight: float) -> DataFrame:
+    """``search_hybrid`` for ids that repeat, whose rows count together: hits are stored.
+
     The items that share no term with a query get no row, but for the nearest ones: an
     item that is not among the k nearest has k others before it by vector, and those
     cannot lose rank by their keyword scores, so without a hit it is not among the k
@@ -100,8 +152,6 @@ def search_hybrid(
     Any other hit has at most the vector part of the last of the nearest, so only hits
     that could reach the bound with that get their cosines and are ranked.
     """
-    weight = LEXICAL_WEIGHT if alpha is None else alpha
-    table = query_table(queries, limits)
     marked, asked = numbered(index.items, table)
     deep = DEPTH * k
     nearest = ranked(top_k_candidates(marked, asked, Scoring(deep, 1.0 - weight, vectors_only=False)), "score", deep)

@@ -26,7 +26,7 @@ class CatalogIndex:
     """The index tables.
 
     ``items``: id, embedding, the filter columns, ``terms`` (term, tf), ``length``;
-    bucketed by id. ``term_stats``: term, df. ``corpus``: one row, n_items and
+    bucketed by id. ``term_stats``: term, df. ``corpus``: one row, n_items, n_ids and
     avg_length. ``catalog``: the full rows, joined only to final results.
     """
 
@@ -40,6 +40,11 @@ class CatalogIndex:
         """One row per item and term."""
         return self.items.select("id", "length", F.inline("terms"))
 
+    @property
+    def unique(self) -> bool:
+        """Whether every item has an id of its own."""
+        return self.corpus.select(F.col("n_ids") == F.col("n_items")).first()[0]
+
 
 def term_counts(rows: DataFrame, text) -> DataFrame:
     """Adds ``terms`` (array of term, tf) and ``length`` of a text column."""
@@ -76,7 +81,8 @@ def _term_stats(items: DataFrame) -> DataFrame:
 
 
 def _corpus(items: DataFrame) -> DataFrame:
-    return items.agg(F.count(F.lit(1)).alias("n_items"), F.avg("length").alias("avg_length"))
+    counts = F.count(F.lit(1)).alias("n_items"), F.count_distinct("id").alias("n_ids")
+    return items.agg(*counts, F.avg("length").alias("avg_length"))
 
 
 def build_index(catalog: DataFrame, name: str | None = None, buckets: int | None = None) -> CatalogIndex:

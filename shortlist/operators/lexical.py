@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from shortlist.constants import BM25_B, BM25_K1, DEFAULT_TOP_K, RANK_DIGITS
 from shortlist.functions.filters import permits
+from shortlist.operators.blocks import ITEM_WORDS, QUERY_WORDS, each_block, word_hits
+from shortlist.operators.filters import numbered
 from shortlist.operators.index import META, CatalogIndex
 from shortlist.operators.queries import Limits, QueryTable, query_table, query_terms
+from shortlist.session import materialize
 
 SALTS = 16
 
@@ -30,9 +33,42 @@ def weighted_terms(table: QueryTable, index: CatalogIndex) -> DataFrame:
     return known.select("query_id", "n_terms", "term", idf(F.col("df"), n_items).alias("idf"))
 
 
+def with_words(items: DataFrame, table: QueryTable, index: CatalogIndex) -> tuple[DataFrame, QueryTable]:
+    """Items with ``words`` and ``weights``, queries with ``words``, ``idfs`` and ``n_terms``."""
+    avg_length = F.lit(index.corpus.select("avg_length").first()[0]).cast("double")
+    weights = F.transform("terms", lambda t: term_weight(t["tf"], F.col("length"), avg_length))
+    weighted = items.withColumns({"words": F.col("terms.term"), "weights": weights}).drop("terms", "length")
+    grouped = weighted_terms(table, index).groupBy("query_id")
+    words = grouped.agg(
+        F.collect_list(F.struct("term", "idf")).alias("_words"), F.max("n_terms").cast("double").alias("n_terms")
+    )
+    # Stored: the terms are looked up once, however often the items are read.
+    words = materialize(words.select("query_id", "n_terms", F.col("_words.term").alias("words"), F.col("_words.idf").alias("idfs")))
+    none = F.coalesce("words", F.array().cast("array<string>")), F.coalesce("idfs", F.array().cast("array<double>"))
+    rows = table.rows.drop("text").join(table.send(words), "query_id", "left")
+    return weighted, table.having(rows.withColumns({"words": none[0], "idfs": none[1]}))
+
+
 def lexical_hits(table: QueryTable, index: CatalogIndex, require_all: bool = False) -> DataFrame:
     """(query_id, id, raw): every eligible item that shares a term with a query.
 
+    Items stay where they lie and meet the queries block by block, so a hit is a row only
+    when it leaves. Ids that repeat need all rows of an id: their hits are summed by joins.
+    """
+    if not (table.unique and index.unique):
+        return _joined_hits(table, index, require_all)
+    marked, asked = numbered(index.items, table)
+    marked, asked = with_words(marked, asked, index)
+
+    def step(items, queries):
+        return word_hits(items, queries, require_all)
+
+    return each_block(marked, asked, step, ITEM_WORDS, QUERY_WORDS, ("query_id", "id", "raw"))
+
+
+def _joined_hits(table: QueryTable, index: CatalogIndex, require_all: bool) -> DataFrame:
+    """``lexical_hits`` for ids that repeat: rows of equal ids count together.
+
     With few queries their terms go to the postings, which stay where they are;
     the sums group by id and reuse the partitioning of the index. With many
     queries both sides are shuffled on (term, salt), so a term that occurs in a
@@ -86,7 +122,7 @@ def search_lexical(
 ) -> DataFrame:
     """(query_id, rank, id, bm25_score): best items that contain the query terms.
 
-    Hits are summed where the items lie, and Spark keeps the k best of each partition
+    Hits are found where the items lie, and Spark keeps the k best of each partition
     and query before it shuffles for the rank.
     """
     hits = lexical_hits(query_table(queries, limits), index, require_all)

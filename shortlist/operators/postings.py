@@ -34,6 +34,8 @@ BUCKETS = 64
 # Blocks of a query that are scored to find its bound.
 FIRST_BLOCKS = 4
 MAX_SENT_PAIRS = 200_000
+# Blocks whose postings a task sorts at once when they are stored.
+BLOCKS_A_TASK = 4
 # Scores are ranked after rounding, so a block this little below the bound may still hold a result.
 _SLACK = 2 * 10.0**-RANK_DIGITS
 
@@ -61,23 +63,35 @@ def _dealt(items: DataFrame, block_items: int) -> DataFrame:
     return parted.withColumn("block", block).drop("_size", "_parts")
 
 
-def store_postings(
-    index: CatalogIndex, name: str | None = None, buckets: int = BUCKETS, block_items: int = BLOCK_ITEMS
-) -> TermPostings:
-    """Store the postings of an index as table ``<name>_postings`` in the shared folder.
+def term_blocks(index: CatalogIndex, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(term, block, max_weight, weights): the postings of an index.
 
-    Files of a frequent term's partition are split by size when they are written.
+    Whole items are dealt to tasks by block, a few blocks each, so their postings are
+    grouped where they are cut, without a shuffle of their own, and sorted in memory.
     """
     spark = index.items.sparkSession
-    name = name or f"postings_{uuid.uuid4().hex}"
     avg_length = index.corpus.select("avg_length").scalar()
-    dealt = _dealt(index.items.select("id", "length", "terms"), block_items)
+    n_items = index.corpus.select("n_items").first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_items // (block_items * BLOCKS_A_TASK))
+    dealt = _dealt(index.items.select("id", "length", "terms"), block_items).repartition(tasks, "block")
     rows = dealt.select("block", "id", "length", F.inline("terms"))
     rows = rows.withColumn("weight", term_weight(F.col("tf"), F.col("length"), avg_length))
-    blocks = rows.groupBy("term", "block").agg(
+    return rows.groupBy("term", "block").agg(
         F.max("weight").alias("max_weight"),
         F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("weights"),
     )
+
+
+def store_postings(
+    index: CatalogIndex, name: str | None = None, buckets: int = BUCKETS, block_items: int = BLOCK_ITEMS
+) -> TermPostings:
+    """Store the postings of an index as table ``<name>_postings`` in the shared folder.
+
+    Files of a frequent term's partition are split by size when they are written.
+    """
+    spark = index.items.sparkSession
+    name = name or f"postings_{uuid.uuid4().hex}"
+    blocks = term_blocks(index, block_items)
     placed = blocks.select(_bucket(buckets), "*").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
     writer = placed.write.mode("overwrite").partitionBy("bucket")
     writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(f"{name}_postings")

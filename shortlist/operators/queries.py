@@ -29,13 +29,14 @@ class Limits:
 
 @dataclass(frozen=True)
 class QueryTable:
-    """A query table with its measured size."""
+    """A query table with its measured size; ``unique`` if no ``query_id`` repeats or is NULL."""
 
     rows: DataFrame
     n: int
     n_filtered: int
     size: int
     small: bool
+    unique: bool
 
     def having(self, rows: DataFrame) -> QueryTable:
         """The same queries with more columns."""
@@ -68,10 +69,10 @@ def query_table(queries: DataFrame, limits: Limits = Limits()) -> QueryTable:
             F.lit(32),
         )
     )
-    n, n_filtered, size = rows.agg(
-        F.count(F.lit(1)), F.count("filters"), F.coalesce(F.sum(width), F.lit(0))
+    n, n_filtered, size, n_ids = rows.agg(
+        F.count(F.lit(1)), F.count("filters"), F.coalesce(F.sum(width), F.lit(0)), F.count_distinct("query_id")
     ).first()
-    return QueryTable(rows, n, n_filtered, size, n <= limits.queries and size <= limits.bytes)
+    return QueryTable(rows, n, n_filtered, size, n <= limits.queries and size <= limits.bytes, n_ids == n)
 
 
 def query_terms(rows: DataFrame) -> DataFrame:

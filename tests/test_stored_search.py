@@ -138,3 +138,9 @@ def test_recall_of_cells(spark):
     found = {(r.query_id, r.id) for r in stored_cells.search_stored_cells(queries, kept, views.KMEANS_PROBES).collect()}
     exact = {(r.query_id, r.id) for r in vec.search_vector(queries, views.items(spark, SF)).collect()}
     assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_postings_are_grouped_where_items_are_cut(stored):
+    """Items are shuffled by block; their exploded postings are not."""
+    plan = plan_of(postings.term_blocks(stored.index, 4))
+    assert "hashpartitioning(block" in plan and "hashpartitioning(term" not in plan
