@@ -361,3 +361,44 @@ def test_wide_tables_are_not_sent(spark):
     plan = lambda df: other.join(df, "name")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(sent_if_few(rows, 10))
     assert "broadcast" not in plan(sent_if_few(rows, 1)) and "broadcast" not in plan(sent_if_few(rows, 10, 500))
+
+
+@pytest.mark.parametrize("limits", [Limits(), NOTHING])
+def test_hybrid_search_stores_no_row_per_hit(spark, monkeypatch, limits):
+    items, asked = random_case(n_items=2000, n_queries=5, seed=12)
+    index = build_index(spark.createDataFrame(items, CATALOG))
+    stored, whole = [], hybrid.materialize
+    monkeypatch.setattr(hybrid, "materialize", lambda df: [d := whole(df), stored.append(d.count())][0])
+    got = rows_of(hybrid.search_hybrid(spark.createDataFrame(asked, QUERY), index, k=3, limits=limits))
+    assert stored and max(stored) <= 3 * len(asked)
+    for q in asked:
+        assert got.get(q[0], []) == [tuple(round(x, 6) for x in r) for r in dense(items, q, 0.4)[:3]]
+
+
+@pytest.mark.parametrize("limits", [Limits(), NOTHING])
+def test_hits_need_no_sums_over_rows(spark, limits):
+    """Hits leave the items as they are found, and are those of the joins."""
+    items, asked = random_case(n_items=300, n_queries=9, seed=13)
+    index = build_index(spark.createDataFrame(items, CATALOG))
+    assert index.unique
+    for text_only in (False, True):
+        queries = spark.createDataFrame(asked, QUERY)
+        table = query_table(queries.drop("filters") if text_only else queries, limits)
+        for require_all in (False, True):
+            found = lexical.lexical_hits(table, index, require_all)
+            assert not text_only or "Aggregate" not in plan_of(found)
+            got, want = (
+                sorted((r.query_id, r.id, round(r.raw, 9)) for r in rows.collect())
+                for rows in (found, lexical._joined_hits(table, index, require_all))
+            )
+            assert got == want and got
+
+
+def test_rows_of_repeated_ids_count_together(spark):
+    items, _ = random_case(n_items=40, seed=14)
+    index = build_index(spark.createDataFrame([*items, items[3]], CATALOG))
+    assert not index.unique
+    queries = spark.createDataFrame([(1, "java sales"), (None, "test"), (1, "verbal")], "query_id long, text string")
+    assert not query_table(queries).unique
+    hits = lexical.lexical_hits(query_table(queries), index)
+    assert hits.count() == hits.select("query_id", "id").distinct().count() > 0
