@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shortlist.constants import DEFAULT_TOP_K, RANK_DIGITS
+from shortlist.functions.bm25 import term_weight
 from shortlist.operators.index import CatalogIndex
-from shortlist.operators.lexical import eligible, ranked, term_weight, weighted_terms
+from shortlist.operators.lexical import eligible, ranked, weighted_terms
 from shortlist.operators.queries import Limits, QueryTable, query_table
 from shortlist.session import delete_folder, materialize, sent_if_few, shared_folder
 

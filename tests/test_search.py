@@ -402,3 +402,25 @@ def test_rows_of_repeated_ids_count_together(spark):
     assert not query_table(queries).unique
     hits = lexical.lexical_hits(query_table(queries), index)
     assert hits.count() == hits.select("query_id", "id").distinct().count() > 0
+
+
+@pytest.mark.parametrize("limits", [Limits(), NOTHING])
+def test_items_are_prepared_once_and_weighed_as_arrays(spark, monkeypatch, limits):
+    """Items bring plain counts; a block prepares them once, however many parts of queries it meets."""
+    items, asked = random_case(n_items=300, n_queries=12, seed=21)
+    index = build_index(spark.createDataFrame(items, CATALOG))
+    table = query_table(spark.createDataFrame(asked, QUERY), limits)
+    marked, queries = lexical.with_words(*filters.numbered(index.items, table), index)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert set(blocks.ITEM_WORDS) <= set(marked.columns) and "lambda" not in plan.lower()
+
+    rows, found, made, real = queries.rows.toArrow(), [], [], blocks.unit_rows
+    block = blocks.ItemBlock(marked.select(*blocks.ITEM_WORDS, "embedding").toArrow())
+    monkeypatch.setattr(blocks, "unit_rows", lambda *given: [made.append(len(given[0])), real(*given)][1])
+    for first in range(0, rows.num_rows, 5):
+        part = blocks.QueryBlock.of(rows.slice(first, 5))
+        found += [(r.query_id, r.id, round(r.raw, 9)) for f in blocks.word_hits(block, part) for r in f.itertuples()]
+        block.vectors(3)
+    assert made.count(300) == 1
+    hits = lexical._joined_hits(table, index, False).collect()
+    assert sorted(found) == sorted((r.query_id, r.id, round(r.raw, 9)) for r in hits) and found
