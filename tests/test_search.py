@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,3 +425,50 @@ def test_items_are_prepared_once_and_weighed_as_arrays(spark, monkeypatch, limit
     assert made.count(300) == 1
     hits = lexical._joined_hits(table, index, False).collect()
     assert sorted(found) == sorted((r.query_id, r.id, round(r.raw, 9)) for r in hits) and found
+
+
+def test_rows_that_leave_tasks_do_not_grow_with_blocks(spark, monkeypatch):
+    """Many queries meet samples first: a block leaves only what changes a range or reaches the bound."""
+    items, asked = random_case(n_items=2000, n_queries=12, seed=31)
+    rng = random.Random(8)
+    items = [(*i[:9], [float(rng.randint(-99, 99)) for _ in range(8)]) for i in items]
+    asked = [(q, text, [float(rng.randint(-99, 99)) for _ in range(8)], f) for q, text, _, f in asked]
+    index = build_index(spark.createDataFrame(items, CATALOG))
+    monkeypatch.setattr(hybrid, "FIRST_SAMPLE", 100, raising=False)
+    monkeypatch.setattr(hybrid, "GROWTH", 4, raising=False)
+    parts, left, whole = 40, [], hybrid.each_block
+
+    def spread(rows, table):
+        marked, queries = filters.numbered(rows, table)
+        return marked.repartition(parts, "id"), queries
+
+    def counted(rows, *more):
+        found = whole(rows, *more)
+        left.append((found.rdd.getNumPartitions(), found.count()))
+        return found
+
+    monkeypatch.setattr(hybrid, "numbered", spread)
+    monkeypatch.setattr(hybrid, "each_block", counted)
+    got = rows_of(hybrid.search_hybrid(spark.createDataFrame(asked, QUERY), index, k=3, limits=NOTHING))
+    over_all = [n for blocks_met, n in left if blocks_met == parts]
+    assert len(over_all) == 2 and over_all[0] < 10 * len(asked) and over_all[1] < 3 * 15 * len(asked), left
+    for q in asked:
+        assert got.get(q[0], []) == [tuple(round(x, 6) for x in r) for r in dense(items, q, 0.4)[:3]]
+
+
+def test_frequent_and_rare_words_are_summed_alike(monkeypatch):
+    """Sums by word are bitwise those made at once: equal items must have equal scores."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(40)]
+    rows = []
+    for i in range(200):
+        own = sorted({w for n, w in enumerate(words) if rng.random() < 2 / (n + 1)})
+        rows.append({"id": i, "allowed": [], "words": own, "tfs": [rng.randint(1, 5) for _ in own], "length": len(own), "avg_length": 9.5})
+    given = pa.Table.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("allowed", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64())), ("length", pa.int64()), ("avg_length", pa.float64())]))
+    asked = [{"query_id": q, "filter_no": None, "words": (some := rng.sample([*words, "none"], q % 9)), "idfs": [rng.random() for _ in some], "n_terms": 1.0} for q in range(30)]
+    queries = blocks.QueryBlock.of(pa.Table.from_pylist(asked, schema=pa.schema([("query_id", pa.int64()), ("filter_no", pa.int64()), ("words", pa.list_(pa.string())), ("idfs", pa.list_(pa.float64())), ("n_terms", pa.float64())])))
+    block, every = blocks.ItemBlock(given), (np.arange(30), np.arange(200))
+    at_once, _ = blocks.WordScores(block, queries).of(*every)
+    monkeypatch.setattr(blocks, "_FEW_ITEMS", 0)
+    by_word, _ = blocks.WordScores(block, queries).of(*every)
+    assert block._dense and at_once.any() and np.array_equal(at_once, by_word)
