@@ -13,6 +13,7 @@ from shortlist.operators.names import StoredNames, open_names, store_names
 from shortlist.operators.postings import TermPostings, open_postings, store_postings
 from shortlist.operators.stored_cells import StoredCells, open_cells, store_cells
 from shortlist.operators.vector_search import cell_centroids, hashing_encoder
+from shortlist.session import materialize, sent_if_few
 from shortlist.sources.conversations import fold_conversations
 
 SITE = ("catalog.example.com/view",)
@@ -20,6 +21,8 @@ SITE = ("catalog.example.com/view",)
 CHAT_DIM = 64
 # Model texts name every ninth item: all over the catalog, each item once.
 ITEM_STEP = 9
+# Most ids of texts that are sent to every task; fewer, if they take more than 32 MB.
+SENT_IDS = 2_000_000
 INSTRUCTION = "Answer from the catalog only. Reply with one JSON object."
 
 # English phrases put in front of user turns: one per pattern, near misses, none.
@@ -262,8 +265,10 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))
-    met = texts.select("id", F.explode(every).alias("word")).join(asked, "word").drop("word")
-    found = met.join(texts, "id").where(F.col("text").contains(F.col("start")))
+    met = materialize(texts.select("id", F.explode(every).alias("word")).join(asked, "word").drop("word"))
+    # The ids go to the texts, so that texts without such a word are not shuffled.
+    some = texts.join(sent_if_few(met.select("id").distinct(), SENT_IDS), "id", "left_semi")
+    found = met.join(some, "id").where(F.col("text").contains(F.col("start")))
     urls = catalog(spark, sf_dir).select("id", "url")
     return found.select("query_id", "id").join(urls, "id").select("query_id", "url").distinct()
 
