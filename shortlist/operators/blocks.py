@@ -315,6 +315,30 @@ def word_ranges(items: ItemBlock, queries: QueryBlock) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(frame)[news]
 
 
+def _scaled(raw: np.ndarray, low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Keyword scores of some queries on the scale of each; without a span all hits have 1."""
+    wide = np.where(span > 0, span, 1.0)[:, None]
+    if low.any():
+        return np.where(raw > 0, np.where(span[:, None] > 0, (raw - low[:, None]) / wide, 1.0), 0.0)
+    # Sums of 0 stay 0.
+    return raw / wide
+
+
+def best_hits_block(items: ItemBlock, queries: QueryBlock, k: int) -> Iterator[pd.DataFrame]:
+    """query_id, id, value: the k best hits of each query in one block by scaled keyword score.
+
+    Queries bring ``low`` and ``span``, as for ``fused_block``.
+    """
+    ids, words, low, span = items.ids, WordScores(items, queries), queries.numbers("low"), queries.numbers("span")
+    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    present = np.ones(items.num_rows, dtype=bool)
+    for rows, at in _members(items.table, queries, present, _EVERY, _WORD_SCORES_AT_ONCE):
+        raw, _ = words.of(rows, at)
+        value = _scaled(raw, low[rows], span[rows])
+        q, i = _candidates(np.where(raw > 0, value, -np.inf), by_id[at], k)
+        yield pd.DataFrame({"query_id": queries.ids[rows[q]], "id": ids[at[i]], "value": value[q, i]})
+
+
 def fused_block(items: ItemBlock, queries: QueryBlock, how: Scoring) -> Iterator[pd.DataFrame]:
     """query_id, id, value, score: the k best of each query in one block.
 
@@ -327,14 +351,8 @@ def fused_block(items: ItemBlock, queries: QueryBlock, how: Scoring) -> Iterator
     words, low, span = WordScores(items, queries), queries.numbers("low"), queries.numbers("span")
     bound = queries.numbers("bound", -np.inf)
     for rows, at in _members(items.table, queries, present, how, _WORD_SCORES_AT_ONCE):
-        value, _ = words.of(rows, at)
-        wide = np.where(span[rows] > 0, span[rows], 1.0)[:, None]
-        if low[rows].any():
-            scaled = np.where(span[rows, None] > 0, (value - low[rows, None]) / wide, 1.0)
-            value = np.where(value > 0, scaled, 0.0)
-        else:
-            # Sums of 0 stay 0.
-            value = value / wide
+        raw, _ = words.of(rows, at)
+        value = _scaled(raw, low[rows], span[rows])
         score = how.weight * value
         if matrix is not None and queries.vectors is not None:
             score += (1.0 - how.weight) * (queries.vectors[rows] @ matrix[at].T)

@@ -14,6 +14,7 @@ from shortlist.operators.blocks import (
     ITEMS_WITH_WORDS,
     QUERY_WORDS,
     Scoring,
+    best_hits_block,
     each_block,
     fused_block,
     top_k_candidates,
@@ -52,11 +53,19 @@ def _low(n_hits: Column, n_eligible: Column, least: Column) -> Column:
     return F.when(n_hits < n_eligible, F.lit(0.0)).otherwise(least)
 
 
-def _scales(bounds: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
+def _low_of_ranges() -> Column:
+    """The same for rows of ``_ranges``: an item that was missed scores 0."""
+    return F.when(F.col("missed") > 0, F.lit(0.0)).otherwise(F.col("least"))
+
+
+def _scales(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
     """(query_id, high, low): the ends of the scale of each query that has hits.
 
     One row per query; stored, as a search scales its hits more than once.
     """
+    bounds = hits.groupBy("query_id").agg(
+        F.max("raw").alias("high"), F.min("raw").alias("least"), F.count(F.lit(1)).alias("n_hits")
+    )
     if table.n_filtered:
         counted = bounds.join(table.send(count_eligible(index.items, table)), "query_id")
     else:
@@ -65,20 +74,41 @@ def _scales(bounds: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFr
     return materialize(counted.select("query_id", "high", low.alias("low")))
 
 
-def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex) -> DataFrame:
+def minmax(hits: DataFrame, table: QueryTable, index: CatalogIndex, known: DataFrame | None = None) -> DataFrame:
     """(query_id, id, value): lexical scores scaled over all eligible items.
 
-    Items without a hit need no rows: their scaled score is 0 as well.
+    Items without a hit need no rows: their scaled score is 0 as well. ``known`` are the
+    scales of ``best_hits``; without them ``hits`` must be complete.
     """
-    bounds = hits.groupBy("query_id").agg(
-        F.max("raw").alias("high"), F.min("raw").alias("least"), F.count(F.lit(1)).alias("n_hits")
-    )
-    known = _scales(bounds, table, index)
+    if known is None:
+        known = _scales(hits, table, index)
     return hits.join(table.send(known), "query_id").select(
         "query_id", "id", scaled(F.col("raw"), F.col("low"), F.col("high")).alias("value")
     )
 
 
+def best_hits(table: QueryTable, index: CatalogIndex, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, id, value, rank) of the k best hits by scaled keyword score, and all scales.
+
+    The scales are (query_id, high, low), stored. Blocks of items leave a row per query, then
+    k; other hits are no rows. Ids that repeat have all their hits summed by joins.
+    """
+    if not (table.unique and index.unique):
+        hits = lexical_hits(table, index)
+        known = _scales(hits, table, index)
+        return ranked(minmax(hits, table, index, known), "value", k), known
+    items, asked = with_words(*numbered(index.items, table), index)
+    ranges = _ranges(items, asked, None).select("query_id", "high", _low_of_ranges().alias("low"))
+    scales = ranges.select("query_id", "low", (F.col("high") - F.col("low")).alias("span"))
+    scaled_queries = asked.having(asked.rows.join(table.send(scales), "query_id", "left"))
+
+    def step(items, queries):
+        return best_hits_block(items, queries, k)
+
+    found = each_block(items, scaled_queries, step, ITEM_WORDS, (*QUERY_WORDS, "low", "span"), ("query_id", "id", "value"))
+    return ranked(found, "value", k), ranges
+
+
 def join_scores(pairs: DataFrame, lexical: DataFrame, vector: DataFrame) -> DataFrame:
     """Both scores of (query_id, id) pairs; missing scores are 0.
 
@@ -138,7 +168,7 @@ def search_hybrid(
     for some in (*samples, items):
         known = asked if ranges is None else asked.having(asked.rows.join(table.send(ranges), "query_id", "left"))
         ranges = _ranges(some, known, ranges)
-    low = F.when(F.col("missed") > 0, F.lit(0.0)).otherwise(F.col("least"))
+    low = _low_of_ranges()
     scales = ranges.select("query_id", low.alias("low"), (F.col("high") - low).alias("span"))
     scaled_queries = asked.having(asked.rows.join(table.send(scales), "query_id", "left"))
     how = Scoring(k, weight, vectors_only=False)

@@ -9,15 +9,20 @@ and no vectors between executors.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.functions.filters import minutes
-from shortlist.functions.text import run_lengths, run_starts, terms
-from shortlist.session import delete_folder, shared_folder
+from shortlist.functions.text import terms
+from shortlist.session import delete_folder, sent_if_few, shared_folder
 
+# Most ids that are sent to every task.
+SENT_IDS = 100_000
 META = ("test_types", "job_levels", "remote_testing", "adaptive", "minutes")
 
 
@@ -45,17 +50,41 @@ class CatalogIndex:
         """Whether every item has an id of its own."""
         return self.corpus.select(F.col("n_ids") == F.col("n_items")).first()[0]
 
+    def only(self, ids: DataFrame) -> CatalogIndex:
+        """The items with these ids, weighed as before by the statistics of all."""
+        few = sent_if_few(ids.select("id").distinct(), SENT_IDS)
+        return replace(self, items=self.items.join(few, "id", "left_semi"))
+
+
+def counted(lists: pa.Array) -> pa.Array:
+    """Lists of (term, tf) in the order of the terms, for lists of terms; NULL stays NULL."""
+    coded = pc.list_flatten(lists).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = max(1, len(order))
+    key = np.sort(owner * size + place[coded.indices.to_numpy(zero_copy_only=False)])
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    tf = np.diff(starts, append=len(key)).astype(np.int32)
+    row, term = np.divmod(key[starts], size)
+    runs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(order[term])), pa.array(tf)], ["term", "tf"])
+    ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), runs, mask=lists.is_null())
+
 
 def term_counts(rows: DataFrame, text) -> DataFrame:
-    """Adds ``terms`` (array of term, tf) and ``length`` of a text column."""
-    ordered = rows.withColumn("_terms", F.sort_array(terms(text)))
-    marked = ordered.withColumn("_starts", run_starts(F.col("_terms")))
-    return marked.withColumns(
-        {
-            "terms": run_lengths(F.col("_terms"), F.col("_starts")),
-            "length": F.size("_terms"),
-        }
-    ).drop("_terms", "_starts")
+    """Adds ``terms`` (array of term, tf) and ``length`` of a text column.
+
+    Terms are counted as arrays, a batch of rows at a time: a lambda per term costs more.
+    """
+
+    @F.arrow_udf("array<struct<term: string, tf: int>>")
+    def runs(lists: pa.Array) -> pa.Array:
+        return counted(lists)
+
+    found = rows.withColumn("_terms", terms(text))
+    return found.withColumns({"terms": runs("_terms"), "length": F.size("_terms")}).drop("_terms")
 
 
 def index_rows(catalog: DataFrame, parts: int) -> DataFrame:

@@ -268,13 +268,10 @@ def search_vector_stored_cells(spark, sf):
 # --- fusion -----------------------------------------------------------------
 
 
-def _scaled_hits(spark, sf, index):
-    table = query_table(views.search_queries(spark, sf, filtered=True))
-    return hybrid.minmax(lexical.lexical_hits(table, index), table, index)
-
-
 def hybrid_minmax(spark, sf):
-    hits = _scaled_hits(spark, sf, views.index(spark, sf))
+    index = views.index(spark, sf)
+    table = query_table(views.search_queries(spark, sf, filtered=True))
+    hits = hybrid.minmax(lexical.lexical_hits(table, index), table, index)
     return hits.select("query_id", "id", r6("value").alias("bm25_score"))
 
 
@@ -282,12 +279,13 @@ def _joined_scores(spark, sf):
     """Full scores of the items that are among the ten best by keywords or by vector."""
     index = views.index(spark, sf)
     queries = views.search_queries(spark, sf, filtered=True)
-    hits = _scaled_hits(spark, sf, index)
-    words = lexical.ranked(hits, "value", 10)
+    table = query_table(queries)
+    words, scales = hybrid.best_hits(table, index, 10)
     near = vec.search_vector(queries, index.items)
     keys = ["query_id", "id"]
     pairs = materialize(words.select(*keys).union(near.select(*keys)).distinct())
-    # Candidates are narrowed; their scores are not.
+    # Candidates are narrowed; their scores are not: the scales are those of all items.
+    hits = hybrid.minmax(lexical.lexical_hits(table, index.only(pairs)), table, index, scales)
     vectors = queries.select("query_id", "vector").join(pairs, "query_id")
     vectors = vectors.join(views.items(spark, sf).select("id", "embedding"), "id")
     cosines = vectors.select(*keys, cosine(F.col("vector"), F.col("embedding")).alias("cosine_score"))
